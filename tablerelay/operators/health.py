@@ -34,8 +34,9 @@ def run_baseline(tasks: DataFrame, as_of: str | dt.datetime, days: int = 30) ->
 def run_deviation(tasks: DataFrame, baseline: DataFrame) -> DataFrame:
     """Tasks that ran, with their percent deviation from the baseline.
 
-    The baseline has one row per project and task type. It is joined without a hint:
-    Spark measures it and broadcasts it where it is small, and otherwise splits hot keys.
+    The baseline has one row per project and task type, best as a written table. It is
+    joined without a hint: Spark broadcasts it where its size allows that, and otherwise
+    sort-merges and splits hot keys.
     """
     usual = baseline.select(
         *BASELINE_KEYS, "total_executions", "avg_duration_ms", "avg_rows_processed", "success_rate"

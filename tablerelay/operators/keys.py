@@ -109,8 +109,8 @@ def top_n_per_group(
         )
 
     if n >= _GROUP_LIMIT:
-        hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*hashed), F.lit(slices)))
+        # Slices follow the input partitions, so even equal rows are spread.
+        sliced = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
         df = cut(sliced, [*groups, "_slice"]).drop("_slice")
     return cut(df, groups)
 

@@ -141,33 +141,36 @@ def merge_full(
     keys: Sequence[str],
     *,
     soft: tuple[str, Any] | None = None,
+    deleted_keys: DataFrame | None = None,
     full_source: DataFrame | None = None,
     allow_empty: bool = False,
     on_duplicate: str = "raise",
     order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Upsert plus deletion, by a soft-delete flag or by comparison with the full source.
+    """Upsert plus deletion, by known keys, by a soft-delete flag or by comparison.
 
-    ``soft`` is (column, value). With it the flagged keys of ``full_source`` (or of
-    ``source``) leave the target. Without it ``full_source`` is compared.
+    ``deleted_keys`` leave the target and the batch. ``soft``, a (column, value), takes
+    them from the flagged rows of ``full_source``, or of ``source``. With neither,
+    rows whose key ``full_source`` lacks are deleted.
     """
     names = find_keys(target, keys)
     batch = one_per_key(source, names, on_duplicate, order_by)
     if soft is not None:
-        column, value = soft
-        whole = source if full_source is None else full_source
-        gone = key_set(soft_deleted_keys(whole, names, column, value), names)
-        # Matched and deleted rows leave the target in the same join.
-        replaced = key_set(batch, names).unionByName(gone)
-        kept = without_keys(target, replaced, names)
-        living = batch.where(~F.coalesce(is_flagged(batch, column, value), F.lit(False)))
-        if full_source is not None:
-            living = without_keys(living, gone, names)
-        return insert_by_name(kept, living)
+        deleted_keys = soft_deleted_keys(source if full_source is None else full_source, names, *soft)
+    if deleted_keys is not None:
+        gone = key_set(deleted_keys, names)
+        # Replaced and deleted rows leave the target in one join.
+        kept = without_keys(target, key_set(batch, names).unionByName(gone), names)
+        return insert_by_name(kept, without_keys(batch, gone, names))
     if full_source is None:
         raise ValueError("a comparison delete needs the full source")
-    merged = insert_by_name(without_keys(target, key_set(batch, names), names), batch)
-    return delete_comparison(merged, full_source, names, allow_empty)
+    # Two joins on the same keys: the target moves once for both.
+    replaced = key_set(batch, names)
+    kept = split_null_keys(target, names)[0].join(replaced, names, "left_anti")
+    return insert_by_name(
+        delete_comparison(kept, full_source, names, allow_empty),
+        delete_comparison(batch, full_source, names, allow_empty=True),
+    )
 
 
 def merge_action_counts(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablerelay.functions.identity import row_hash, row_key
 from tablerelay.operators.incremental import incremental_rowversion, incremental_timestamp, max_watermark
-from tablerelay.operators.keys import find_column
+from tablerelay.operators.keys import find_column, find_keys
 from tablerelay.operators.mapping import align_to_target, map_columns
-from tablerelay.operators.merge import merge_full, merge_insert_only, merge_upsert, one_per_key
-from tablerelay.operators.snapshot import snapshot_changes
+from tablerelay.operators.merge import (
+    is_flagged,
+    merge_action_counts,
+    merge_full,
+    merge_insert_only,
+    merge_upsert,
+    one_per_key,
+)
+from tablerelay.operators.snapshot import snapshot_diff
 from tablerelay.operators.state import STATE_SCHEMA, last_success_state
-from tablerelay.plans.guards import min_row_guard
+from tablerelay.plans.guards import GuardError, min_row_guard
 from tablerelay.plans.publish import (
     append_load,
     create_bucketed,
+    drop_old_versions,
     flip,
     load_partitioned,
     merge_touched,
@@ -26,96 +35,158 @@ from tablerelay.plans.publish import (
     version_path,
     write_bucketed,
 )
-from tablerelay.session import ntz
 from tablerelay.sources.queries import source_top_n
 from tablerelay.spec import JobSpec
 
 
 @dataclass(frozen=True)
 class RunResult:
-    """What a run read and published. ``published`` is False where nothing changed."""
+    """What a run read and published. ``published`` is False where nothing changed.
+
+    ``changes`` holds rows inserted, updated and deleted, as far as the mode knows them.
+    """
 
     rows_read: int
     published: bool
     location: str | None
+    changes: dict[str, int] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Marks:
+    """How far a job's source has been read."""
+
+    time: str | None = None
+    version: bytes | None = None
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:
-    """All states that runs have recorded, oldest ones included."""
-    frame = spark.createDataFrame([], STATE_SCHEMA)
-    parent = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(parent):
-        frame = spark.read.schema(STATE_SCHEMA).parquet(path)
-    return frame
-
-
-def _record_state(spark: SparkSession, path: str, job: JobSpec, as_of: str, result: RunResult, marks: dict) -> None:
-    row = spark.range(1).select(
-        F.lit(job.job_id).alias("job_identifier"),
-        F.lit(marks.get("time")).cast("timestamp_ntz").alias("last_sync_time"),
-        (F.lit(None) if marks.get("version") is None else F.lit(bytearray(marks["version"])))
-        .cast("binary").alias("last_row_version"),
-        F.lit(None).cast("bigint").alias("last_change_tracking_version"),
-        F.lit(result.rows_read).cast("bigint").alias("rows_processed"),
-        *[F.lit(None).cast("bigint").alias(c) for c in ("rows_inserted", "rows_updated", "rows_deleted")],
-        F.lit(True).alias("success"),
-        F.lit(None).cast("string").alias("error_message"),
-        F.lit(result.location).cast("string").alias("published_path"),
-        ntz(as_of).alias("created_at"),
-        ntz(as_of).alias("updated_at"),
-    )
+    """All states that runs have recorded, earlier ones included."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], STATE_SCHEMA)
+    return spark.read.schema(STATE_SCHEMA).parquet(path)
+
+
+def _record_state(
+    spark: SparkSession, path: str, job: JobSpec, as_of: str, result: RunResult, marks: Marks
+) -> None:
+    version = None if marks.version is None else bytearray(marks.version)
+    values = {
+        "job_identifier": job.job_id,
+        "last_sync_time": marks.time,
+        "last_row_version": version,
+        "last_change_tracking_version": None,
+        "rows_processed": result.rows_read,
+        "rows_inserted": result.changes.get("INSERT"),
+        "rows_updated": result.changes.get("UPDATE"),
+        "rows_deleted": result.changes.get("DELETE"),
+        "success": True,
+        "error_message": None,
+        "published_path": result.location,
+        "created_at": as_of,
+        "updated_at": as_of,
+    }
+    fields = spark.createDataFrame([], STATE_SCHEMA).schema.fields
+    row = spark.range(1).select(*[F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in fields])
     row.coalesce(1).write.mode("append").parquet(path)
 
 
-def _delta(job: JobSpec, source: DataFrame, marks: dict) -> DataFrame:
+def _known_marks(spark: SparkSession, path: str, job: JobSpec) -> Marks | None:
+    states = last_success_state(read_states(spark, path).where(F.col("job_identifier") == job.job_id))
+    found = states.select(F.col("last_sync_time").cast("string"), "last_row_version").head()
+    if found is None:
+        return None
+    return Marks(found[0], None if found[1] is None else bytes(found[1]))
+
+
+def _delta(job: JobSpec, source: DataFrame, marks: Marks) -> DataFrame:
     how = job.incremental
-    if how.force_full or how.mode in ("full", "snapshot"):
+    if how.force_full:
         return source
-    if how.mode == "timestamp" and marks["time"] is not None:
-        return incremental_timestamp(source, how.tracking_column, marks["time"], how.inclusive)
-    if how.mode == "rowversion" and marks["version"] is not None:
-        return incremental_rowversion(source, how.tracking_column, marks["version"], how.inclusive)
+    if how.mode == "timestamp" and marks.time is not None:
+        return incremental_timestamp(source, how.tracking_column, marks.time, how.inclusive)
+    if how.mode == "rowversion" and marks.version is not None:
+        return incremental_rowversion(source, how.tracking_column, marks.version, how.inclusive)
     return source
 
 
-def _mapped(job: JobSpec, df: DataFrame) -> DataFrame:
-    return df if job.mappings is None else map_columns(df, job.mappings)
+def _target_name(job: JobSpec, source_column: str) -> str | None:
+    """What the mapping calls a source column in the target; the last entry wins."""
+    if job.mappings is None:
+        return source_column
+    named = [d for s, d in job.mappings if s.lower() == source_column.lower()]
+    return named[-1] if named else None
 
 
-def _order(job: JobSpec) -> list[str]:
+def _newest(job: JobSpec) -> list[str]:
     """What makes one copy of a row newer than another, in target columns."""
     tracked = job.incremental.tracking_column
-    for source, dest in job.mappings or [(tracked, tracked)]:
-        if tracked and source.lower() == tracked.lower():
-            return [dest]
-    return []
+    name = _target_name(job, tracked) if tracked else None
+    return [name] if name else []
+
+
+def _living(job: JobSpec, rows: DataFrame) -> DataFrame:
+    """Source rows without those flagged as deleted, in target columns."""
+    found = job.incremental.deletes
+    if found is not None and found.mode == "soft":
+        rows = rows.where(~F.coalesce(is_flagged(rows, found.column, found.value), F.lit(False)))
+    return rows if job.mappings is None else map_columns(rows, job.mappings)
+
+
+def _flagged_keys(job: JobSpec) -> DataFrame:
+    """Keys of all source rows flagged as deleted, in target columns."""
+    found = job.incremental.deletes
+    rows = job.source.where(is_flagged(job.source, found.column, found.value))
+    return (rows if job.mappings is None else map_columns(rows, job.mappings)).select(*job.keys)
 
 
 def _merged(job: JobSpec, target: DataFrame, batch: DataFrame) -> DataFrame:
-    how = job.incremental
-    if how.mode == "snapshot":
-        # The batch is the whole source: changed rows are merged, missing keys deleted.
-        changes = snapshot_changes(target, batch, job.keys)
-        gone = changes.where("change_type = 'DELETE'").select(*job.keys)
-        alive = changes.where("change_type <> 'DELETE'").drop("change_type")
-        merged = merge_upsert(target, alive, job.keys, "unique")
-        return merged.join(gone, list(job.keys), "left_anti")
+    how, order = job.incremental, _newest(job)
     if how.merge == "insert_only":
-        return merge_insert_only(target, batch, job.keys, how.on_duplicate, _order(job))
+        return merge_insert_only(target, batch, job.keys, how.on_duplicate, order)
     if how.merge == "upsert":
-        return merge_upsert(target, batch, job.keys, how.on_duplicate, _order(job))
-    found = how.deletes
-    whole = align_to_target(_mapped(job, job.source), target.schema)
+        return merge_upsert(target, batch, job.keys, how.on_duplicate, order)
+    whole = job.source if job.mappings is None else map_columns(job.source, job.mappings)
     return merge_full(
-        target, batch, job.keys,
-        soft=(found.column, found.value) if found.mode == "soft" else None,
-        full_source=whole,
-        allow_empty=found.allow_empty,
+        target,
+        batch,
+        job.keys,
+        deleted_keys=_flagged_keys(job) if how.deletes.mode == "soft" else None,
+        full_source=align_to_target(whole, target.schema),
+        allow_empty=how.deletes.allow_empty,
         on_duplicate=how.on_duplicate,
-        order_by=_order(job),
+        order_by=order,
     )
 
 
+def _snapshot_counts(job: JobSpec, old: DataFrame, new: DataFrame) -> dict[str, int]:
+    """What changed between two whole versions; at most three rows reach the driver."""
+    names = find_keys(new, job.keys)
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.select(
+            row_key([F.col(k) for k in names]).alias("pk_value"),
+            row_hash([F.col(c) for c in new.columns]).alias("row_hash"),
+        )
+
+    counted = snapshot_diff(hashed(old), hashed(new)).groupBy("change_type").count()
+    return {r["change_type"]: r["count"] for r in counted.collect()}
+
+
+def _merge_counts(job: JobSpec, target: DataFrame, batch: DataFrame, after: int) -> dict[str, int]:
+    """Rows inserted, updated and deleted by a merge that left ``after`` rows."""
+    before = target.count()
+    inserted = after - before
+    if job.incremental.merge == "insert_only":
+        return {"INSERT": inserted, "UPDATE": 0, "DELETE": 0}
+    if job.incremental.merge == "upsert":
+        return {"INSERT": inserted, "UPDATE": batch.count() - inserted, "DELETE": 0}
+    actions = merge_action_counts(target, batch, job.keys)
+    counts = {"INSERT": 0, "UPDATE": 0, **{r["action"]: r["row_count"] for r in actions.collect()}}
+    return {**counts, "DELETE": before + counts["INSERT"] - after}
+
+
 def run_job(spark: SparkSession, job: JobSpec, state_path: str, as_of: str | dt.datetime) -> RunResult:
     """Read, guard, merge and publish; then record the new high-water mark.
 
@@ -124,75 +195,84 @@ def run_job(spark: SparkSession, job: JobSpec, state_path: str, as_of: str | dt.
     is written after the flip: a run that dies in between is simply read again.
     """
     as_of = as_of.isoformat(sep=" ") if isinstance(as_of, dt.datetime) else as_of
-    how, options = job.incremental, job.options
-    known = last_success_state(read_states(spark, state_path)).where(F.col("job_identifier") == job.job_id).head()
-    marks = {
-        "time": str(known["last_sync_time"]) if known and known["last_sync_time"] else None,
-        "version": bytes(known["last_row_version"]) if known and known["last_row_version"] else None,
-    }
-    exists = spark.catalog.tableExists(job.target)
-    first = known is None or not exists
-    source = source_top_n(job.source, options.top)
-    delta = source if first else _delta(job, source, marks)
+    how, options, folder = job.incremental, job.options, job.folder.rstrip("/")
+    tracking = how.mode in ("timestamp", "rowversion")
+    marks, location = _known_marks(spark, state_path, job), table_location(spark, job.target)
+    first = marks is None or location is None
+    merging = tracking and not first
+    marks = marks or Marks()
 
-    tracked = None
-    if how.mode in ("timestamp", "rowversion"):
-        tracked = find_column(delta.columns, how.tracking_column)
-    # The mark comes from the source's own column, which the mapping may drop.
+    source = source_top_n(job.source, options.top)
+    delta = _delta(job, source, marks) if merging else source
+    # The mark comes from the source's own column, which the mapping may drop. Whole
+    # loads are written where they can be published as they are.
+    figures = {}
+    if tracking:
+        mark = max_watermark(find_column(delta.columns, how.tracking_column))
+        figures["mark"] = mark if how.mode == "rowversion" else mark.cast("timestamp_ntz").cast("string")
     load = load_partitioned(
         delta,
-        version_path(f"{job.folder.rstrip('/')}/stage"),
+        version_path(f"{folder}/stage" if merging or job.bucket else folder),
         batch_rows=options.batch_rows,
         writers=options.writers,
-        figures={} if tracked is None else {"mark": max_watermark(tracked)},
-        mapped=lambda rows: _mapped(job, rows),
+        figures=figures,
+        mapped=lambda rows: _living(job, rows),
     )
     batch = read_load(spark, load)
 
-    location = table_location(spark, job.target)
-    merging = not first and how.mode != "full"
-    if merging and load.rows == 0 and options.empty == "noop" and how.merge != "full" and how.mode != "snapshot":
+    if merging and load.rows == 0 and how.merge != "full" and options.empty == "noop":
         return RunResult(0, False, location)
     if not min_row_guard(load.rows, options.min_rows, options.force, options.skip):
         return RunResult(load.rows, False, location)
+    if how.mode == "snapshot" and load.rows == 0 and location is not None and not options.force:
+        raise GuardError("the source is empty, so every target row would be deleted")
 
-    if merging and job.bucket is not None:
-        target = spark.table(job.target).drop("_bucket")
-        merge_touched(
-            spark, location, align_to_target(batch, target.schema), job.keys, job.bucket,
-            on_duplicate=how.on_duplicate, order_by=_order(job),
-        )
-        create_bucketed(spark, job.target, location)
-        path = location
-    elif merging:
+    changes: dict[str, int] = {}
+    if merging:
         target = spark.table(job.target)
-        rows = _merged(job, target, align_to_target(batch, target.schema))
-        path = load_partitioned(
-            rows, version_path(job.folder), batch_rows=options.batch_rows, writers=options.writers
-        ).path
-        flip(spark, job.target, path)
-    elif options.append and exists:
+        aligned = align_to_target(batch, target.drop("_bucket").schema)
+        if job.bucket is not None:
+            path = location
+            merge_touched(
+                spark, path, aligned, job.keys, job.bucket,
+                on_duplicate=how.on_duplicate, order_by=_newest(job),
+            )
+            create_bucketed(spark, job.target, path)
+        else:
+            unique = one_per_key(aligned, job.keys, how.on_duplicate, _newest(job))
+            merged = load_partitioned(
+                _merged(job, target, aligned), version_path(folder),
+                batch_rows=options.batch_rows, writers=options.writers,
+            )
+            path = merged.path
+            changes = _merge_counts(job, target, unique, merged.rows)
+            flip(spark, job.target, path)
+    elif options.append and location is not None and not tracking:
         append_load(batch, job.target)
         path = location
     else:
-        if how.mode != "full" and how.on_duplicate != "unique":
-            batch = one_per_key(batch, job.keys, how.on_duplicate, _order(job))
+        path = load.path
+        if tracking and how.on_duplicate == "raise":
+            one_per_key(batch, job.keys, "raise", ())
+        elif tracking and how.on_duplicate == "latest":
+            batch = one_per_key(batch, job.keys, "latest", _newest(job))
+            path = version_path(folder)
+            if job.bucket is None:
+                load_partitioned(batch, path, batch_rows=options.batch_rows, writers=options.writers)
         if job.bucket is not None:
-            path = version_path(job.folder)
+            path = version_path(folder)
             write_bucketed(batch, path, job.bucket)
             create_bucketed(spark, job.target, path)
-        elif how.on_duplicate == "latest" and how.mode != "full":
-            path = load_partitioned(batch, version_path(job.folder)).path
-            flip(spark, job.target, path)
         else:
-            path = load.path
+            if how.mode == "snapshot" and location is not None:
+                changes = _snapshot_counts(job, align_to_target(spark.table(job.target), batch.schema), batch)
             flip(spark, job.target, path)
-    result = RunResult(load.rows, True, path)
+    result = RunResult(load.rows, True, path, changes)
 
     mark = load.figures.get("mark")
     if mark is not None:
-        marks["time" if how.mode == "timestamp" else "version"] = (
-            bytes(mark) if how.mode == "rowversion" else str(mark)
-        )
+        marks = Marks(version=bytes(mark)) if how.mode == "rowversion" else Marks(time=mark)
     _record_state(spark, state_path, job, as_of, result, marks)
+    drop_old_versions(spark, job.target, folder, options.keep_versions)
+    drop_old_versions(spark, job.target, f"{folder}/stage", 0)
     return result

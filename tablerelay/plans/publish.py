@@ -47,20 +47,17 @@ def load_partitioned(
     the columns that are written. ``writers`` bounds the tasks that write, by joining partitions without a shuffle.
     The write replaces ``path``, so a retried load leaves no rows of a failed one.
     """
-    seen = Observation()
-    counted = df.observe(
-        seen, F.count(F.lit(1)).alias("_rows"), *[c.alias(n) for n, c in (figures or {}).items()]
-    )
-    if mapped is not None:
-        counted = mapped(counted)
+    seen, written = Observation(), Observation()
+    rows = df.observe(seen, *[c.alias(n) for n, c in figures.items()]) if figures else df
+    rows = rows if mapped is None else mapped(rows)
+    rows = rows.observe(written, F.count(F.lit(1)).alias("rows"))
     if writers is not None:
-        counted = counted.coalesce(writers)
-    writer = counted.write.mode("overwrite")
+        rows = rows.coalesce(writers)
+    writer = rows.write.mode("overwrite")
     if batch_rows is not None:
         writer = writer.option("maxRecordsPerFile", batch_rows)
     writer.parquet(path)
-    observed = dict(seen.get)
-    return Load(path, observed.pop("_rows"), observed)
+    return Load(path, written.get["rows"], dict(seen.get) if figures else {})
 
 
 def read_load(spark: SparkSession, load: Load) -> DataFrame:
@@ -92,10 +89,15 @@ def flip(spark: SparkSession, table: str, path: str) -> None:
 
 
 def drop_old_versions(spark: SparkSession, table: str, folder: str, keep: int = 2) -> list[str]:
-    """Delete all but the ``keep`` newest version folders; the published one always stays."""
+    """Delete all but the ``keep`` newest version folders; the published one always stays.
+
+    Keep at least two: the version before serves readers that began earlier.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(folder)
     files = root.getFileSystem(conf)
+    if not files.exists(root):
+        return []
     found = [s for s in files.listStatus(root) if s.getPath().getName().startswith("v=")]
     found.sort(key=lambda s: s.getModificationTime(), reverse=True)
     current = (table_location(spark, table) or "").rstrip("/").rsplit("/", 1)[-1]

@@ -15,9 +15,10 @@ AS_OF = "2024-01-31 00:00:00"
 
 FIXTURES = {
     # An outdated copy of orders: the newest orders have not arrived yet (rows that only
-    # the copy knows stand in their place), and pending orders have another price.
+    # the copy knows stand in their place), and pending orders have another price. The
+    # coalesce states that a primary key is never NULL.
     "stale_orders": """
-        SELECT CASE WHEN o_orderdate >= {ts} '2001-01-01 00:00:00' THEN -1 - o_orderkey ELSE o_orderkey END AS o_orderkey,
+        SELECT coalesce(CASE WHEN o_orderdate >= {ts} '2001-01-01 00:00:00' THEN -1 - o_orderkey ELSE o_orderkey END, 0) AS o_orderkey,
                o_custkey, o_orderstatus,
                CASE WHEN o_orderstatus = 'P' THEN o_totalprice + 100 ELSE o_totalprice END AS o_totalprice,
                o_orderdate, o_orderpriority

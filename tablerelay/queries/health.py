@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablerelay.operators import health
 from tablerelay.queries.book import Book
 from tablerelay.queries.fixtures import AS_OF
+from tablerelay.session import written
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
@@ -27,7 +28,7 @@ _RUN = f"""
 
 
 def _deviations(t):
-    return health.run_deviation(t.tasks, health.run_baseline(t.tasks, AS_OF))
+    return health.run_deviation(t.tasks, written(health.run_baseline(t.tasks, AS_OF), "baseline"))
 
 
 @book.query(f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablerelay.operators import keys as key_ops
 from tablerelay.operators import merge
 from tablerelay.operators.mapping import align_to_target
@@ -19,6 +21,18 @@ def merge_upsert(t):
     return merge.merge_upsert(t.stale_orders, t.orders, ["o_orderkey"])
 
 
+@book.query("""
+    SELECT r.* FROM {raw_orders} r WHERE order_key IS NULL OR customer_text LIKE 'C-%'
+    UNION ALL SELECT r.* REPLACE (concat('new ', customer_text) AS customer_text) FROM {raw_orders} r
+    WHERE order_key IS NULL OR customer_text NOT LIKE 'C-%'""")
+def merge_upsert_null_keys(t):
+    """Rows without a key match nothing: the target's stay, the batch's are inserted."""
+    batch = t.raw_orders.where("order_key IS NULL OR customer_text NOT LIKE 'C-%'").withColumn(
+        "customer_text", F.concat(F.lit("new "), "customer_text")
+    )
+    return merge.merge_upsert(t.raw_orders, batch, ["order_key"])
+
+
 _LINE_KEY = "l_orderkey, l_linenumber"
 _LATEST_LINE = f"""
     SELECT * EXCLUDE (position) FROM (

@@ -75,12 +75,15 @@ class Options:
     writers: int | None = None
     top: int = 0
     empty: str = "noop"
+    keep_versions: int = 2
 
     def __post_init__(self) -> None:
         if self.batch_rows is not None and self.batch_rows <= 0:
             raise ValueError("batch_rows must be above 0")
         if self.writers is not None and self.writers <= 0:
             raise ValueError("writers must be above 0")
+        if self.keep_versions < 2:
+            raise ValueError("keep_versions must be at least 2, the last one for earlier readers")
         if self.empty not in ("noop", "guard"):
             raise ValueError("empty is 'noop' or 'guard'")
         if self.min_rows < 0:

@@ -25,12 +25,12 @@ from tablerelay.operators.state import STATE_SCHEMA, last_success_state
 from tablerelay.plans.guards import GuardError, min_row_guard
 from tablerelay.plans.publish import (
     append_load,
-    create_bucketed,
     drop_old_versions,
     flip,
     load_partitioned,
     merge_touched,
     read_load,
+    show_bucketed,
     table_location,
     version_path,
     write_bucketed,
@@ -237,7 +237,7 @@ def run_job(spark: SparkSession, job: JobSpec, state_path: str, as_of: str | dt.
                 spark, path, aligned, job.keys, job.bucket,
                 on_duplicate=how.on_duplicate, order_by=_newest(job),
             )
-            create_bucketed(spark, job.target, path)
+            show_bucketed(spark, job.target, path)
         else:
             unique = one_per_key(aligned, job.keys, how.on_duplicate, _newest(job))
             merged = load_partitioned(
@@ -262,7 +262,7 @@ def run_job(spark: SparkSession, job: JobSpec, state_path: str, as_of: str | dt.
         if job.bucket is not None:
             path = version_path(folder)
             write_bucketed(batch, path, job.bucket)
-            create_bucketed(spark, job.target, path)
+            show_bucketed(spark, job.target, path)
         else:
             if how.mode == "snapshot" and location is not None:
                 changes = _snapshot_counts(job, align_to_target(spark.table(job.target), batch.schema), batch)

@@ -154,14 +154,17 @@ def write_bucketed(df: DataFrame, path: str, bucket: str) -> None:
     df.withColumn("_bucket", F.expr(bucket)).write.mode("overwrite").partitionBy("_bucket").parquet(path)
 
 
-def create_bucketed(spark: SparkSession, table: str, path: str) -> None:
-    """Show a bucketed folder to readers of ``table``, or the buckets it has gained."""
-    if table_location(spark, table) is None:
+def show_bucketed(spark: SparkSession, table: str, path: str) -> None:
+    """Show a bucketed folder, with all the buckets it has by now, to readers of ``table``.
+
+    The catalog keeps a location per bucket, so a table that moves to another folder is
+    made anew, which readers can notice; buckets replaced in place it finds by itself.
+    """
+    current = table_location(spark, table)
+    if current is None or current.rstrip("/").rsplit("/", 1)[-1] != path.rstrip("/").rsplit("/", 1)[-1]:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
         spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
-    elif table_location(spark, table).rstrip("/").rsplit("/", 1)[-1] != path.rstrip("/").rsplit("/", 1)[-1]:
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
-    if spark.conf.get("spark.sql.catalogImplementation") == "hive":
-        spark.catalog.recoverPartitions(table)
+    spark.catalog.recoverPartitions(table)
     spark.catalog.refreshTable(table)
 
 

@@ -24,9 +24,11 @@ def _table() -> str:
 
 def _published(t: Tables, table: str) -> DataFrame:
     """What readers of a table see; the catalog entry goes, the files stay."""
-    path = publish.table_location(t.spark, table)
+    path, seen = publish.table_location(t.spark, table), t.spark.table(table).count()
     t.spark.sql(f"DROP TABLE {table}")
-    return t.spark.read.parquet(path)
+    rows = t.spark.read.parquet(path)
+    guards.count_parity_guard(seen, rows.count())
+    return rows
 
 
 @book.query("SELECT * FROM orders")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablerelay.operators.history import history_filter
-from tablerelay.operators.keys import latest_per_key
+from tablerelay.operators.keys import key_set, latest_of_group
 from tablerelay.operators.mapping import insert_by_name
-from tablerelay.operators.merge import merge_upsert, rows_not_in
+from tablerelay.operators.merge import rows_not_in
 from tablerelay.session import before, ntz
 
 
@@ -27,34 +27,36 @@ def consolidate_history(
     ``feed`` holds runs stamped with project_id and server_id, from any number of
     machines; ``configs`` gives config_id and config_display_name, one row each. Copies
     of a run within the feed count once, and a feed that was sent before adds nothing.
-    Columns the feed lacks are NULL. ``max_rows`` keeps the newest runs of the feed only.
+    A run without an id is rejected. Columns the feed lacks are NULL. ``max_rows`` keeps
+    the newest runs of the feed only.
     """
-    rows = feed
+    key = ["execution_id"]
+    rows = feed.dropna(subset=key)
     if days is not None:
         rows = rows.where(F.col("start_time") >= before(synced_at, days=days))
-    rows = latest_per_key(rows, ["execution_id"], ["start_time"])
+    names = key_set(rows, key, repeated=True)
+    rows = latest_of_group(rows, key, ["start_time"])
     if max_rows is not None:
         rows = history_filter(rows, limit=max_rows)
-    fresh = rows_not_in(central, rows, ["execution_id"])
+    fresh = rows_not_in(central, rows, key, names)
     named = fresh.join(configs.select("config_id", "config_display_name"), "config_id", "left")
     stamped = named.withColumn("synced_at", ntz(synced_at))
-    lacking = [f for f in central.schema.fields if f.name not in stamped.columns]
-    for field in lacking:
-        stamped = stamped.withColumn(field.name, F.lit(None).cast(field.dataType))
+    for field in central.schema.fields:
+        if field.name not in stamped.columns:
+            stamped = stamped.withColumn(field.name, F.lit(None).cast(field.dataType))
     return insert_by_name(central, stamped.select(*central.columns))
 
 
 def heartbeat_upsert(servers: DataFrame, beats: DataFrame) -> DataFrame:
     """Servers with their latest heartbeat and online; unknown servers are added.
 
-    ``beats`` has server_id, project_id and beat_at, any number of rows per server.
+    ``beats`` has server_id, project_id and beat_at, any number of rows per server. They
+    are reduced to one row per server before the join.
     """
     keys = ["server_id", "project_id"]
-    latest = beats.groupBy(*keys).agg(F.max("beat_at").alias("last_heartbeat"))
-    known = servers.select(*keys, *[c for c in servers.columns if c not in [*keys, "last_heartbeat", "is_online"]])
-    updated = (
-        latest.join(known, keys, "left")
-        .withColumn("is_online", F.lit(True))
-        .select(*servers.columns)
-    )
-    return merge_upsert(servers, updated, keys, on_duplicate="unique")
+    latest = beats.groupBy(*keys).agg(F.max("beat_at").alias("_beat"))
+    updated = {
+        "last_heartbeat": F.coalesce("_beat", "last_heartbeat"),
+        "is_online": F.coalesce(F.when(F.col("_beat").isNotNull(), F.lit(True)), F.col("is_online")),
+    }
+    return servers.join(latest, keys, "full").withColumns(updated).select(*servers.columns)

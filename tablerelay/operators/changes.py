@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerelay.operators.keys import find_column, find_keys, key_set, latest_per_key, previous_row, without_keys
+from tablerelay.operators.keys import find_column, find_keys, key_set, latest_of_group, previous_row, without_keys
 from tablerelay.operators.mapping import align_to_target
 
 # How a feed marks its operations.
@@ -23,8 +23,8 @@ def apply_changes(
     """
     names, version, op = find_keys(feed, keys), find_column(feed.columns, version), find_column(feed.columns, op)
     named = feed.dropna(subset=names)
-    latest = latest_per_key(named, names, [version])
-    kept = without_keys(target, key_set(feed, names), names)
+    latest = latest_of_group(named, names, [version])
+    kept = without_keys(target, key_set(feed, names, repeated=True), names)
     alive = latest.where(~F.upper(F.coalesce(F.col(op), F.lit("U"))).isin(*DELETE_OPS))
     return kept.unionByName(align_to_target(alive, target.schema))
 

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablerelay.operators.keys import latest_per_key, top_n_per_group
+from tablerelay.operators.keys import latest_of_group, top_n_per_group
 from tablerelay.session import before, ntz
 
 
@@ -97,9 +97,16 @@ def history_totals(history: DataFrame) -> DataFrame:
     return history.withColumn("rows_processed", parts[0] + parts[1] + parts[2])
 
 
+def history_grand_total(history: DataFrame) -> DataFrame:
+    """One row: the number of runs and all rows they processed."""
+    return history_totals(history).agg(
+        F.count(F.lit(1)).alias("total_executions"), total("rows_processed").alias("total_rows_processed")
+    )
+
+
 def last_execution(history: DataFrame) -> DataFrame:
     """The latest run of each job."""
-    return latest_per_key(history, ["config_id"], ["start_time", "execution_id"])
+    return latest_of_group(history, ["config_id"], ["start_time", "execution_id"])
 
 
 def recent_per_config(history: DataFrame, n: int = 100) -> DataFrame:

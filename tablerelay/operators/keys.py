@@ -48,9 +48,14 @@ def split_null_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Data
     return df.where(~any_null(nullable)), df.where(any_null(nullable))
 
 
-def key_set(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Only the complete keys of ``df``: all a semi or anti join has to move."""
-    return df.select(*keys).where(~any_null(keys))
+def key_set(df: DataFrame, keys: Sequence[str], repeated: bool = False) -> DataFrame:
+    """Only the complete keys of ``df``: all a semi or anti join has to move.
+
+    ``repeated`` says that keys can occur many times; they are then made distinct on the
+    map side, so that a frequent key does not fill one partition.
+    """
+    named = df.select(*keys).where(~any_null(keys))
+    return named.distinct() if repeated else named
 
 
 def without_keys(df: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -76,19 +81,21 @@ def newest_first(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in [*order_by, *rest]]
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """One row per key, the newest; rows with a NULL key are all kept.
+def latest_of_group(df: DataFrame, groups: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """One row per group, the newest; NULL is a group like any other.
 
     ``row_number() = 1`` is planned with a group limit on both sides of the shuffle,
-    so a key that holds much of the table sends one row per map task.
+    so a group that holds much of the table sends one row per map task.
     """
+    window = Window.partitionBy(*groups).orderBy(*newest_first(df, order_by))
+    ranked = df.withColumn("_position", F.row_number().over(window))
+    return ranked.where("_position = 1").drop("_position")
+
+
+def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """One row per key, the newest; rows with a NULL key are all kept."""
     keyed, unkeyed = split_null_keys(df, keys)
-    window = Window.partitionBy(*keys).orderBy(*newest_first(df, order_by))
-    kept = (
-        keyed.withColumn("_position", F.row_number().over(window))
-        .where("_position = 1")
-        .drop("_position")
-    )
+    kept = latest_of_group(keyed, keys, order_by)
     return kept if unkeyed is None else kept.unionByName(unkeyed)
 
 

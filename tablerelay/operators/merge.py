@@ -18,6 +18,7 @@ from tablerelay.operators.keys import (
     find_column,
     find_keys,
     key_set,
+    latest_of_group,
     latest_per_key,
     require_unique,
     split_null_keys,
@@ -26,18 +27,19 @@ from tablerelay.operators.keys import (
 from tablerelay.operators.mapping import insert_by_name
 
 
+def check_duplicates(source: DataFrame, keys: Sequence[str], on_duplicate: str) -> None:
+    if on_duplicate not in ("raise", "latest", "unique"):
+        raise ValueError(f"on_duplicate is 'raise', 'latest' or 'unique', not {on_duplicate!r}")
+    if on_duplicate == "raise":
+        require_unique(source, keys)
+
+
 def one_per_key(
     source: DataFrame, keys: Sequence[str], on_duplicate: str, order_by: Sequence[str]
 ) -> DataFrame:
     """The source with at most one row per key, as ``on_duplicate`` asks."""
-    if on_duplicate == "raise":
-        require_unique(source, keys)
-        return source
-    if on_duplicate == "latest":
-        return latest_per_key(source, keys, order_by)
-    if on_duplicate == "unique":
-        return source
-    raise ValueError(f"on_duplicate is 'raise', 'latest' or 'unique', not {on_duplicate!r}")
+    check_duplicates(source, keys, on_duplicate)
+    return latest_per_key(source, keys, order_by) if on_duplicate == "latest" else source
 
 
 def merge_upsert(
@@ -54,18 +56,24 @@ def merge_upsert(
     """
     names = find_keys(target, keys)
     batch = one_per_key(source, names, on_duplicate, order_by)
-    return insert_by_name(without_keys(target, key_set(batch, names), names), batch)
+    # The source has the same keys as the batch, without the work of ranking its rows.
+    replaced = key_set(source, names, repeated=on_duplicate == "latest")
+    return insert_by_name(without_keys(target, replaced, names), batch)
 
 
-def rows_not_in(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Source rows whose key the target lacks; NULL keys count as lacking.
+def rows_not_in(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], source_keys: DataFrame | None = None
+) -> DataFrame:
+    """Source rows with a complete key that the target lacks.
 
     The target's keys are first reduced to those the source names, which needs no
-    shuffle of the target when the source's keys fit a broadcast.
+    shuffle of the target when the source's keys fit a broadcast. ``source_keys`` gives
+    the source's keys where they can be had more cheaply than from ``source``.
     """
     names = find_keys(target, keys)
-    known = key_set(target, names).join(key_set(source, names), names, "left_semi")
-    return without_keys(source, known, names)
+    wanted = key_set(source, names) if source_keys is None else source_keys
+    known = key_set(target, names).join(wanted, names, "left_semi")
+    return split_null_keys(source, names)[0].join(known, names, "left_anti")
 
 
 def merge_insert_only(
@@ -75,10 +83,16 @@ def merge_insert_only(
     on_duplicate: str = "raise",
     order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Insert rows with new keys; rows already there stay as they are."""
+    """Insert rows with new keys, and those without a key; rows already there stay."""
     names = find_keys(target, keys)
-    batch = one_per_key(source, names, on_duplicate, order_by)
-    return insert_by_name(target, rows_not_in(target, batch, names))
+    check_duplicates(source, names, on_duplicate)
+    keyed, unkeyed = split_null_keys(source, names)
+    if on_duplicate == "latest":
+        # Copies are reduced before the join, so they do not meet in one partition.
+        keyed = latest_of_group(keyed, names, order_by)
+    fresh = rows_not_in(target, keyed, names, key_set(source, names, repeated=on_duplicate == "latest"))
+    grown = insert_by_name(target, fresh)
+    return grown if unkeyed is None else insert_by_name(grown, unkeyed)
 
 
 def insert_if_absent(target: DataFrame, source: DataFrame, key: str, order_by: Sequence[str] = ()) -> DataFrame:
@@ -147,25 +161,25 @@ def merge_full(
     on_duplicate: str = "raise",
     order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Upsert plus deletion, by known keys, by a soft-delete flag or by comparison.
+    """Upsert plus deletion, by a soft-delete flag, by known keys or by comparison.
 
-    ``deleted_keys`` leave the target and the batch. ``soft``, a (column, value), takes
-    them from the flagged rows of ``full_source``, or of ``source``. With neither,
-    rows whose key ``full_source`` lacks are deleted.
+    ``soft`` is the (column, value) that flags deleted rows of the source; ``deleted_keys``
+    are keys known to be deleted. With neither, rows whose key ``full_source`` lacks go.
     """
     names = find_keys(target, keys)
     batch = one_per_key(source, names, on_duplicate, order_by)
+    replaced = key_set(source, names, repeated=on_duplicate == "latest")
     if soft is not None:
-        deleted_keys = soft_deleted_keys(source if full_source is None else full_source, names, *soft)
+        batch = batch.where(~F.coalesce(is_flagged(batch, *soft), F.lit(False)))
     if deleted_keys is not None:
-        gone = key_set(deleted_keys, names)
         # Replaced and deleted rows leave the target in one join.
-        kept = without_keys(target, key_set(batch, names).unionByName(gone), names)
-        return insert_by_name(kept, without_keys(batch, gone, names))
+        gone = key_set(deleted_keys, names)
+        replaced, batch = replaced.unionByName(gone), without_keys(batch, gone, names)
+    if soft is not None or deleted_keys is not None:
+        return insert_by_name(without_keys(target, replaced, names), batch)
     if full_source is None:
         raise ValueError("a comparison delete needs the full source")
     # Two joins on the same keys: the target moves once for both.
-    replaced = key_set(batch, names)
     kept = split_null_keys(target, names)[0].join(replaced, names, "left_anti")
     return insert_by_name(
         delete_comparison(kept, full_source, names, allow_empty),

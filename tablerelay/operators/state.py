@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablerelay.operators.keys import latest_per_key
-from tablerelay.operators.merge import merge_upsert
+from tablerelay.operators.keys import key_set, latest_of_group, without_keys
+from tablerelay.operators.mapping import insert_by_name
 
 STATE_SCHEMA = (
     "job_identifier string, last_sync_time timestamp_ntz, last_row_version binary, "
@@ -19,24 +19,32 @@ STATE_SCHEMA = (
 def last_success_state(states: DataFrame) -> DataFrame:
     """The latest successful state of each job."""
     succeeded = states.where(F.col("success"))
-    return latest_per_key(succeeded, ["job_identifier"], ["last_sync_time", "updated_at"])
+    return latest_of_group(succeeded, ["job_identifier"], ["last_sync_time", "updated_at"])
 
 
 def save_state(states: DataFrame, updates: DataFrame) -> DataFrame:
-    """States after an upsert of one row per job; created_at of a known job stays."""
+    """States after an upsert, the latest per job; created_at of a known job stays.
+
+    A state without a job's name belongs to no job and is left out.
+    """
+    key = ["job_identifier"]
+    named = updates.dropna(subset=key)
     created = states.select("job_identifier", F.col("created_at").alias("_created"))
-    stamped = (
-        updates.join(created, "job_identifier", "left")
+    batch = (
+        latest_of_group(named, key, ["updated_at"])
+        .join(created, key, "left")
         .withColumn("created_at", F.coalesce("_created", "created_at"))
         .drop("_created")
     )
-    return merge_upsert(states, stamped, ["job_identifier"], "latest", ["updated_at"])
+    return insert_by_name(without_keys(states, key_set(named, key, repeated=True), key), batch)
 
 
 def save_settings(settings: DataFrame, updates: DataFrame) -> DataFrame:
     """Key-value settings after an upsert; a NULL value removes its key."""
-    merged = merge_upsert(settings, updates, ["key"], "latest")
-    return merged.where(F.col("value").isNotNull())
+    key = ["key"]
+    named = updates.dropna(subset=key)
+    kept = without_keys(settings, key_set(named, key, repeated=True), key)
+    return insert_by_name(kept, latest_of_group(named, key, [])).where(F.col("value").isNotNull())
 
 
 def reset_state(states: DataFrame, job_identifier: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablerelay.functions.identity import row_hash, row_key
 from tablerelay.operators.incremental import incremental_rowversion, incremental_timestamp, max_watermark
 from tablerelay.operators.keys import find_column, find_keys
-from tablerelay.operators.mapping import align_to_target, map_columns
+from tablerelay.operators.mapping import align_to_target, auto_map, map_columns
 from tablerelay.operators.merge import (
     is_flagged,
     merge_action_counts,
@@ -187,6 +187,21 @@ def _merge_counts(job: JobSpec, target: DataFrame, batch: DataFrame, after: int)
     return {**counts, "DELETE": before + counts["INSERT"] - after}
 
 
+def check_job(job: JobSpec) -> None:
+    """Fail, naming it, on a column that the job names and its source does not have.
+
+    Needs the source's schema only; nothing is read.
+    """
+    how, columns = job.incremental, job.source.columns
+    if how.tracking_column:
+        find_column(columns, how.tracking_column)
+    if how.deletes is not None and how.deletes.mode == "soft":
+        find_column(columns, how.deletes.column)
+    mapped = map_columns(job.source, auto_map(job.source) if job.mappings is None else job.mappings)
+    for key in job.keys:
+        find_column(mapped.columns, key)
+
+
 def run_job(spark: SparkSession, job: JobSpec, state_path: str, as_of: str | dt.datetime) -> RunResult:
     """Read, guard, merge and publish; then record the new high-water mark.
 
@@ -194,6 +209,7 @@ def run_job(spark: SparkSession, job: JobSpec, state_path: str, as_of: str | dt.
     never replaces the table. The mark is kept when a batch is empty or carries none, and
     is written after the flip: a run that dies in between is simply read again.
     """
+    check_job(job)
     as_of = as_of.isoformat(sep=" ") if isinstance(as_of, dt.datetime) else as_of
     how, options, folder = job.incremental, job.options, job.folder.rstrip("/")
     tracking = how.mode in ("timestamp", "rowversion")

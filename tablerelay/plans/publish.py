@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablerelay.operators.keys import find_keys
 from tablerelay.operators.mapping import align_to_target
@@ -23,6 +24,10 @@ from tablerelay.session import shared_folder
 from tablerelay.spec import Options
 
 
+# The most buckets one batch may name: their names pass through the driver.
+MAX_BUCKETS = 100_000
+
+
 @dataclass(frozen=True)
 class Load:
     """A written folder, with the figures observed while it was written."""
@@ -149,9 +154,17 @@ def load_direct(df: DataFrame, table: str, folder: str, append: bool = False) ->
     return load
 
 
-def write_bucketed(df: DataFrame, path: str, bucket: str) -> None:
-    """Write a table in folders by the SQL expression ``bucket``, for :func:`merge_touched`."""
-    df.withColumn("_bucket", F.expr(bucket)).write.mode("overwrite").partitionBy("_bucket").parquet(path)
+def write_bucketed(df: DataFrame, path: str, bucket: str) -> Load:
+    """Write a table in folders by the SQL expression ``bucket``, for :func:`merge_touched`.
+
+    Rows are rebalanced by bucket first, so a small bucket becomes one file, not one per
+    task, and a large one is shared out among tasks.
+    """
+    seen = Observation()
+    placed = df.withColumn("_bucket", F.expr(bucket)).hint("rebalance", F.col("_bucket"))
+    counted = placed.observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("overwrite").partitionBy("_bucket").parquet(path)
+    return Load(path, seen.get["rows"], {})
 
 
 def show_bucketed(spark: SparkSession, table: str, path: str) -> None:
@@ -181,16 +194,23 @@ def merge_touched(
     names = find_keys(batch, keys)
     # Resolving the expression over the keys alone fails if it uses another column.
     touched = batch.select(*names).select(F.expr(bucket).alias("_bucket")).distinct()
-    buckets = sorted((r["_bucket"] for r in touched.toLocalIterator()), key=str)
+    buckets = [r["_bucket"] for r in touched.limit(MAX_BUCKETS + 1).collect()]
+    if len(buckets) > MAX_BUCKETS:
+        raise ValueError(f"the batch names more than {MAX_BUCKETS} buckets; use a coarser expression")
     if not buckets:
         return []
-    current = spark.read.parquet(path).where(F.col("_bucket").isin(buckets)).drop("_bucket")
-    staged = shared_folder(spark, "touched")
-    merged = merge_upsert(current, batch, names, **merge).withColumn("_bucket", F.expr(bucket))
-    load = load_partitioned(merged, staged)
+    # Folder names are read as the expression's own type, not as what they look like.
+    columns = [f for f in spark.read.parquet(path).schema.fields if f.name != "_bucket"]
+    table = spark.read.schema(T.StructType([*columns, touched.schema["_bucket"]])).parquet(path)
+    named = F.col("_bucket").isin([b for b in buckets if b is not None])
+    if None in buckets:
+        named = named | F.col("_bucket").isNull()
+    merged = merge_upsert(table.where(named).drop("_bucket"), batch, names, **merge)
+    staged = write_bucketed(merged, shared_folder(spark, "touched"), bucket)
+    replacement = spark.read.schema(table.schema).parquet(staged.path)
+    count_parity_guard(staged.rows, replacement.count())
     (
-        read_load(spark, load)
-        .write.mode("overwrite")
+        replacement.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("_bucket")
         .parquet(path)

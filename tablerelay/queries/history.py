@@ -59,6 +59,13 @@ def history_totals(t):
     return history.history_totals(t.history)
 
 
+@book.query("""
+    SELECT CAST(count(*) AS BIGINT) AS total_executions,
+           CAST(sum(rows_inserted + rows_updated + rows_deleted) AS BIGINT) AS total_rows_processed FROM {history}""")
+def history_grand_total(t):
+    return history.history_grand_total(t.history)
+
+
 @book.query("""
     SELECT * EXCLUDE (position) FROM (SELECT *, row_number() OVER (PARTITION BY config_id ORDER BY start_time DESC, execution_id DESC) AS position
     FROM {history}) ranked WHERE position = 1""")

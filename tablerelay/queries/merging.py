@@ -51,7 +51,7 @@ _LATEST_LINE = f"""
         FROM lineitem WHERE l_shipdate > TIMESTAMP '1997-01-01 00:00:00') ranked WHERE position = 1) merged""")
 def merge_upsert_latest(t):
     composite = ["l_orderkey", "l_linenumber"]
-    target = key_ops.latest_per_key(t.lineitem, composite, ["l_shipdate"]).where("l_returnflag <> 'R'")
+    target = key_ops.latest_of_group(t.lineitem, composite, ["l_shipdate"]).where("l_returnflag <> 'R'")
     batch = t.lineitem.where("l_shipdate > TIMESTAMP_NTZ '1997-01-01 00:00:00'")
     return merge.merge_upsert(target, batch, composite, "latest", ["l_shipdate"])
 

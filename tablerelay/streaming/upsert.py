@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablerelay.operators.changes import apply_changes
-from tablerelay.operators.keys import latest_per_key
-from tablerelay.operators.mapping import align_to_target
-from tablerelay.operators.merge import merge_upsert
+from tablerelay.operators.keys import key_set, latest_per_key, without_keys
+from tablerelay.operators.mapping import insert_by_name
 
 
 def log_batches(
@@ -43,8 +42,8 @@ def read_batches(spark: SparkSession, log_path: str, schema: str, after: int = -
 
 def fold_rows(target: DataFrame, logged: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """The target after the logged rows: for each key the newest row wins, a later batch on ties."""
-    newest = latest_per_key(logged, keys, [*order_by, "batch_id"])
-    return merge_upsert(target, align_to_target(newest.drop("batch_id"), target.schema), keys, "unique")
+    newest = latest_per_key(logged, keys, [*order_by, "batch_id"]).drop("batch_id")
+    return insert_by_name(without_keys(target, key_set(logged, keys, repeated=True), keys), newest)
 
 
 def fold_changes(target: DataFrame, logged: DataFrame, keys: Sequence[str], version: str, op: str) -> DataFrame:

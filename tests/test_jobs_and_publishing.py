@@ -144,6 +144,29 @@ def test_bucketed_jobs_rewrite_only_touched_buckets(spark, place):
         publish.merge_touched(spark, folder, clients(spark, *FIRST), ["id"], "length(name)")
 
 
+def test_buckets_keep_their_type_and_null_bucket(spark):
+    path = shared_folder(spark, "text-buckets")
+    make = lambda *rows: spark.createDataFrame(list(rows), "k string, v int")
+    bucket = "substring(k, 1, 2)"
+    publish.write_bucketed(make(("01a", 1), ("01b", 2), ("1a", 3), (None, 4)), path, bucket)
+    done = publish.merge_touched(spark, path, make(("01a", 9), (None, 5)), ["k"], bucket)
+    assert sorted(done, key=str) == ["01", None]
+    rows = spark.read.parquet(path).select("k", "v").collect()
+    assert sorted(map(tuple, rows), key=str) == [("01a", 9), ("01b", 2), ("1a", 3), (None, 4), (None, 5)]
+    assert publish.merge_touched(spark, path, make(), ["k"], bucket) == []
+
+
+def test_jobs_name_columns_that_do_not_exist(spark, place):
+    for how, more in (
+        (Incremental("timestamp", "nope"), {}),
+        (Incremental("timestamp", "changed", merge="full", deletes=DeleteDetection("soft", "nope")), {}),
+        (Incremental("timestamp", "changed"), {"keys": ["nope"]}),
+        (Incremental("timestamp", "changed"), {"mappings": [("nope", "id")]}),
+    ):
+        with pytest.raises(ValueError, match="nope"):
+            run(spark, place, clients(spark, *FIRST), how, **more)
+
+
 def test_guards_leave_the_table_as_it_was(spark, place):
     full = Incremental("full")
     run(spark, place, clients(spark, *FIRST), full)

@@ -155,11 +155,12 @@ def _lag_in_groups(df, keys, order, columns, name):
 
 def _lag_in_ranges(df, keys, order, columns, name):
     spark = df.sparkSession
-    path = shared_folder(spark, "ranges")
+    path, order = shared_folder(spark, "ranges"), [*order, "_tie"]
     # Range bounds come from a sample, so the ranges are written once: every later
-    # read, and every retried task, sees the same ones.
+    # read, and every retried task, sees the same ones. The tie spreads equal rows.
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
     (
-        df.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
+        tied.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
         .withColumn("_range", F.spark_partition_id())
         .write.parquet(path)
     )
@@ -175,6 +176,7 @@ def _lag_in_ranges(df, keys, order, columns, name):
         .where(F.col("_tail").isNotNull())
     )
     matches = [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ["_range", *keys]]
+    # Only the first row of a range lacks a predecessor in it.
     return (
         lagged.alias("l")
         .join(carried.alias("c"), matches, "left")

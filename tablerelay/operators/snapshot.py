@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablerelay.functions.identity import row_hash, row_key
-from tablerelay.operators.keys import find_keys
+from tablerelay.operators.keys import find_keys, latest_of_group
 from tablerelay.session import before, ntz
 
 
@@ -70,18 +70,20 @@ def snapshot_changes(
 ) -> DataFrame:
     """The rows themselves: new and changed rows of ``new``, and the bare keys of deleted ones.
 
-    Key and hash are computed beside the row, so one join gives the rows as well. Both
-    tables have unique keys. ``values`` names what is hashed, in columns of either table.
+    Key and hash are computed beside the row, so one join gives the rows as well. Of rows
+    that share a key, the one with the greatest hash counts, as in a snapshot. ``values``
+    names what is hashed, in columns of either table.
     """
     names = find_keys(new, keys)
     hashed = [F.col(c) for c in new.columns] if values is None else [
         F.expr(v) if isinstance(v, str) else v for v in values
     ]
     key, digest = row_key([F.col(k) for k in names]), row_hash(hashed, encoding)
-    before_side = old.select(
-        key.alias("_pk"), digest.alias("_old"), *[F.col(k).alias(f"_was_{k}") for k in names]
+    before_side = latest_of_group(
+        old.select(key.alias("_pk"), digest.alias("_old"), *[F.col(k).alias(f"_was_{k}") for k in names]),
+        ["_pk"], ["_old"],
     )
-    after_side = new.select(key.alias("_pk"), digest.alias("_new"), *new.columns)
+    after_side = latest_of_group(new.select(key.alias("_pk"), digest.alias("_new"), *new.columns), ["_pk"], ["_new"])
 
     def value(column: str) -> Column:
         return F.coalesce(column, f"_was_{column}").alias(column) if column in names else F.col(column)

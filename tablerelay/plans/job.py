@@ -8,9 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerelay.functions.identity import row_hash, row_key
 from tablerelay.operators.incremental import incremental_rowversion, incremental_timestamp, max_watermark
-from tablerelay.operators.keys import find_column, find_keys
+from tablerelay.operators.keys import find_column
 from tablerelay.operators.mapping import align_to_target, auto_map, map_columns
 from tablerelay.operators.merge import (
     is_flagged,
@@ -20,10 +19,11 @@ from tablerelay.operators.merge import (
     merge_upsert,
     one_per_key,
 )
-from tablerelay.operators.snapshot import snapshot_diff
+from tablerelay.operators.snapshot import build_snapshot, snapshot_diff
 from tablerelay.operators.state import STATE_SCHEMA, last_success_state
 from tablerelay.plans.guards import GuardError, min_row_guard
 from tablerelay.plans.publish import (
+    Load,
     append_load,
     drop_old_versions,
     flip,
@@ -44,12 +44,15 @@ class RunResult:
     """What a run read and published. ``published`` is False where nothing changed.
 
     ``changes`` holds rows inserted, updated and deleted, as far as the mode knows them.
+    ``untracked`` counts rows of a whole load that have no tracking value: incremental runs
+    will not see them again until they get one.
     """
 
     rows_read: int
     published: bool
     location: str | None
     changes: dict[str, int] = field(default_factory=dict)
+    untracked: int | None = None
 
 
 @dataclass(frozen=True)
@@ -102,8 +105,6 @@ def _known_marks(spark: SparkSession, path: str, job: JobSpec) -> Marks | None:
 
 def _delta(job: JobSpec, source: DataFrame, marks: Marks) -> DataFrame:
     how = job.incremental
-    if how.force_full:
-        return source
     if how.mode == "timestamp" and marks.time is not None:
         return incremental_timestamp(source, how.tracking_column, marks.time, how.inclusive)
     if how.mode == "rowversion" and marks.version is not None:
@@ -142,11 +143,13 @@ def _flagged_keys(job: JobSpec) -> DataFrame:
 
 
 def _merged(job: JobSpec, target: DataFrame, batch: DataFrame) -> DataFrame:
+    """The target after the batch, whose keys were checked before if they must not repeat."""
     how, order = job.incremental, _newest(job)
+    copies = "unique" if how.on_duplicate == "raise" else how.on_duplicate
     if how.merge == "insert_only":
-        return merge_insert_only(target, batch, job.keys, how.on_duplicate, order)
+        return merge_insert_only(target, batch, job.keys, copies, order)
     if how.merge == "upsert":
-        return merge_upsert(target, batch, job.keys, how.on_duplicate, order)
+        return merge_upsert(target, batch, job.keys, copies, order)
     whole = job.source if job.mappings is None else map_columns(job.source, job.mappings)
     return merge_full(
         target,
@@ -155,22 +158,15 @@ def _merged(job: JobSpec, target: DataFrame, batch: DataFrame) -> DataFrame:
         deleted_keys=_flagged_keys(job) if how.deletes.mode == "soft" else None,
         full_source=align_to_target(whole, target.schema),
         allow_empty=how.deletes.allow_empty,
-        on_duplicate=how.on_duplicate,
+        on_duplicate=copies,
         order_by=order,
     )
 
 
-def _snapshot_counts(job: JobSpec, old: DataFrame, new: DataFrame) -> dict[str, int]:
+def _snapshot_counts(job: JobSpec, old: DataFrame, new: DataFrame, as_of: str) -> dict[str, int]:
     """What changed between two whole versions; at most three rows reach the driver."""
-    names = find_keys(new, job.keys)
-
-    def hashed(df: DataFrame) -> DataFrame:
-        return df.select(
-            row_key([F.col(k) for k in names]).alias("pk_value"),
-            row_hash([F.col(c) for c in new.columns]).alias("row_hash"),
-        )
-
-    counted = snapshot_diff(hashed(old), hashed(new)).groupBy("change_type").count()
+    sides = [build_snapshot(df, job.job_id, job.keys, as_of) for df in (old, new)]
+    counted = snapshot_diff(*sides).groupBy("change_type").count()
     return {r["change_type"]: r["count"] for r in counted.collect()}
 
 
@@ -202,21 +198,69 @@ def check_job(job: JobSpec) -> None:
         find_column(mapped.columns, key)
 
 
+def _write(job: JobSpec, rows: DataFrame, path: str, **more) -> Load:
+    return load_partitioned(
+        rows, path, batch_rows=job.options.batch_rows, writers=job.options.writers, **more
+    )
+
+
+def _publish_merge(spark: SparkSession, job: JobSpec, batch: DataFrame, location: str) -> tuple[str, dict]:
+    """Merge a batch into the published table; returns its location and what changed."""
+    how, target = job.incremental, spark.table(job.target)
+    aligned = align_to_target(batch, target.drop("_bucket").schema)
+    if job.bucket is not None:
+        merge_touched(
+            spark, location, aligned, job.keys, job.bucket,
+            on_duplicate=how.on_duplicate, order_by=_newest(job),
+        )
+        show_bucketed(spark, job.target, location)
+        return location, {}
+    unique = one_per_key(aligned, job.keys, how.on_duplicate, _newest(job))
+    merged = _write(job, _merged(job, target, aligned), version_path(job.folder))
+    read_load(spark, merged)
+    changes = _merge_counts(job, target, unique, merged.rows)
+    flip(spark, job.target, merged.path)
+    return merged.path, changes
+
+
+def _publish_whole(
+    spark: SparkSession, job: JobSpec, batch: DataFrame, path: str, location: str | None, as_of: str
+) -> tuple[str, dict]:
+    """Put a whole load, written to ``path``, in the place of the table, or at its end."""
+    how, tracking = job.incremental, job.incremental.mode in ("timestamp", "rowversion")
+    if job.options.append and location is not None and not tracking:
+        append_load(batch, job.target)
+        return location, {}
+    changes: dict[str, int] = {}
+    if how.mode == "snapshot" and location is not None:
+        published = align_to_target(spark.table(job.target), batch.schema)
+        changes = _snapshot_counts(job, published, batch, as_of)
+    if tracking:
+        batch = one_per_key(batch, job.keys, how.on_duplicate, _newest(job))
+    if job.bucket is not None:
+        path = write_bucketed(batch, version_path(job.folder), job.bucket).path
+        show_bucketed(spark, job.target, path)
+        return path, changes
+    if tracking and how.on_duplicate == "latest":
+        path = _write(job, batch, version_path(job.folder)).path
+    flip(spark, job.target, path)
+    return path, changes
+
+
 def run_job(spark: SparkSession, job: JobSpec, state_path: str, as_of: str | dt.datetime) -> RunResult:
     """Read, guard, merge and publish; then record the new high-water mark.
 
-    The first run of a job loads everything. Later runs merge what is new, so a delta
-    never replaces the table. The mark is kept when a batch is empty or carries none, and
-    is written after the flip: a run that dies in between is simply read again.
+    The first run of a job, or a forced full one, loads everything. Later runs merge what
+    is new, so a delta never replaces the table. The mark is kept when a batch is empty or
+    carries none, and is written after the flip: a run that dies in between is read again.
     """
     check_job(job)
     as_of = as_of.isoformat(sep=" ") if isinstance(as_of, dt.datetime) else as_of
     how, options, folder = job.incremental, job.options, job.folder.rstrip("/")
+    known, location = _known_marks(spark, state_path, job), table_location(spark, job.target)
     tracking = how.mode in ("timestamp", "rowversion")
-    marks, location = _known_marks(spark, state_path, job), table_location(spark, job.target)
-    first = marks is None or location is None
-    merging = tracking and not first
-    marks = marks or Marks()
+    merging = tracking and known is not None and location is not None and not how.force_full
+    marks = known or Marks()
 
     source = source_top_n(job.source, options.top)
     delta = _delta(job, source, marks) if merging else source
@@ -224,16 +268,13 @@ def run_job(spark: SparkSession, job: JobSpec, state_path: str, as_of: str | dt.
     # loads are written where they can be published as they are.
     figures = {}
     if tracking:
-        mark = max_watermark(find_column(delta.columns, how.tracking_column))
+        tracked = find_column(delta.columns, how.tracking_column)
+        mark = max_watermark(tracked)
         figures["mark"] = mark if how.mode == "rowversion" else mark.cast("timestamp_ntz").cast("string")
-    load = load_partitioned(
-        delta,
-        version_path(f"{folder}/stage" if merging or job.bucket else folder),
-        batch_rows=options.batch_rows,
-        writers=options.writers,
-        figures=figures,
-        mapped=lambda rows: _living(job, rows),
-    )
+        if not merging:
+            figures["untracked"] = F.count_if(F.col(tracked).isNull())
+    stage = version_path(f"{folder}/stage" if merging or job.bucket else folder)
+    load = _write(job, delta, stage, figures=figures, mapped=lambda rows: _living(job, rows))
     batch = read_load(spark, load)
 
     if merging and load.rows == 0 and how.merge != "full" and options.empty == "noop":
@@ -243,47 +284,11 @@ def run_job(spark: SparkSession, job: JobSpec, state_path: str, as_of: str | dt.
     if how.mode == "snapshot" and load.rows == 0 and location is not None and not options.force:
         raise GuardError("the source is empty, so every target row would be deleted")
 
-    changes: dict[str, int] = {}
     if merging:
-        target = spark.table(job.target)
-        aligned = align_to_target(batch, target.drop("_bucket").schema)
-        if job.bucket is not None:
-            path = location
-            merge_touched(
-                spark, path, aligned, job.keys, job.bucket,
-                on_duplicate=how.on_duplicate, order_by=_newest(job),
-            )
-            show_bucketed(spark, job.target, path)
-        else:
-            unique = one_per_key(aligned, job.keys, how.on_duplicate, _newest(job))
-            merged = load_partitioned(
-                _merged(job, target, aligned), version_path(folder),
-                batch_rows=options.batch_rows, writers=options.writers,
-            )
-            path = merged.path
-            changes = _merge_counts(job, target, unique, merged.rows)
-            flip(spark, job.target, path)
-    elif options.append and location is not None and not tracking:
-        append_load(batch, job.target)
-        path = location
+        path, changes = _publish_merge(spark, job, batch, location)
     else:
-        path = load.path
-        if tracking and how.on_duplicate == "raise":
-            one_per_key(batch, job.keys, "raise", ())
-        elif tracking and how.on_duplicate == "latest":
-            batch = one_per_key(batch, job.keys, "latest", _newest(job))
-            path = version_path(folder)
-            if job.bucket is None:
-                load_partitioned(batch, path, batch_rows=options.batch_rows, writers=options.writers)
-        if job.bucket is not None:
-            path = version_path(folder)
-            write_bucketed(batch, path, job.bucket)
-            show_bucketed(spark, job.target, path)
-        else:
-            if how.mode == "snapshot" and location is not None:
-                changes = _snapshot_counts(job, align_to_target(spark.table(job.target), batch.schema), batch)
-            flip(spark, job.target, path)
-    result = RunResult(load.rows, True, path, changes)
+        path, changes = _publish_whole(spark, job, batch, load.path, location, as_of)
+    result = RunResult(load.rows, True, path, changes, load.figures.get("untracked"))
 
     mark = load.figures.get("mark")
     if mark is not None:

@@ -76,6 +76,12 @@ def test_ties_with_the_mark_are_read_where_asked(spark, place):
     assert names(spark, place)[4] == "tied"
 
 
+def test_a_forced_full_run_replaces_the_table(spark, place):
+    run(spark, place, clients(spark, *FIRST), Incremental("timestamp", "changed"))
+    run(spark, place, clients(spark, FIRST[1]), Incremental("timestamp", "changed", force_full=True))
+    assert set(names(spark, place)) == {2}
+
+
 def test_row_versions(spark, place):
     def source(*pairs):
         return spark.createDataFrame([(i, n, v.to_bytes(8, "big")) for i, n, v in pairs], "id int, name string, ver binary")
@@ -259,5 +265,30 @@ def test_specs_are_checked(spark):
     assert DeleteDetection.of({"mode": "soft", "column": "c", "value": 1}).column == "c"
 
 
-def test_a_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+class Unset:
+    """A session on a cluster that names no shared folder."""
+
+    conf = sparkContext = None
+
+    def __init__(self, master):
+        self.conf = self.sparkContext = self
+        self.master = master
+
+    def get(self, key, default):
+        return default
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
     assert shared_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert "tablerelay" in shared_folder(Unset("local[2]"), "x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Unset("yarn"), "x")
+
+
+def test_rows_without_a_tracking_value_are_counted_and_not_read_again(spark, place):
+    how = Incremental("timestamp", "changed")
+    source = clients(spark, *FIRST, (9, "unstamped", 1, None))
+    assert run(spark, place, source, how).untracked == 1
+    assert not run(spark, place, source, how).published
+    filled = incremental.backfill_tracking(source, "changed", "2025-06-01 00:00:00")
+    assert run(spark, place, filled, how).rows_read == 1

@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The verdicts, and the limits that part them. Deviations are in percent,
+# success rates are shares between 0 and 1, rates are multiples of the usual one.
+PERFORMANCE = ((-20, "Excelente"), (10, "Bueno"), (50, "Normal"))
+SLOWEST = "Lento"
+STEADY_DURATION, STEADY_ROWS = 10, 15
+ANOMALOUS_DURATION, ANOMALOUS_ROWS = 30, 50
+STABLE, ANOMALY, VARIANCE = "STABLE", "ANOMALY", "NORMAL VARIANCE"
+OPTIMAL_RATE, DEGRADED_RATE = 1.2, 0.7
+OPTIMAL, DEGRADED, ACCEPTABLE = "OPTIMAL", "DEGRADED", "ACCEPTABLE"
+ALERT_DURATION, WARNING_DURATION, CONCERN_RATE = 100, 50, 0.80
+ALERT, WARNING, CONCERN, ALL_CLEAR = "ALERT", "WARNING", "CONCERN", "ALL CLEAR"
+GROWING_ROWS, SLOW_SECONDS, FEW_ROWS = 2, 300, 10_000
+GROWTH_TIP = "Data volume is growing. Consider batch processing or incremental sync."
+THROUGHPUT_TIP = "Low throughput detected. Check network latency and query optimization."
+STABLE_VOLUME = 0.1
+STABILITY = ((0.95, "excelente estabilidad"), (0.80, "estabilidad aceptable"))
+UNSTABLE = "necesita atención"
+SLOWER_DURATION, FASTER_DURATION, GROWTH_ROWS = 50, -30, 100
+
+
+def _first(choices: Sequence[tuple[Column, str]], otherwise: str | None = None) -> Column:
+    """The word of the first condition that holds."""
+    words = [F.when(condition, word) for condition, word in choices]
+    return F.coalesce(*words, F.lit(otherwise).cast("string"))
+
 
 def deviation_percent(value: Column, average: Column) -> Column:
     """Percent above (or below) the average; 0 where there is no average."""
@@ -12,21 +39,13 @@ def deviation_percent(value: Column, average: Column) -> Column:
 
 
 def performance_class(duration_deviation: Column) -> Column:
-    return (
-        F.when(duration_deviation < -20, "Excelente")
-        .when(duration_deviation < 10, "Bueno")
-        .when(duration_deviation < 50, "Normal")
-        .otherwise("Lento")
-    )
+    return _first([(duration_deviation < limit, word) for limit, word in PERFORMANCE], SLOWEST)
 
 
 def run_pattern(duration_deviation: Column, rows_deviation: Column) -> Column:
-    steady = (F.abs(duration_deviation) < 10) & (F.abs(rows_deviation) < 15)
-    return (
-        F.when(steady, "STABLE")
-        .when((duration_deviation > 30) | (rows_deviation > 50), "ANOMALY")
-        .otherwise("NORMAL VARIANCE")
-    )
+    steady = (F.abs(duration_deviation) < STEADY_DURATION) & (F.abs(rows_deviation) < STEADY_ROWS)
+    odd = (duration_deviation > ANOMALOUS_DURATION) | (rows_deviation > ANOMALOUS_ROWS)
+    return _first([(steady, STABLE), (odd, ANOMALY)], VARIANCE)
 
 
 def throughput(rows: Column, seconds: Column) -> Column:
@@ -35,51 +54,40 @@ def throughput(rows: Column, seconds: Column) -> Column:
 
 
 def throughput_class(rate: Column, usual_rate: Column) -> Column:
-    return (
-        F.when(rate > usual_rate * 1.2, "OPTIMAL")
-        .when(rate < usual_rate * 0.7, "DEGRADED")
-        .otherwise("ACCEPTABLE")
-    )
+    fast, slow = rate > usual_rate * OPTIMAL_RATE, rate < usual_rate * DEGRADED_RATE
+    return _first([(fast, OPTIMAL), (slow, DEGRADED)], ACCEPTABLE)
 
 
 def alerts(duration_deviation: Column, success_rate: Column) -> Column:
-    """All alerts that hold; a success rate is a share between 0 and 1."""
-    slow = F.when(duration_deviation > 100, "ALERT").when(duration_deviation > 50, "WARNING")
-    failing = F.when(success_rate < 0.80, "CONCERN")
-    raised = F.array_compact(F.array(slow, failing))
-    return F.when(F.size(raised) > 0, raised).otherwise(F.array(F.lit("ALL CLEAR")))
+    """All alerts that hold: at most one on the duration, and one on the success rate."""
+    slow = _first([
+        (duration_deviation > ALERT_DURATION, ALERT),
+        (duration_deviation > WARNING_DURATION, WARNING),
+    ])
+    raised = F.array_compact(F.array(slow, F.when(success_rate < CONCERN_RATE, CONCERN)))
+    return F.when(F.size(raised) > 0, raised).otherwise(F.array(F.lit(ALL_CLEAR)))
 
 
 def run_tip(rows: Column, average_rows: Column, seconds: Column) -> Column:
-    return F.when(
-        rows > average_rows * 2,
-        "Data volume is growing. Consider batch processing or incremental sync.",
-    ).when(
-        (seconds > 300) & (rows < 10000),
-        "Low throughput detected. Check network latency and query optimization.",
-    )
+    """Advice on one run, or NULL."""
+    growing = rows > average_rows * GROWING_ROWS
+    crawling = (seconds > SLOW_SECONDS) & (rows < FEW_ROWS)
+    return _first([(growing, GROWTH_TIP), (crawling, THROUGHPUT_TIP)])
 
 
 def volume_trend(rows: Column, average_rows: Column) -> Column:
     change = rows - average_rows
-    return F.when(F.abs(change) < average_rows * 0.1, "stable").when(change > 0, "up").otherwise("down")
+    return _first([(F.abs(change) < average_rows * STABLE_VOLUME, "stable"), (change > 0, "up")], "down")
 
 
 def stability(success_rate: Column) -> Column:
-    return (
-        F.when(success_rate >= 0.95, "excelente estabilidad")
-        .when(success_rate >= 0.80, "estabilidad aceptable")
-        .otherwise("necesita atención")
-    )
+    return _first([(success_rate >= least, word) for least, word in STABILITY], UNSTABLE)
 
 
 def duration_remark(duration_deviation: Column) -> Column:
-    return (
-        F.when(duration_deviation > 50, "slower")
-        .when(duration_deviation < -30, "faster")
-        .otherwise("expected")
-    )
+    slower, faster = duration_deviation > SLOWER_DURATION, duration_deviation < FASTER_DURATION
+    return _first([(slower, "slower"), (faster, "faster")], "expected")
 
 
 def growth_alert(rows_deviation: Column) -> Column:
-    return rows_deviation > 100
+    return rows_deviation > GROWTH_ROWS

@@ -55,6 +55,8 @@ class Incremental:
             raise ValueError(f"merge is one of {MERGES}, not {self.merge!r}")
         if self.mode in ("timestamp", "rowversion") and not self.tracking_column:
             raise ValueError(f"mode {self.mode!r} needs a tracking column")
+        if self.deletes is not None and self.merge != "full" and self.mode in ("timestamp", "rowversion"):
+            raise ValueError("delete detection needs a full merge")
         if self.merge == "full" and self.mode in ("timestamp", "rowversion") and self.deletes is None:
             raise ValueError("a full merge needs delete detection")
 

@@ -255,7 +255,8 @@ def test_specs_are_checked(spark):
         lambda: Options(batch_rows=0), lambda: Options(writers=0), lambda: Options(min_rows=-1),
         lambda: Options(empty="x"), lambda: Options(keep_versions=1), lambda: Incremental("nope"),
         lambda: Incremental("timestamp"), lambda: Incremental(merge="nope"),
-        lambda: Incremental("timestamp", "t", merge="full"), lambda: DeleteDetection("soft"),
+        lambda: Incremental("timestamp", "t", merge="full"),
+        lambda: Incremental("timestamp", "t", deletes=DeleteDetection("comparison")), lambda: DeleteDetection("soft"),
         lambda: DeleteDetection("autodetect"), lambda: JobSpec(" ", source, "t", "f"),
         lambda: JobSpec("j", source, "t", "f", incremental=Incremental("snapshot")),
         lambda: JobSpec("j", source, "t", "f", ["id"], bucket="id"),

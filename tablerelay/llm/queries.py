@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablerelay.llm import exact
+from tablerelay.llm import exact, mixing
 from tablerelay.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +29,55 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@query
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(read(spark, sf_dir, "documents"))
+
+
+SQL["op2_source_mix"] = r"""
+WITH sized AS (
+    SELECT row_number() OVER () AS row_id, doc_id, source, coalesce(text, '') AS body,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS h
+    FROM documents
+), named AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r
+    FROM sized GROUP BY source
+), weighed AS (
+    SELECT *, [5, 2, 1][((r - 1) % 3 + 1)::INT] AS weight, 2 * source_size AS most, sum(source_size) OVER () * 3 / 2 AS total
+    FROM named
+), shared AS (
+    SELECT *, most / weight AS ratio,
+           (total - coalesce(sum(most) OVER (ORDER BY most / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (ORDER BY most / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS each_one
+    FROM weighed
+), levelled AS (
+    SELECT *, (SELECT arg_min(each_one, (ratio, r)) FROM shared WHERE ratio > each_one) AS level FROM shared
+), targets AS (
+    SELECT source, r, source_size, coalesce(least(most::DOUBLE, weight * level), most::DOUBLE) AS target FROM levelled
+), intervals AS (
+    SELECT source, sum(round(target)::BIGINT) OVER (ORDER BY r) AS high, round(target)::BIGINT AS words,
+           sum(round(target)::BIGINT) OVER () AS every
+    FROM targets
+), points AS (
+    SELECT source, floor((high - words)::DOUBLE / every::DOUBLE * 2147483648)::BIGINT AS low,
+           floor(high::DOUBLE / every::DOUBLE * 2147483648)::BIGINT AS high
+    FROM intervals WHERE words > 0
+), size_of_mix AS (
+    SELECT sum(source_size)::BIGINT * 3 // 2 AS share, greatest(1, least(1024, sum(source_size)::BIGINT * 3 // 2 // 65536)) AS block FROM named
+), slots AS (
+    SELECT j, (j % 2147483648 * 1327217885 % 2147483648) AS point
+    FROM size_of_mix, unnest(range(0, ((share + block - 1) // block)::BIGINT)) AS t(j)
+), blocks_of AS (
+    SELECT source, count(*) AS n FROM slots JOIN points ON point >= low AND point < high GROUP BY source
+), streamed AS (
+    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size, body, row_id ROWS UNBOUNDED PRECEDING) - size AS start FROM sized
+)
+SELECT doc_id, size, t.source_size, t.target,
+       (greatest(0, least(size, coalesce(n, 0) * block - start))
+        + greatest(0, least(size, coalesce(n, 0) * block - t.source_size - start)))::BIGINT AS taken
+FROM streamed s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+LEFT JOIN blocks_of b ON s.source IS NOT DISTINCT FROM b.source, size_of_mix
+"""

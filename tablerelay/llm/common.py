@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the contracts: words are runs of other than these six ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
+#: Bytes of text that a Python task works on at a time.
+PIECE = 4_000_000
+
 _own_folder: str | None = None
 
 
@@ -92,5 +99,38 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def add_columns(docs: DataFrame, text: str, added: T.StructType, make: Callable[[], Callable], piece: int = PIECE) -> DataFrame:
+    """``docs`` with columns computed from the texts in Arrow batches.
+
+    ``make()`` is called once a task and gives a function from a list of texts (or None) to a
+    list of columns. A batch is worked on in slices of about ``piece`` characters, so memory
+    follows the longest text, not the batch. Columns that already have an added name go.
+    """
+    names = set(added.names)
+    kept = docs.select(*(F.col(quoted(c)) for c in docs.columns if c not in names or c == text))
+    schema = T.StructType([f for f in kept.schema.fields if f.name not in names] + added.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = None
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            stay = [k for k, name in enumerate(batch.schema.names) if name not in names]
+            for part in _slices(batch, at, piece):
+                work = work or make()
+                columns = [part.column(k) for k in stay] + work(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
+def _slices(batch: pa.RecordBatch, at: int, piece: int) -> Iterator[pa.RecordBatch]:
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // piece
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

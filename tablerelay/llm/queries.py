@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablerelay.llm import exact, mixing
-from tablerelay.llm.common import read
+from tablerelay.llm import byte_bpe, exact, mixing, simhash, url_rules, warc
+from tablerelay.llm.common import read, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def query(build: Query) -> Query:
     QUERIES[build.__name__] = build
@@ -81,3 +85,48 @@ SELECT doc_id, size, t.source_size, t.target,
 FROM streamed s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 LEFT JOIN blocks_of b ON s.source IS NOT DISTINCT FROM b.source, size_of_mix
 """
+
+
+@query
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN).drop("text")
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read(spark, sf_dir, "pages"), work_folder(spark, "warc"))
+
+
+#: Five bits a letter: hex digits spelt as bits, and every fifth bit on names one of 32 letters.
+SQL["op6_warc"] = """
+WITH whole AS (
+    SELECT page_id, sha1(coalesce(html, '')) AS hex, octet_length(encode(coalesce(html, ''))) AS n,
+           min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages
+), bits AS (
+    SELECT *, list_aggregate(list_transform(range(1, 41), lambda i:
+        right('000' || bin(instr('0123456789abcdef', substr(hex, i, 1)) - 1), 4)), 'string_agg', '') AS b FROM whole
+)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_sum(list_transform(range(0, 5), lambda k: substr(b, (5 * i + k + 1)::INT, 1)::INT << (4 - k)::INT))::INT, 1)),
+           'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM bits
+"""
+
+#: Fixed values of the contract.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+@query
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return url_rules.judged(pages, URL_RULES, url_rules.mine_rules(pages.join(bad, "page_id").select("url", "bad")))

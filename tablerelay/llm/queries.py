@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerelay.llm import byte_bpe, exact, mixing, simhash, url_rules, warc
+from tablerelay.llm import byte_bpe, exact, mixing, secrets, simhash, url_rules, warc
 from tablerelay.llm.common import read, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,45 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
     return url_rules.judged(pages, URL_RULES, url_rules.mine_rules(pages.join(bad, "page_id").select("url", "bad")))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
+def _spans_sql(kind: int, pattern: str, keep: str = "true") -> str:
+    text, quoted_pattern = "coalesce(text, '')", pattern.replace("'", "''")
+    return f"""
+    SELECT row_id, {kind} AS kind, start, start + length(hit) AS stop FROM (
+        SELECT row_id, unnest(h) AS hit, unnest(list_transform(h, lambda x, i:
+            list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda y: length(y))), 0)))::BIGINT AS start
+        FROM (SELECT row_id, string_split_regex({text}, '{quoted_pattern}') AS g, regexp_extract_all({text}, '{quoted_pattern}') AS h FROM rows_of)
+    ) WHERE {keep}"""
+
+
+_VALUE = secrets.ASSIGN_VALUE.replace("'", "''")
+_REACH = "a.row_id = b.row_id AND b.start <= a.stop + 400 AND b.stop + 400 >= a.start"
+SQL["op5_secret_scan"] = f"""
+WITH rows_of AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents),
+base AS ({_spans_sql(0, secrets.ASSIGN, f"length(regexp_extract(hit, '{_VALUE}', 1)) >= 8")}
+    UNION ALL {_spans_sql(1, secrets.ACCESS)} UNION ALL {_spans_sql(2, secrets.HEX)}),
+ident AS ({_spans_sql(3, secrets.IDENT)}),
+lone AS (SELECT * FROM ({_spans_sql(4, secrets.LONE, "length(hit) = 40")}) a
+    WHERE NOT EXISTS (SELECT 1 FROM base b WHERE a.row_id = b.row_id AND b.start < a.stop AND b.stop > a.start)),
+endpoint AS ({_spans_sql(5, secrets.ENDPOINT)}),
+identifiers AS (SELECT * FROM base WHERE kind = 1 UNION ALL SELECT * FROM ident),
+secret_parts AS (SELECT * FROM base WHERE kind IN (0, 2) UNION ALL SELECT * FROM lone),
+spans AS (
+    SELECT * FROM base
+    UNION ALL SELECT * FROM ident a WHERE EXISTS (SELECT 1 FROM secret_parts b WHERE {_REACH})
+    UNION ALL SELECT * FROM lone a WHERE EXISTS (SELECT 1 FROM identifiers b WHERE {_REACH})
+    UNION ALL SELECT * FROM endpoint a WHERE EXISTS (SELECT 1 FROM secret_parts b WHERE {_REACH}) AND EXISTS (SELECT 1 FROM identifiers b WHERE {_REACH})
+), told AS (
+    SELECT row_id, kind, start, ['assign', 'access', 'hex', 'ident', 'lone', 'endpoint'][kind + 1] || ':' || start || ':' || stop AS s FROM spans
+)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(s, ',' ORDER BY start, kind), '') AS spans
+FROM rows_of LEFT JOIN told USING (row_id) GROUP BY row_id
+"""

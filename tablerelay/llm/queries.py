@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerelay.llm import byte_bpe, exact, mixing, secrets, simhash, url_rules, warc
+from tablerelay.llm import byte_bpe, exact, language_id, mixing, neighbours, pii, secrets, simhash, url_rules, warc
 from tablerelay.llm.common import read, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,28 @@ def query(build: Query) -> Query:
     return build
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.learn(docs.filter(~out))
+    return language_id.identified(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: The key of the pseudonyms of this query; a real one comes from where secrets are kept.
+PII_KEY = "a key for the test tables"
+
+
+@query
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(read(spark, sf_dir, "documents"))

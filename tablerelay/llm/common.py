@@ -107,20 +107,20 @@ def add_columns(docs: DataFrame, text: str, added: T.StructType, make: Callable[
     follows the longest text, not the batch. Columns that already have an added name go.
     """
     names = set(added.names)
-    kept = docs.select(*(F.col(quoted(c)) for c in docs.columns if c not in names or c == text))
-    schema = T.StructType([f for f in kept.schema.fields if f.name not in names] + added.fields)
+    stay = [c for c in docs.columns if c not in names]
+    # By position: names may hold dots, which Spark's Arrow maps don't take.
+    given = docs.select(F.col(quoted(text)).alias("c0"), *(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(stay, start=1)))
+    fields = [T.StructField(f"c{k}", given.schema[f"c{k}"].dataType) for k in range(1, len(stay) + 1)]
+    schema = T.StructType(fields + [T.StructField(f"a{k}", f.dataType) for k, f in enumerate(added.fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            stay = [k for k, name in enumerate(batch.schema.names) if name not in names]
-            for part in _slices(batch, at, piece):
+            for part in _slices(batch, 0, piece):
                 work = work or make()
-                columns = [part.column(k) for k in stay] + work(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                yield pa.RecordBatch.from_arrays(part.columns[1:] + work(part.column(0).to_pylist()), names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).toDF(*stay, *added.names)
 
 
 def _slices(batch: pa.RecordBatch, at: int, piece: int) -> Iterator[pa.RecordBatch]:

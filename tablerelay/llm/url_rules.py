@@ -76,7 +76,8 @@ def mine_rules(labelled: DataFrame, *, support: float = SUPPORT, least_count: in
         return spark.createDataFrame([], "tokens array<string>, first string, confidence double")
     # Only tokens that reach the support together with BAD can be in a rule: the others needn't be mined.
     singles = sets.filter(F.array_contains("items", BAD)).select(F.explode("items").alias("token")).groupBy("token").count().filter(F.col("count") >= least * n)
-    useful = sets.select(F.monotonically_increasing_id().alias("row"), F.explode("items").alias("token")).join(singles, "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    each = sets.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("items").alias("token"))
+    useful = each.join(singles, "token").groupBy("row").agg(F.collect_list("token").alias("items"))
     model = FPGrowth(minSupport=least, minConfidence=confidence, numPartitions=sets.sparkSession.sparkContext.defaultParallelism).fit(written(useful.select("items"), "url-items"))
     rules = model.associationRules.filter(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("tokens"), "confidence")
     counts = written(sets.select(F.explode("items").alias("token")).groupBy("token").count(), "url-token-counts")

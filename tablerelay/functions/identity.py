@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 UNKNOWN_SOURCE = "UnknownSource"
 
 
+# What Spark and SQL take as one part of a name: plain, in brackets, in quotes or in backticks.
+_PART = r"""(?:\w+|\[[^\]]+\]|"[^"]+"|`[^`]+`)"""
+_NAME_AFTER_FROM = rf"(?i)\bFROM\s+({_PART}(?:\s*\.\s*{_PART})*)"
+
+
 def source_object_name(query: Column) -> Column:
-    """First object named after FROM, brackets removed."""
-    found = F.regexp_extract(query, r"(?i)\bFROM\s+([\[\]A-Za-z0-9_\.]+)", 1)
-    return F.when(F.coalesce(found, F.lit("")) == "", UNKNOWN_SOURCE).otherwise(
-        F.translate(found, "[]", "")
-    )
+    """First object named after FROM, its parts joined by dots, without brackets or quotes."""
+    found = F.regexp_replace(F.regexp_extract(query, _NAME_AFTER_FROM, 1), r"\s*\.\s*", ".")
+    return F.when(F.coalesce(found, F.lit("")) == "", UNKNOWN_SOURCE).otherwise(F.translate(found, '[]"`', ""))
 
 
 def job_identifier(
@@ -42,9 +45,32 @@ def rowversion_hex(version: Column) -> Column:
     return F.concat(F.lit("0x"), F.hex(version))
 
 
-def row_key(keys: Sequence[Column]) -> Column:
-    """Key values as one text, joined by ``||``; NULL reads ``NULL``."""
-    return F.concat_ws("||", *[F.coalesce(k.cast("string"), F.lit("NULL")) for k in keys])
+ENCODINGS = ("safe", "compat")
+
+# Microseconds, in UTC, wherever in a row an instant stands.
+_JSON = {
+    "ignoreNullFields": "false", "timeZone": "UTC",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+def _check_encoding(encoding: str) -> None:
+    if encoding not in ENCODINGS:
+        raise ValueError(f"encoding is 'safe' or 'compat', not {encoding!r}")
+
+
+def row_key(keys: Sequence[Column], encoding: str = "safe") -> Column:
+    """Key values as one text, joined by ``||``.
+
+    ``safe`` puts a backslash before backslashes and bars and writes NULL as ``\\N``, so that
+    different keys never fall together. ``compat`` leaves texts alone and reads NULL ``NULL``.
+    """
+    _check_encoding(encoding)
+    texts = [k.cast("string") for k in keys]
+    if encoding == "compat":
+        return F.concat_ws("||", *[F.coalesce(t, F.lit("NULL")) for t in texts])
+    escaped = [F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for t in texts]
+    return F.concat_ws("||", *[F.coalesce(t, F.lit("\\N")) for t in escaped])
 
 
 def row_hash(values: Sequence[Column], encoding: str = "safe") -> Column:
@@ -52,15 +78,13 @@ def row_hash(values: Sequence[Column], encoding: str = "safe") -> Column:
 
     ``compat`` writes each value as text followed by ``|`` with NULL as ``NULL``, so a
     NULL and the text NULL, or values holding ``|``, can collide. ``safe`` hashes JSON
-    and keeps them apart.
+    with instants to the microsecond and keeps them apart.
     """
+    _check_encoding(encoding)
     if encoding == "compat":
         text = F.concat(
             *[F.concat(F.coalesce(v.cast("string"), F.lit("NULL")), F.lit("|")) for v in values]
         )
-    elif encoding == "safe":
-        named = F.struct(*[v.alias(f"c{i}") for i, v in enumerate(values)])
-        text = F.to_json(named, {"ignoreNullFields": "false"})
     else:
-        raise ValueError(f"encoding is 'safe' or 'compat', not {encoding!r}")
+        text = F.to_json(F.struct(*[v.alias(f"c{i}") for i, v in enumerate(values)]), _JSON)
     return F.base64(F.unhex(F.sha2(text.cast("binary"), 256)))

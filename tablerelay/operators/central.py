@@ -25,8 +25,8 @@ def consolidate_history(
     """The central history with the feed's runs that it lacks.
 
     ``feed`` holds runs stamped with project_id and server_id, from any number of
-    machines; ``configs`` gives config_id and config_display_name, one row each. Copies
-    of a run within the feed count once, and a feed that was sent before adds nothing.
+    machines; ``configs`` gives config_id and config_display_name; of an id that repeats
+    the greatest name counts. Copies of a run within the feed count once, and a feed that was sent before adds nothing.
     A run without an id is rejected. Columns the feed lacks are NULL. ``max_rows`` keeps
     the newest runs of the feed only.
     """
@@ -39,7 +39,8 @@ def consolidate_history(
     if max_rows is not None:
         rows = history_filter(rows, limit=max_rows)
     fresh = rows_not_in(central, rows, key, names)
-    named = fresh.join(configs.select("config_id", "config_display_name"), "config_id", "left")
+    names_of = configs.groupBy("config_id").agg(F.max("config_display_name").alias("config_display_name"))
+    named = fresh.join(names_of, "config_id", "left")
     stamped = named.withColumn("synced_at", ntz(synced_at))
     for field in central.schema.fields:
         if field.name not in stamped.columns:

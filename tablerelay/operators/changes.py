@@ -3,38 +3,70 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablerelay.operators.keys import find_column, find_keys, key_set, latest_of_group, previous_row, without_keys
+from tablerelay.operators.keys import (
+    columns_of,
+    find_column,
+    find_keys,
+    key_set,
+    newest_first,
+    previous_row,
+    quoted,
+    sortable,
+    without_keys,
+)
 from tablerelay.operators.mapping import align_to_target
 
-# How a feed marks its operations.
+# How a feed marks its operations. A missing mark is an update.
 DELETE_OPS = ("D", "DELETE")
+UPSERT_OPS = ("I", "INSERT", "U", "UPDATE", "M", "MERGE")
 
 
 def apply_changes(
-    target: DataFrame, feed: DataFrame, keys: Sequence[str], version: str, op: str
+    target: DataFrame, feed: DataFrame, keys: Sequence[str], version: str, op: str, then: Sequence[str] = ()
 ) -> DataFrame:
     """The target after the feed: the newest event of each key decides.
 
-    Events with a NULL key name no row and are left out.
+    Events are ordered by ``version`` and, within one, by the columns ``then``. Events with
+    a NULL key name no row and are left out. The job fails on an operation that is neither
+    an upsert nor a delete, and where the two newest events of a key are of one age and say
+    different things.
     """
-    names, version, op = find_keys(feed, keys), find_column(feed.columns, version), find_column(feed.columns, op)
-    named = feed.dropna(subset=names)
-    latest = latest_of_group(named, names, [version])
+    names, op = find_keys(feed, keys), find_column(feed.columns, op)
+    age = [find_column(feed.columns, c) for c in (version, *then)]
+    mark = F.upper(F.coalesce(F.col(quoted(op)), F.lit("U")))
+    gone = F.when(mark.isin(*DELETE_OPS, *UPSERT_OPS), mark.isin(*DELETE_OPS)).otherwise(
+        F.raise_error(F.concat(F.lit("unknown operation "), mark)).cast("boolean")
+    )
+    named = feed.dropna(subset=names).withColumn("_gone", gone)
+    newest = Window.partitionBy(*columns_of(names)).orderBy(*newest_first(named, age))
+    two = named.withColumn("_position", F.row_number().over(newest)).where("_position <= 2")
+    shown = {c.lower() for c in target.columns}
+    values = [f.name for f in feed.schema.fields if f.name not in (*names, *age, op) and f.name.lower() in shown and sortable(f.dataType)]
+    said = F.struct(*columns_of(age), F.struct(F.col("_gone"), *[F.when(~F.col("_gone"), c) for c in columns_of(values)]).alias("_said"))
+    other = F.lead(said).over(Window.partitionBy(*columns_of(names)).orderBy("_position"))
+    same_age = [F.col(quoted(c)).eqNullSafe(F.col("_other").getField(c)) for c in age]
+    clash = reduce(and_, same_age, F.col("_other").isNotNull()) & ~F.col("_said").eqNullSafe(F.col("_other._said"))
+    error = F.raise_error(F.concat(F.lit("events of one age disagree on key "), F.to_json(F.struct(*columns_of(names)))))
+    latest = (
+        two.withColumns({"_other": other, "_said": said["_said"]}).where("_position = 1")
+        .where(F.when(clash, error.cast("boolean")).otherwise(~F.col("_gone")))
+    )
     kept = without_keys(target, key_set(feed, names, repeated=True), names)
-    alive = latest.where(~F.upper(F.coalesce(F.col(op), F.lit("U"))).isin(*DELETE_OPS))
-    return kept.unionByName(align_to_target(alive, target.schema))
+    return kept.unionByName(align_to_target(latest.select(*columns_of(feed.columns)), target.schema))
 
 
 def change_history(
-    feed: DataFrame, keys: Sequence[str], version: str, values: Sequence[str], hot_rows: int = 5_000_000
+    feed: DataFrame, keys: Sequence[str], version: str, values: Sequence[str]
 ) -> DataFrame:
     """The feed with each value before and after the event (``before_x``, ``after_x``)."""
     names = find_keys(feed, keys)
-    lagged = previous_row(feed, names, [find_column(feed.columns, version)], values, "_before", hot_rows)
+    lagged = previous_row(feed, names, [find_column(feed.columns, version)], values, "_before")
     other = [c for c in feed.columns if c not in values]
     return lagged.select(
         *other,

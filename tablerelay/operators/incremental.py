@@ -6,8 +6,9 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablerelay.operators.keys import find_column
+from tablerelay.operators.keys import find_column, quoted
 from tablerelay.session import ntz
 
 
@@ -24,7 +25,35 @@ def incremental_timestamp(
     safe wherever the rows are upserted.
     """
     name = find_column(df.columns, column)
-    return df.where(_after(F.col(name), ntz(since), inclusive))
+    mark = instant(since) if isinstance(df.schema[name].dataType, T.TimestampType) else ntz(since)
+    return df.where(_after(F.col(quoted(name)), mark, inclusive))
+
+
+def instant(since: str | dt.datetime) -> Column:
+    """An instant as a literal of the zoned type, whatever the session's zone. Texts are UTC."""
+    when = dt.datetime.fromisoformat(since) if isinstance(since, str) else since
+    return F.lit(when if when.tzinfo else when.replace(tzinfo=dt.timezone.utc))
+
+
+def utc_text(zoned: Column) -> Column:
+    """A zoned instant as text in UTC, to the microsecond, whatever the session's zone."""
+    micros = F.unix_micros(zoned)
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)"))
+    return (F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + since.cast("interval day to second")).cast("string")
+
+
+def oldest_rows(df: DataFrame, column: str, n: int, untracked: bool) -> DataFrame:
+    """The ``n`` rows of least tracking value, with all that share the last one's.
+
+    So the highest value of the cut is a mark below which nothing was left out. Rows without
+    a value come along only with ``untracked``.
+    """
+    name = quoted(find_column(df.columns, column))
+    last = df.where(F.col(name).isNotNull()).select(F.col(name).alias("_last")).orderBy("_last").limit(n).agg(F.max("_last")).first()[0]
+    if last is None:
+        return df if untracked else df.where(F.col(name).isNotNull())
+    within = F.col(name) <= F.lit(bytearray(last) if isinstance(last, (bytes, bytearray)) else last)
+    return df.where(within | F.col(name).isNull() if untracked else within)
 
 
 def incremental_rowversion(

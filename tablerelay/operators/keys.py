@@ -17,9 +17,14 @@ from pyspark.sql import types as T
 
 from tablerelay.session import shared_folder
 
-# Above this limit Spark does not cut groups before the shuffle by itself
-# (default of spark.sql.optimizer.windowGroupLimitThreshold).
-_GROUP_LIMIT = 1000
+
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever dots or backticks are in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(names: Sequence[str]) -> list[Column]:
+    return [F.col(quoted(c)) for c in names]
 
 
 def find_column(columns: Sequence[str], name: str) -> str:
@@ -37,7 +42,7 @@ def find_keys(df: DataFrame, keys: Sequence[str]) -> list[str]:
 
 
 def any_null(columns: Sequence[str]) -> Column:
-    return reduce(or_, [F.col(c).isNull() for c in columns])
+    return reduce(or_, [c.isNull() for c in columns_of(columns)])
 
 
 def split_null_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
@@ -54,7 +59,7 @@ def key_set(df: DataFrame, keys: Sequence[str], repeated: bool = False) -> DataF
     ``repeated`` says that keys can occur many times; they are then made distinct on the
     map side, so that a frequent key does not fill one partition.
     """
-    named = df.select(*keys).where(~any_null(keys))
+    named = df.select(*columns_of(keys)).where(~any_null(keys))
     return named.distinct() if repeated else named
 
 
@@ -65,20 +70,20 @@ def without_keys(df: DataFrame, present: DataFrame, keys: Sequence[str]) -> Data
     return kept if unkeyed is None else kept.unionByName(unkeyed)
 
 
-def _sortable(data_type: T.DataType) -> bool:
+def sortable(data_type: T.DataType) -> bool:
     if isinstance(data_type, T.MapType):
         return False
     if isinstance(data_type, T.ArrayType):
-        return _sortable(data_type.elementType)
+        return sortable(data_type.elementType)
     if isinstance(data_type, T.StructType):
-        return all(_sortable(f.dataType) for f in data_type.fields)
+        return all(sortable(f.dataType) for f in data_type.fields)
     return not isinstance(data_type, T.VariantType)
 
 
 def newest_first(df: DataFrame, order_by: Sequence[str]) -> list[Column]:
     """Descending order by the named columns, then by the rest so that ties are settled."""
-    rest = [f.name for f in df.schema.fields if f.name not in order_by and _sortable(f.dataType)]
-    return [F.col(c).desc_nulls_last() for c in [*order_by, *rest]]
+    rest = [f.name for f in df.schema.fields if f.name not in order_by and sortable(f.dataType)]
+    return [c.desc_nulls_last() for c in columns_of([*order_by, *rest])]
 
 
 def latest_of_group(df: DataFrame, groups: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -87,7 +92,7 @@ def latest_of_group(df: DataFrame, groups: Sequence[str], order_by: Sequence[str
     ``row_number() = 1`` is planned with a group limit on both sides of the shuffle,
     so a group that holds much of the table sends one row per map task.
     """
-    window = Window.partitionBy(*groups).orderBy(*newest_first(df, order_by))
+    window = Window.partitionBy(*columns_of(groups)).orderBy(*newest_first(df, order_by))
     ranked = df.withColumn("_position", F.row_number().over(window))
     return ranked.where("_position = 1").drop("_position")
 
@@ -99,15 +104,13 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str])
     return kept if unkeyed is None else kept.unionByName(unkeyed)
 
 
-def top_n_per_group(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int, slices: int = 256
-) -> DataFrame:
+def top_n_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of every group.
 
-    Small ``n`` is cut before the shuffle by Spark. For large ``n`` the groups are first
-    cut slice by slice, which leaves at most ``n * slices`` rows per group to rank.
+    Groups are cut slice by slice and then whole, so that at most ``n`` rows of each slice
+    meet in one task. Slices follow the input partitions, which spreads equal rows too.
     """
-    def cut(frame: DataFrame, by: Sequence[str]) -> DataFrame:
+    def cut(frame: DataFrame, by: Sequence[Column]) -> DataFrame:
         window = Window.partitionBy(*by).orderBy(*order)
         return (
             frame.withColumn("_position", F.row_number().over(window))
@@ -115,74 +118,44 @@ def top_n_per_group(
             .drop("_position")
         )
 
-    if n >= _GROUP_LIMIT:
-        # Slices follow the input partitions, so even equal rows are spread.
-        sliced = df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
-        df = cut(sliced, [*groups, "_slice"]).drop("_slice")
-    return cut(df, groups)
+    by = columns_of(groups)
+    sliced = cut(df.withColumn("_slice", F.spark_partition_id()), [*by, F.col("_slice")])
+    return cut(sliced.drop("_slice"), by)
 
 
 def previous_row(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_by: Sequence[str],
-    columns: Sequence[str],
-    name: str,
-    hot_rows: int = 5_000_000,
+    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], columns: Sequence[str], name: str
 ) -> DataFrame:
     """Add struct ``name`` with ``columns`` of the previous row of the same key.
 
-    Keys with at most ``hot_rows`` rows use an ordinary window. The rows of larger
-    keys are range-partitioned by key and order, so one key spreads over many tasks,
-    and each range takes its first predecessor from the last row of the range before.
+    Rows are range-partitioned by key and order, so one key spreads over as many tasks as
+    its rows fill, and each range takes its first predecessor from the last row of the
+    range before.
     """
-    order = [*order_by, *[c for c in df.columns if c not in order_by and _sortable(df.schema[c].dataType)]]
-    hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return _lag_in_groups(df, keys, order, columns, name)
-    flagged = [F.col(f"k.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    cold = df.alias("k").join(hot.alias("h"), flagged, "left_anti")
-    busy = df.alias("k").join(hot.alias("h"), flagged, "left_semi")
-    return _lag_in_groups(cold, keys, order, columns, name).unionByName(
-        _lag_in_ranges(busy, keys, order, columns, name)
-    )
-
-
-def _lag_in_groups(df, keys, order, columns, name):
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.lag(F.struct(*columns)).over(window))
-
-
-def _lag_in_ranges(df, keys, order, columns, name):
-    spark = df.sparkSession
-    path, order = shared_folder(spark, "ranges"), [*order, "_tie"]
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "ranges")
+    settled = [c for c in df.columns if c not in order_by and sortable(df.schema[c].dataType)]
+    order, by = columns_of([*order_by, *settled, "_tie"]), columns_of(keys)
     # Range bounds come from a sample, so the ranges are written once: every later
     # read, and every retried task, sees the same ones. The tie spreads equal rows.
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    (
-        tied.repartitionByRange(*[F.col(c) for c in [*keys, *order]])
-        .withColumn("_range", F.spark_partition_id())
-        .write.parquet(path)
-    )
+    tied.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
     ranged = spark.read.parquet(path)
-    inner = Window.partitionBy("_range", *keys).orderBy(*order)
-    lagged = ranged.withColumn(name, F.lag(F.struct(*columns)).over(inner))
+    taken = F.struct(*columns_of(columns))
+    lagged = ranged.withColumn(name, F.lag(taken).over(Window.partitionBy("_range", *by).orderBy(*order)))
     # One row per range and key: the ranges bound the rows of any key here.
-    tails = ranged.groupBy("_range", *keys).agg(
-        F.max_by(F.struct(*columns), F.struct(*order)).alias("_tail")
-    )
+    tails = ranged.groupBy("_range", *by).agg(F.max_by(taken, F.struct(*order)).alias("_tail"))
     carried = (
-        tails.withColumn("_tail", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_range")))
+        tails.withColumn("_tail", F.lag("_tail").over(Window.partitionBy(*by).orderBy("_range")))
         .where(F.col("_tail").isNotNull())
     )
-    matches = [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ["_range", *keys]]
+    matches = [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in map(quoted, ["_range", *keys])]
     # Only the first row of a range lacks a predecessor in it.
     return (
         lagged.alias("l")
         .join(carried.alias("c"), matches, "left")
         .select(
-            *[F.col(f"l.{c}") for c in df.columns],
-            F.coalesce(F.col(f"l.{name}"), F.col("c._tail")).alias(name),
+            *[F.col(f"l.{quoted(c)}") for c in df.columns],
+            F.coalesce(F.col(f"l.{quoted(name)}"), F.col("c._tail")).alias(name),
         )
     )
 
@@ -192,7 +165,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     names = find_keys(df, keys)
     return (
         df.where(~any_null(names))
-        .groupBy(*names)
+        .groupBy(*columns_of(names))
         .agg(F.count(F.lit(1)).alias("row_count"))
         .where(F.col("row_count") > 1)
     )

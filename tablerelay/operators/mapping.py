@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablerelay.operators.keys import find_column
+from tablerelay.operators.keys import find_column, quoted
 
 
 def _resolve(df: DataFrame, mappings: Iterable[tuple[str, str]]) -> dict[str, tuple[str, str]]:
@@ -24,7 +24,7 @@ def _resolve(df: DataFrame, mappings: Iterable[tuple[str, str]]) -> dict[str, tu
 
 def map_columns(df: DataFrame, mappings: Iterable[tuple[str, str]]) -> DataFrame:
     """Subset, rename and reorder columns by (source, destination) pairs."""
-    return df.select(*[F.col(f"`{s}`").alias(d) for s, d in _resolve(df, mappings).values()])
+    return df.select(*[F.col(quoted(s)).alias(d) for s, d in _resolve(df, mappings).values()])
 
 
 def auto_map(df: DataFrame) -> list[tuple[str, str]]:
@@ -41,20 +41,35 @@ def auto_map(df: DataFrame) -> list[tuple[str, str]]:
     return [(c, c) for c in df.columns]
 
 
+# Whole-number types, the narrowest first: each takes all values of those before it.
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _fitted(name: str, given: T.DataType, wanted: T.DataType) -> Column:
+    """A column cast so that a set value never turns into NULL or another one unseen."""
+    value, kinds = F.col(quoted(name)), (type(given), type(wanted))
+    wider = all(k in _WHOLE for k in kinds) and _WHOLE.index(kinds[0]) <= _WHOLE.index(kinds[1])
+    if given == wanted or wider or isinstance(wanted, T.StringType) or isinstance(given, T.NullType):
+        return value.cast(wanted)
+    fitting = value.try_cast(wanted)
+    message = F.concat(F.lit(f"a value of {name!r} does not fit {wanted.simpleString()}: "), F.coalesce(value.cast("string"), F.lit("")))
+    return F.when(value.isNotNull() & fitting.isNull(), F.raise_error(message).cast(wanted)).otherwise(fitting)
+
+
 def align_to_target(
     df: DataFrame, target: T.StructType, mappings: Iterable[tuple[str, str]] | None = None
 ) -> DataFrame:
     """Project to the target's schema: mapped columns cast, the others NULL.
 
-    Casts follow the session's ANSI setting, so with Spark's default a value that
-    does not fit fails the job rather than turning into NULL.
+    A value that does not fit fails the job, whatever the session's ANSI setting.
     """
     resolved = _resolve(df, auto_map(df) if mappings is None else mappings)
 
     def column(field: T.StructField) -> Column:
         hit = resolved.get(field.name.lower())
-        value = F.lit(None) if hit is None else F.col(f"`{hit[0]}`")
-        return value.cast(field.dataType).alias(field.name)
+        if hit is None:
+            return F.lit(None).cast(field.dataType).alias(field.name)
+        return _fitted(hit[0], df.schema[hit[0]].dataType, field.dataType).alias(field.name)
 
     return df.select(*[column(f) for f in target.fields])
 

@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablerelay.operators.keys import (
+    columns_of,
     find_column,
     find_keys,
     key_set,
     latest_of_group,
     latest_per_key,
+    quoted,
     require_unique,
     split_null_keys,
     without_keys,
@@ -76,14 +78,14 @@ def rows_not_in(
     return split_null_keys(source, names)[0].join(known, names, "left_anti")
 
 
-def merge_insert_only(
+def rows_to_insert(
     target: DataFrame,
     source: DataFrame,
     keys: Sequence[str],
     on_duplicate: str = "raise",
     order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Insert rows with new keys, and those without a key; rows already there stay."""
+    """Source rows with keys the target lacks, one per key, and those without a key."""
     names = find_keys(target, keys)
     check_duplicates(source, names, on_duplicate)
     keyed, unkeyed = split_null_keys(source, names)
@@ -91,8 +93,18 @@ def merge_insert_only(
         # Copies are reduced before the join, so they do not meet in one partition.
         keyed = latest_of_group(keyed, names, order_by)
     fresh = rows_not_in(target, keyed, names, key_set(source, names, repeated=on_duplicate == "latest"))
-    grown = insert_by_name(target, fresh)
-    return grown if unkeyed is None else insert_by_name(grown, unkeyed)
+    return fresh if unkeyed is None else fresh.unionByName(unkeyed)
+
+
+def merge_insert_only(
+    target: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    on_duplicate: str = "raise",
+    order_by: Sequence[str] = (),
+) -> DataFrame:
+    """Insert rows with new keys, and those without a key; rows already there stay."""
+    return insert_by_name(target, rows_to_insert(target, source, keys, on_duplicate, order_by))
 
 
 def insert_if_absent(target: DataFrame, source: DataFrame, key: str, order_by: Sequence[str] = ()) -> DataFrame:
@@ -103,12 +115,12 @@ def insert_if_absent(target: DataFrame, source: DataFrame, key: str, order_by: S
 def is_flagged(df: DataFrame, column: str, value: Any) -> Column:
     """Whether the soft-delete column holds ``value``, compared as the column's own type."""
     name = find_column(df.columns, column)
-    return F.col(name) == F.lit(value).cast(df.schema[name].dataType)
+    return F.col(quoted(name)) == F.lit(value).cast(df.schema[name].dataType)
 
 
 def soft_deleted_keys(source: DataFrame, keys: Sequence[str], column: str, value: Any) -> DataFrame:
     """Keys of source rows that carry the deletion flag."""
-    return source.where(is_flagged(source, column, value)).select(*find_keys(source, keys))
+    return source.where(is_flagged(source, column, value)).select(*columns_of(find_keys(source, keys)))
 
 
 def rows_to_soft_delete(
@@ -131,7 +143,7 @@ def delete_soft(
 def keys_missing_in_source(target: DataFrame, full_source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Target keys that the full source no longer has."""
     names = find_keys(target, keys)
-    return without_keys(target.select(*names), key_set(full_source, names), names)
+    return without_keys(target.select(*columns_of(names)), key_set(full_source, names), names)
 
 
 def delete_comparison(
@@ -190,7 +202,7 @@ def merge_full(
 def merge_action_counts(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows a merge would INSERT and UPDATE; a matched row counts even if unchanged."""
     names = find_keys(target, keys)
-    keyed, unkeyed = split_null_keys(source.select(*names), names)
+    keyed, unkeyed = split_null_keys(source.select(*columns_of(names)), names)
     known = key_set(target, names).join(key_set(source, names), names, "left_semi")
     actions = keyed.join(known.withColumn("_known", F.lit(True)), names, "left").select(
         F.when(F.col("_known"), "UPDATE").otherwise("INSERT").alias("action")

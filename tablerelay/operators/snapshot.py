@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablerelay.functions.identity import row_hash, row_key
-from tablerelay.operators.keys import find_keys, latest_of_group
+from tablerelay.operators.keys import columns_of, find_keys, latest_of_group, quoted
 from tablerelay.session import before, ntz
 
 
+SNAPSHOT_SCHEMA = (
+    "pk_value string, row_hash string, first_seen timestamp_ntz, last_seen timestamp_ntz, change_type string, job_id string"
+)
+
+
 def build_snapshot(
     df: DataFrame,
     job_id: str,
@@ -27,9 +32,9 @@ def build_snapshot(
     reduces them before the shuffle.
     """
     names = find_keys(df, keys)
-    hashed = [F.col(c) for c in df.columns] if values is None else list(values)
+    hashed = columns_of(df.columns) if values is None else list(values)
     rows = df.select(
-        row_key([F.col(k) for k in names]).alias("pk_value"),
+        row_key(columns_of(names), encoding).alias("pk_value"),
         row_hash(hashed, encoding).alias("row_hash"),
     )
     return rows.groupBy("pk_value").agg(F.max("row_hash").alias("row_hash")).select(
@@ -50,9 +55,19 @@ def _change_type(old_hash: Column, new_hash: Column) -> Column:
     )
 
 
+def _living(stored: DataFrame) -> DataFrame:
+    """A stored snapshot without the keys that had left before."""
+    if "change_type" not in stored.columns:
+        return stored
+    return stored.where(~F.col("change_type").eqNullSafe("DELETE"))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(pk_value, change_type) for the keys that were inserted, updated or deleted."""
-    before_side = old.select("pk_value", F.col("row_hash").alias("_old"))
+    """(pk_value, change_type) for the keys that were inserted, updated or deleted.
+
+    Keys that ``old`` only keeps on record as deleted were not there.
+    """
+    before_side = _living(old).select("pk_value", F.col("row_hash").alias("_old"))
     after_side = new.select("pk_value", F.col("row_hash").alias("_new"))
     return (
         before_side.join(after_side, "pk_value", "full")
@@ -75,18 +90,19 @@ def snapshot_changes(
     names what is hashed, in columns of either table.
     """
     names = find_keys(new, keys)
-    hashed = [F.col(c) for c in new.columns] if values is None else [
+    hashed = columns_of(new.columns) if values is None else [
         F.expr(v) if isinstance(v, str) else v for v in values
     ]
-    key, digest = row_key([F.col(k) for k in names]), row_hash(hashed, encoding)
+    key, digest = row_key(columns_of(names), encoding), row_hash(hashed, encoding)
     before_side = latest_of_group(
-        old.select(key.alias("_pk"), digest.alias("_old"), *[F.col(k).alias(f"_was_{k}") for k in names]),
+        old.select(key.alias("_pk"), digest.alias("_old"), *[F.col(quoted(k)).alias(f"_was_{k}") for k in names]),
         ["_pk"], ["_old"],
     )
-    after_side = latest_of_group(new.select(key.alias("_pk"), digest.alias("_new"), *new.columns), ["_pk"], ["_new"])
+    after_side = latest_of_group(new.select(key.alias("_pk"), digest.alias("_new"), *columns_of(new.columns)), ["_pk"], ["_new"])
 
     def value(column: str) -> Column:
-        return F.coalesce(column, f"_was_{column}").alias(column) if column in names else F.col(column)
+        own = F.col(quoted(column))
+        return F.coalesce(own, F.col(quoted(f"_was_{column}"))).alias(column) if column in names else own
 
     return (
         before_side.join(after_side, "_pk", "full")
@@ -99,20 +115,24 @@ def snapshot_merge_seen(stored: DataFrame, current: DataFrame, as_of: str | dt.d
     """The stored snapshot brought up to date.
 
     Keys still there get a new last_seen; first_seen stays. Keys that left stay on
-    record, marked DELETE, with the last_seen they had.
+    record, marked DELETE, with the last_seen they had; one that comes back is an INSERT
+    with a new first_seen.
     """
+    was_there = ~F.col("change_type").eqNullSafe("DELETE")
     old = stored.select(
-        "job_id", "pk_value", F.col("row_hash").alias("_old"), F.col("first_seen").alias("_first"),
+        "job_id", "pk_value", F.col("row_hash").alias("_kept"), F.when(was_there, F.col("row_hash")).alias("_old"),
+        F.when(was_there, F.col("first_seen")).alias("_first"), F.col("first_seen").alias("_began"),
         F.col("last_seen").alias("_last"),
     )
     new = current.select("job_id", "pk_value", F.col("row_hash").alias("_new"))
-    changed = _change_type(F.col("_old"), F.col("_new"))
+    gone = F.col("_new").isNull()
+    changed = F.when(gone, "DELETE").otherwise(_change_type(F.col("_old"), F.col("_new")))
     return old.join(new, ["job_id", "pk_value"], "full").select(
         "job_id",
         "pk_value",
-        F.coalesce("_new", "_old").alias("row_hash"),
-        F.coalesce(F.col("_first"), ntz(as_of)).alias("first_seen"),
-        F.when(F.col("_new").isNull(), F.col("_last")).otherwise(ntz(as_of)).alias("last_seen"),
+        F.coalesce("_new", "_kept").alias("row_hash"),
+        F.when(gone, F.col("_began")).otherwise(F.coalesce(F.col("_first"), ntz(as_of))).alias("first_seen"),
+        F.when(gone, F.col("_last")).otherwise(ntz(as_of)).alias("last_seen"),
         F.coalesce(changed, F.lit("UNCHANGED")).alias("change_type"),
     )
 
@@ -136,10 +156,18 @@ def get_snapshot(spark: SparkSession, path: str, job_id: str) -> DataFrame:
     return stored.where(F.col("job_id") == job_id)
 
 
+def stored_snapshot(spark: SparkSession, path: str, job_id: str) -> DataFrame | None:
+    """One job's snapshot, or None where none was saved."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    found = get_snapshot(spark, path, job_id)
+    return None if found.isEmpty() else found
+
+
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    # Job ids that look like numbers must stay text.
-    raw = spark.read.parquet(path)
-    return raw.withColumn("job_id", F.col("job_id").cast("string"))
+    # Folder names are read as text, whatever they look like.
+    return spark.read.schema(SNAPSHOT_SCHEMA).parquet(path)
 
 
 def drop_snapshot(stored: DataFrame, job_id: str) -> DataFrame:

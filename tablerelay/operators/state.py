@@ -17,19 +17,24 @@ STATE_SCHEMA = (
 
 
 def last_success_state(states: DataFrame) -> DataFrame:
-    """The latest successful state of each job."""
+    """The state of each job's latest successful run.
+
+    The time of the run decides, not its mark: after a forced full run over a source that was
+    set back, the lower mark is the true one.
+    """
     succeeded = states.where(F.col("success"))
-    return latest_of_group(succeeded, ["job_identifier"], ["last_sync_time", "updated_at"])
+    return latest_of_group(succeeded, ["job_identifier"], ["updated_at", "last_sync_time"])
 
 
 def save_state(states: DataFrame, updates: DataFrame) -> DataFrame:
-    """States after an upsert, the latest per job; created_at of a known job stays.
+    """States after an upsert, the latest per job; created_at of a known job stays, the
+    earliest where ``states`` holds a job more than once.
 
     A state without a job's name belongs to no job and is left out.
     """
     key = ["job_identifier"]
     named = updates.dropna(subset=key)
-    created = states.select("job_identifier", F.col("created_at").alias("_created"))
+    created = states.dropna(subset=key).groupBy(*key).agg(F.min("created_at").alias("_created"))
     batch = (
         latest_of_group(named, key, ["updated_at"])
         .join(created, key, "left")

@@ -96,7 +96,9 @@ def _minutes_running(as_of: Instant) -> Column:
 
 
 def _running_longer(as_of: Instant, minutes: int) -> Column:
-    return (F.col("status") == "Running") & (_minutes_running(as_of) > minutes)
+    """More than ``minutes`` clock minutes ago: a bound on the bare column, which the scan takes."""
+    latest = F.date_trunc("minute", ntz(as_of)).cast("timestamp_ntz") - F.expr(f"INTERVAL '{minutes}' MINUTE")
+    return (F.col("status") == "Running") & (F.col("started_at") < latest)
 
 
 def stuck_running(tasks: DataFrame, as_of: Instant, minutes: int = 30) -> DataFrame:
@@ -191,13 +193,22 @@ def _change(tasks: DataFrame, condition: Column, as_of: Instant, **changes: Colu
 
 
 def patch_status(tasks: DataFrame, patches: DataFrame, as_of: Instant) -> DataFrame:
-    """Tasks after patches by task_id, one per task.
+    """Tasks after patches by task_id.
 
     The status is replaced; every other patched column only where the patch has a value.
+    Several patches of a task act in the order of their ``patched_at``; without that column,
+    or at one time, the greater value of a column wins.
     """
-    patched = [c for c in patches.columns if c != "task_id"]
-    renamed = patches.where(F.col("task_id").isNotNull()).select(
-        "task_id", *[F.col(c).alias(f"_new_{c}") for c in patched], F.lit(True).alias("_patched")
+    patched = [c for c in patches.columns if c not in ("task_id", "patched_at")]
+    order = [F.col("patched_at")] if "patched_at" in patches.columns else []
+
+    def newest(column: str) -> Column:
+        entry = F.struct(*order, F.col(column).alias("value"))
+        given = entry if column == "status" else F.when(F.col(column).isNotNull(), entry)
+        return F.max(given)["value"].alias(f"_new_{column}")
+
+    renamed = patches.where(F.col("task_id").isNotNull()).groupBy("task_id").agg(
+        *[newest(c) for c in patched], F.lit(True).alias("_patched")
     )
     keyed, unkeyed = split_null_keys(tasks, ["task_id"])
     joined = keyed.join(renamed, "task_id", "left")

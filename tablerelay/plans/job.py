@@ -7,21 +7,36 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from tablerelay.operators.incremental import incremental_rowversion, incremental_timestamp, max_watermark
-from tablerelay.operators.keys import find_column
+from pyspark.sql import types as T
+
+from tablerelay.operators.incremental import (
+    incremental_rowversion,
+    incremental_timestamp,
+    max_watermark,
+    oldest_rows,
+    utc_text,
+)
+from tablerelay.operators.keys import find_column, find_keys, latest_per_key, quoted
 from tablerelay.operators.mapping import align_to_target, auto_map, map_columns
 from tablerelay.operators.merge import (
+    check_duplicates,
     is_flagged,
     merge_action_counts,
     merge_full,
     merge_insert_only,
     merge_upsert,
-    one_per_key,
+    rows_to_insert,
+)
+from tablerelay.operators.snapshot import (
+    build_snapshot,
+    save_snapshot,
+    snapshot_diff,
+    snapshot_merge_seen,
+    stored_snapshot,
 )
-from tablerelay.operators.snapshot import build_snapshot, snapshot_diff
 from tablerelay.operators.state import STATE_SCHEMA, last_success_state
 from tablerelay.plans.guards import GuardError, min_row_guard
+from tablerelay.plans.history import RunRecord
 from tablerelay.plans.publish import (
     Load,
     append_load,
@@ -30,6 +45,7 @@ from tablerelay.plans.publish import (
     load_partitioned,
     merge_touched,
     read_load,
+    remove_folder,
     show_bucketed,
     table_location,
     version_path,
@@ -112,27 +128,25 @@ def _delta(job: JobSpec, source: DataFrame, marks: Marks) -> DataFrame:
     return source
 
 
-def _target_name(job: JobSpec, source_column: str) -> str | None:
-    """What the mapping calls a source column in the target; the last entry wins."""
-    if job.mappings is None:
-        return source_column
-    named = [d for s, d in job.mappings if s.lower() == source_column.lower()]
-    return named[-1] if named else None
-
-
-def _newest(job: JobSpec) -> list[str]:
-    """What makes one copy of a row newer than another, in target columns."""
-    tracked = job.incremental.tracking_column
-    name = _target_name(job, tracked) if tracked else None
-    return [name] if name else []
+_AGE, _GONE = "_newest", "_gone"
 
 
 def _living(job: JobSpec, rows: DataFrame) -> DataFrame:
-    """Source rows without those flagged as deleted, in target columns."""
-    found = job.incremental.deletes
-    if found is not None and found.mode == "soft":
-        rows = rows.where(~F.coalesce(is_flagged(rows, found.column, found.value), F.lit(False)))
-    return rows if job.mappings is None else map_columns(rows, job.mappings)
+    """Source rows without those flagged as deleted, in target columns.
+
+    With ``on_duplicate="latest"`` one of each key: the newest by the source's own tracking
+    column, which the mapping may drop. Where that one is flagged, the key has no row.
+    """
+    how, gone = job.incremental, F.lit(False)
+    if how.deletes is not None and how.deletes.mode == "soft":
+        gone = F.coalesce(is_flagged(rows, how.deletes.column, how.deletes.value), F.lit(False))
+    if how.on_duplicate != "latest" or not how.tracking_column:
+        rows = rows.where(~gone)
+        return rows if job.mappings is None else map_columns(rows, job.mappings)
+    pairs = auto_map(rows) if job.mappings is None else job.mappings
+    aged = map_columns(rows.withColumn(_GONE, gone), [*pairs, (how.tracking_column, _AGE), (_GONE, _GONE)])
+    newest = latest_per_key(aged, find_keys(aged, job.keys), [_AGE])
+    return newest.where(~F.col(_GONE)).drop(_AGE, _GONE)
 
 
 def _flagged_keys(job: JobSpec) -> DataFrame:
@@ -144,12 +158,9 @@ def _flagged_keys(job: JobSpec) -> DataFrame:
 
 def _merged(job: JobSpec, target: DataFrame, batch: DataFrame) -> DataFrame:
     """The target after the batch, whose keys were checked before if they must not repeat."""
-    how, order = job.incremental, _newest(job)
-    copies = "unique" if how.on_duplicate == "raise" else how.on_duplicate
-    if how.merge == "insert_only":
-        return merge_insert_only(target, batch, job.keys, copies, order)
+    how = job.incremental
     if how.merge == "upsert":
-        return merge_upsert(target, batch, job.keys, copies, order)
+        return merge_upsert(target, batch, job.keys, "unique")
     whole = job.source if job.mappings is None else map_columns(job.source, job.mappings)
     return merge_full(
         target,
@@ -158,15 +169,30 @@ def _merged(job: JobSpec, target: DataFrame, batch: DataFrame) -> DataFrame:
         deleted_keys=_flagged_keys(job) if how.deletes.mode == "soft" else None,
         full_source=align_to_target(whole, target.schema),
         allow_empty=how.deletes.allow_empty,
-        on_duplicate=copies,
-        order_by=order,
+        on_duplicate="unique",
     )
 
 
-def _snapshot_counts(job: JobSpec, old: DataFrame, new: DataFrame, as_of: str) -> dict[str, int]:
-    """What changed between two whole versions; at most three rows reach the driver."""
-    sides = [build_snapshot(df, job.job_id, job.keys, as_of) for df in (old, new)]
-    counted = snapshot_diff(*sides).groupBy("change_type").count()
+def snapshot_folder(job: JobSpec) -> str:
+    return f"{job.folder.rstrip('/')}/snapshots"
+
+
+def _take_snapshot(
+    spark: SparkSession, job: JobSpec, published: DataFrame | None, batch: DataFrame, as_of: str, stage: str
+) -> dict[str, int]:
+    """What changed since the last run; at most three rows reach the driver.
+
+    The source alone is hashed: it is held against the snapshot of the run before, which is
+    brought up to date in ``stage``. Only where there is none yet is the published table hashed.
+    """
+    stored = stored_snapshot(spark, snapshot_folder(job), job.job_id)
+    current = build_snapshot(batch, job.job_id, job.keys, as_of)
+    seen = current if stored is None else snapshot_merge_seen(stored, current, as_of)
+    seen.write.parquet(stage)
+    if stored is None and published is None:
+        return {}
+    old = stored if stored is not None else build_snapshot(align_to_target(published, batch.schema), job.job_id, job.keys, as_of)
+    counted = snapshot_diff(old, current).groupBy("change_type").count()
     return {r["change_type"]: r["count"] for r in counted.collect()}
 
 
@@ -174,8 +200,6 @@ def _merge_counts(job: JobSpec, target: DataFrame, batch: DataFrame, after: int)
     """Rows inserted, updated and deleted by a merge that left ``after`` rows."""
     before = target.count()
     inserted = after - before
-    if job.incremental.merge == "insert_only":
-        return {"INSERT": inserted, "UPDATE": 0, "DELETE": 0}
     if job.incremental.merge == "upsert":
         return {"INSERT": inserted, "UPDATE": batch.count() - inserted, "DELETE": 0}
     actions = merge_action_counts(target, batch, job.keys)
@@ -204,21 +228,37 @@ def _write(job: JobSpec, rows: DataFrame, path: str, **more) -> Load:
     )
 
 
+def _check_copies(job: JobSpec, batch: DataFrame) -> None:
+    """Fail on a key that repeats, unless the batch was reduced when it was written."""
+    if job.incremental.on_duplicate != "latest":
+        check_duplicates(batch, find_keys(batch, job.keys), job.incremental.on_duplicate)
+
+
 def _publish_merge(spark: SparkSession, job: JobSpec, batch: DataFrame, location: str) -> tuple[str, dict]:
     """Merge a batch into the published table; returns its location and what changed."""
     how, target = job.incremental, spark.table(job.target)
     aligned = align_to_target(batch, target.drop("_bucket").schema)
+    _check_copies(job, aligned)
     if job.bucket is not None:
-        merge_touched(
-            spark, location, aligned, job.keys, job.bucket,
-            on_duplicate=how.on_duplicate, order_by=_newest(job),
-        )
+        before = target.count()
+        merge = merge_insert_only if how.merge == "insert_only" else merge_upsert
+        merge_touched(spark, location, aligned, job.keys, job.bucket, merge, on_duplicate="unique")
         show_bucketed(spark, job.target, location)
-        return location, {}
-    unique = one_per_key(aligned, job.keys, how.on_duplicate, _newest(job))
+        inserted = spark.table(job.target).count() - before
+        updated = aligned.count() - inserted if how.merge == "upsert" else 0
+        return location, {"INSERT": inserted, "UPDATE": updated, "DELETE": 0}
+    if how.merge == "insert_only":
+        # New rows become new files; what is there is neither read whole nor written again.
+        stage = version_path(f"{job.folder.rstrip('/')}/stage")
+        try:
+            new = _write(job, rows_to_insert(target, aligned, job.keys, "unique"), stage)
+            append_load(read_load(spark, new), job.target)
+        finally:
+            remove_folder(spark, stage)
+        return location, {"INSERT": new.rows, "UPDATE": 0, "DELETE": 0}
     merged = _write(job, _merged(job, target, aligned), version_path(job.folder))
     read_load(spark, merged)
-    changes = _merge_counts(job, target, unique, merged.rows)
+    changes = _merge_counts(job, target, aligned, merged.rows)
     flip(spark, job.target, merged.path)
     return merged.path, changes
 
@@ -232,68 +272,107 @@ def _publish_whole(
         append_load(batch, job.target)
         return location, {}
     changes: dict[str, int] = {}
-    if how.mode == "snapshot" and location is not None:
-        published = align_to_target(spark.table(job.target), batch.schema)
-        changes = _snapshot_counts(job, published, batch, as_of)
+    if how.mode == "snapshot":
+        stage = version_path(f"{job.folder.rstrip('/')}/stage")
+        try:
+            published = None if location is None else spark.table(job.target)
+            changes = _take_snapshot(spark, job, published, batch, as_of, stage)
+            flip(spark, job.target, path)
+            save_snapshot(spark.read.parquet(stage), snapshot_folder(job))
+        finally:
+            remove_folder(spark, stage)
+        return path, changes
     if tracking:
-        batch = one_per_key(batch, job.keys, how.on_duplicate, _newest(job))
+        _check_copies(job, batch)
     if job.bucket is not None:
         path = write_bucketed(batch, version_path(job.folder), job.bucket).path
         show_bucketed(spark, job.target, path)
         return path, changes
-    if tracking and how.on_duplicate == "latest":
-        path = _write(job, batch, version_path(job.folder)).path
     flip(spark, job.target, path)
     return path, changes
 
 
-def run_job(spark: SparkSession, job: JobSpec, state_path: str, as_of: str | dt.datetime) -> RunResult:
+def _cut(job: JobSpec, delta: DataFrame, merging: bool, known_table: bool) -> DataFrame:
+    """At most ``top`` rows, such that the next run finds the rest."""
+    top, tracking = job.options.top, job.incremental.mode in ("timestamp", "rowversion")
+    if not top:
+        return delta
+    if known_table and not merging and not (job.options.append and not tracking):
+        raise ValueError("top would replace the whole table by a part of its source")
+    if tracking:
+        return oldest_rows(delta, job.incremental.tracking_column, top, untracked=not merging)
+    return source_top_n(delta, top)
+
+
+def run_job(
+    spark: SparkSession, job: JobSpec, state_path: str, as_of: str | dt.datetime, history_path: str | None = None
+) -> RunResult:
     """Read, guard, merge and publish; then record the new high-water mark.
 
     The first run of a job, or a forced full one, loads everything. Later runs merge what
     is new, so a delta never replaces the table. The mark is kept when a batch is empty or
     carries none, and is written after the flip: a run that dies in between is read again.
+    A stage, and a load that a guard refuses, is removed again. With ``history_path`` the
+    run's start and its end, good or bad, are appended to the run history there.
     """
-    check_job(job)
     as_of = as_of.isoformat(sep=" ") if isinstance(as_of, dt.datetime) else as_of
+    if history_path is None:
+        return _run(spark, job, state_path, as_of)
+    run = RunRecord(spark, history_path, job.job_id, job.incremental.mode, as_of)
+    run.started()
+    try:
+        result = _run(spark, job, state_path, as_of)
+    except Exception as error:
+        run.failed(error)
+        raise
+    run.succeeded(result.rows_read, result.changes)
+    return result
+
+
+def _run(spark: SparkSession, job: JobSpec, state_path: str, as_of: str) -> RunResult:
+    check_job(job)
     how, options, folder = job.incremental, job.options, job.folder.rstrip("/")
     known, location = _known_marks(spark, state_path, job), table_location(spark, job.target)
     tracking = how.mode in ("timestamp", "rowversion")
     merging = tracking and known is not None and location is not None and not how.force_full
     marks = known or Marks()
 
-    source = source_top_n(job.source, options.top)
-    delta = _delta(job, source, marks) if merging else source
+    delta = _delta(job, job.source, marks) if merging else job.source
+    delta = _cut(job, delta, merging, location is not None)
     # The mark comes from the source's own column, which the mapping may drop. Whole
     # loads are written where they can be published as they are.
     figures = {}
     if tracking:
         tracked = find_column(delta.columns, how.tracking_column)
-        mark = max_watermark(tracked)
-        figures["mark"] = mark if how.mode == "rowversion" else mark.cast("timestamp_ntz").cast("string")
+        mark = max_watermark(quoted(tracked))
+        zoned = isinstance(delta.schema[tracked].dataType, T.TimestampType)
+        text = utc_text(mark) if zoned else mark.cast("timestamp_ntz").cast("string")
+        figures["mark"] = mark if how.mode == "rowversion" else text
         if not merging:
-            figures["untracked"] = F.count_if(F.col(tracked).isNull())
+            figures["untracked"] = F.count_if(F.col(quoted(tracked)).isNull())
     stage = version_path(f"{folder}/stage" if merging or job.bucket else folder)
-    load = _write(job, delta, stage, figures=figures, mapped=lambda rows: _living(job, rows))
-    batch = read_load(spark, load)
-
-    if merging and load.rows == 0 and how.merge != "full" and options.empty == "noop":
-        return RunResult(0, False, location)
-    if not min_row_guard(load.rows, options.min_rows, options.force, options.skip):
-        return RunResult(load.rows, False, location)
-    if how.mode == "snapshot" and load.rows == 0 and location is not None and not options.force:
-        raise GuardError("the source is empty, so every target row would be deleted")
-
-    if merging:
-        path, changes = _publish_merge(spark, job, batch, location)
-    else:
-        path, changes = _publish_whole(spark, job, batch, load.path, location, as_of)
-    result = RunResult(load.rows, True, path, changes, load.figures.get("untracked"))
+    shown = None
+    try:
+        load = _write(job, delta, stage, figures=figures, mapped=lambda rows: _living(job, rows))
+        batch = read_load(spark, load)
+        if merging and load.rows == 0 and how.merge != "full" and options.empty == "noop":
+            return RunResult(0, False, location)
+        if not min_row_guard(load.rows, options.min_rows, options.force, options.skip):
+            return RunResult(load.rows, False, location)
+        if how.mode == "snapshot" and load.rows == 0 and location is not None and not options.force:
+            raise GuardError("the source is empty, so every target row would be deleted")
+        if merging:
+            shown, changes = _publish_merge(spark, job, batch, location)
+        else:
+            shown, changes = _publish_whole(spark, job, batch, load.path, location, as_of)
+    finally:
+        if shown != stage:
+            remove_folder(spark, stage)
+    result = RunResult(load.rows, True, shown, changes, load.figures.get("untracked"))
 
     mark = load.figures.get("mark")
     if mark is not None:
         marks = Marks(version=bytes(mark)) if how.mode == "rowversion" else Marks(time=mark)
     _record_state(spark, state_path, job, as_of, result, marks)
     drop_old_versions(spark, job.target, folder, options.keep_versions)
-    drop_old_versions(spark, job.target, f"{folder}/stage", 0)
     return result

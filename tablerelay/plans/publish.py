@@ -7,6 +7,7 @@ readers that began earlier finish on the files they know.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablerelay.operators.keys import find_keys
+from tablerelay.operators.keys import columns_of, find_keys
 from tablerelay.operators.mapping import align_to_target
 from tablerelay.operators.merge import merge_upsert
 from tablerelay.plans.guards import count_parity_guard, min_row_guard
@@ -24,10 +25,6 @@ from tablerelay.session import shared_folder
 from tablerelay.spec import Options
 
 
-# The most buckets one batch may name: their names pass through the driver.
-MAX_BUCKETS = 100_000
-
-
 @dataclass(frozen=True)
 class Load:
     """A written folder, with the figures observed while it was written."""
@@ -49,7 +46,8 @@ def load_partitioned(
     """Write rows in parallel, in files of at most ``batch_rows``, counting them on the way.
 
     ``figures`` are aggregates over ``df`` taken in the same pass; ``mapped`` then gives
-    the columns that are written. ``writers`` bounds the tasks that write, by joining partitions without a shuffle.
+    the columns that are written. ``writers`` bounds the tasks that write: the finished rows
+    are dealt out to so many, and what comes before keeps its own tasks.
     The write replaces ``path``, so a retried load leaves no rows of a failed one.
     """
     seen, written = Observation(), Observation()
@@ -57,7 +55,7 @@ def load_partitioned(
     rows = rows if mapped is None else mapped(rows)
     rows = rows.observe(written, F.count(F.lit(1)).alias("rows"))
     if writers is not None:
-        rows = rows.coalesce(writers)
+        rows = rows.repartition(writers)
     writer = rows.write.mode("overwrite")
     if batch_rows is not None:
         writer = writer.option("maxRecordsPerFile", batch_rows)
@@ -73,7 +71,15 @@ def read_load(spark: SparkSession, load: Load) -> DataFrame:
 
 
 def version_path(folder: str, version: str | None = None) -> str:
-    return f"{folder.rstrip('/')}/v={version or uuid.uuid4().hex}"
+    """A version's folder. Names made here sort by time, then tell runs of one time apart."""
+    made = f"{dt.datetime.now(dt.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/v={version or made}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no reader was ever shown, such as a stage or a refused load."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table_location(spark: SparkSession, table: str) -> str | None:
@@ -96,7 +102,8 @@ def flip(spark: SparkSession, table: str, path: str) -> None:
 def drop_old_versions(spark: SparkSession, table: str, folder: str, keep: int = 2) -> list[str]:
     """Delete all but the ``keep`` newest version folders; the published one always stays.
 
-    Keep at least two: the version before serves readers that began earlier.
+    Keep at least two: the version before serves readers that began earlier. Names give the
+    order, since not every store keeps the time of a folder.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(folder)
@@ -104,7 +111,7 @@ def drop_old_versions(spark: SparkSession, table: str, folder: str, keep: int =
     if not files.exists(root):
         return []
     found = [s for s in files.listStatus(root) if s.getPath().getName().startswith("v=")]
-    found.sort(key=lambda s: s.getModificationTime(), reverse=True)
+    found.sort(key=lambda s: s.getPath().getName(), reverse=True)
     current = (table_location(spark, table) or "").rstrip("/").rsplit("/", 1)[-1]
     old = [s.getPath() for s in found[keep:] if s.getPath().getName() != current]
     for path in old:
@@ -182,37 +189,41 @@ def show_bucketed(spark: SparkSession, table: str, path: str) -> None:
 
 
 def merge_touched(
-    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], bucket: str, **merge: Any
-) -> list[Any]:
-    """Upsert into a bucketed table, reading and rewriting only the buckets the batch names.
+    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], bucket: str,
+    merge: Callable[..., DataFrame] = merge_upsert, **how: Any,
+) -> int:
+    """Merge into a bucketed table, reading and rewriting only the buckets the batch names.
 
     ``bucket`` is an expression over the key columns alone, so a key never changes its
-    bucket. The merged buckets are written beside the table first; each then replaces its
-    old folder. Buckets are replaced one after another, which readers can notice. Use a
-    full swap where they must not. Returns the buckets that were replaced.
+    bucket. Which buckets those are is a join that prunes the scan's folders, however many.
+    The merged buckets are written beside the table first; each then replaces its old
+    folder. Buckets are replaced one after another, which readers can notice. Use a full
+    swap where they must not. Returns the number of rows of the replaced buckets.
     """
     names = find_keys(batch, keys)
     # Resolving the expression over the keys alone fails if it uses another column.
-    touched = batch.select(*names).select(F.expr(bucket).alias("_bucket")).distinct()
-    buckets = [r["_bucket"] for r in touched.limit(MAX_BUCKETS + 1).collect()]
-    if len(buckets) > MAX_BUCKETS:
-        raise ValueError(f"the batch names more than {MAX_BUCKETS} buckets; use a coarser expression")
-    if not buckets:
-        return []
+    touched = batch.select(*columns_of(names)).select(F.expr(bucket).alias("_bucket")).distinct()
     # Folder names are read as the expression's own type, not as what they look like.
     columns = [f for f in spark.read.parquet(path).schema.fields if f.name != "_bucket"]
     table = spark.read.schema(T.StructType([*columns, touched.schema["_bucket"]])).parquet(path)
-    named = F.col("_bucket").isin([b for b in buckets if b is not None])
-    if None in buckets:
-        named = named | F.col("_bucket").isNull()
-    merged = merge_upsert(table.where(named).drop("_bucket"), batch, names, **merge)
-    staged = write_bucketed(merged, shared_folder(spark, "touched"), bucket)
-    replacement = spark.read.schema(table.schema).parquet(staged.path)
-    count_parity_guard(staged.rows, replacement.count())
-    (
-        replacement.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("_bucket")
-        .parquet(path)
-    )
-    return buckets
+    named = table.join(touched.where("_bucket IS NOT NULL"), "_bucket", "left_semi")
+    if touched.schema["_bucket"].nullable:
+        nameless = touched.where("_bucket IS NULL").select(F.lit(0).alias("_none"))
+        nowhere = table.where("_bucket IS NULL").withColumn("_none", F.lit(0))
+        named = named.unionByName(nowhere.join(nameless, "_none", "left_semi").select(*columns_of(named.columns)))
+    merged = merge(named.drop("_bucket").select(*columns_of([f.name for f in columns])), batch, names, **how)
+    stage = shared_folder(spark, "touched")
+    try:
+        staged = write_bucketed(merged, stage, bucket)
+        replacement = spark.read.schema(table.schema).parquet(staged.path)
+        count_parity_guard(staged.rows, replacement.count())
+        if staged.rows:
+            (
+                replacement.write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("_bucket")
+                .parquet(path)
+            )
+    finally:
+        remove_folder(spark, stage)
+    return staged.rows

@@ -30,17 +30,6 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/tablerelay/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df``, computed once into the shared folder and read back.
-
-    For small results that several plans use, such as per-group figures: Spark then knows
-    their size when it plans a join, and need not shuffle the other side to find out.
-    """
-    path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def ntz(value: str | dt.datetime | dt.date) -> Column:
     """A zone-free timestamp literal. All clocks in this library are UTC."""
     text = value.isoformat(sep=" ") if isinstance(value, dt.datetime) else str(value)

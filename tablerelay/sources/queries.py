@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,16 +35,27 @@ def parse_parameters(pairs: Iterable[str]) -> dict[str, str]:
     return values
 
 
+_MARKER = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|(?<![:\w]):(\w+)", re.DOTALL)
+
+
 def source_params(
     spark: SparkSession, query: str, parameters: Mapping[str, str], tables: Mapping[str, DataFrame] | None = None
 ) -> DataFrame:
-    """A SELECT with ``:name`` markers. A leading ``@`` of a name is dropped; blanks are skipped."""
-    args = {
-        name.strip().lstrip("@"): value or ""
-        for name, value in parameters.items()
-        if name and name.strip().lstrip("@")
-    }
-    return spark.sql(query, args=args, **(tables or {}))
+    """A SELECT with ``:name`` markers.
+
+    A leading ``@`` of a name is dropped and its case ignored, in the parameters and in the
+    query; of names that then agree the last one counts. Blank names are skipped.
+    """
+    values = {}
+    for name, value in parameters.items():
+        plain = (name or "").strip().lstrip("@").lower()
+        if plain:
+            values[plain] = value or ""
+
+    def lower(marker: re.Match) -> str:
+        return marker[0] if marker[1] is None else f":{marker[1].lower()}"
+
+    return spark.sql(_MARKER.sub(lower, query), args=values, **(tables or {}))
 
 
 class DatasetRegistry:
@@ -61,6 +73,23 @@ class DatasetRegistry:
         return self._datasets[name.lower()](spark, parameters or {})
 
 
+def read_source(
+    spark: SparkSession,
+    query: str | None = None,
+    dataset: str | None = None,
+    parameters: Mapping[str, str] | None = None,
+    *,
+    registry: DatasetRegistry | None = None,
+    tables: Mapping[str, DataFrame] | None = None,
+) -> DataFrame:
+    """A job's source: its query where it has one, else its named dataset."""
+    if (query or "").strip():
+        return source_params(spark, query, parameters or {}, tables)
+    if (dataset or "").strip() and registry is not None:
+        return registry.read(spark, dataset, parameters)
+    raise ValueError("a source needs a query or a registered dataset")
+
+
 def source_params_json(text: Column) -> Column:
     """Parameters stored as a JSON object; bad JSON gives no parameters."""
     return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))

@@ -66,7 +66,8 @@ class Options:
     """Write and guard options.
 
     ``writers`` bounds how many files are written at once. ``empty`` says whether a merge
-    of no rows ends quietly or goes to the minimum-row guard.
+    of no rows ends quietly or goes to the minimum-row guard. ``top`` reads so many rows a
+    run: the oldest that are new, with all of one age, where a column tracks changes.
     """
 
     min_rows: int = 0
@@ -97,7 +98,7 @@ class JobSpec:
     """One relay job.
 
     ``folder`` is the shared folder that holds its table's versions. With ``bucket``, an
-    SQL expression over the keys, an upsert rewrites only the buckets it touches.
+    SQL expression over the keys, an upsert or insert rewrites only the buckets it touches.
     """
 
     job_id: str
@@ -112,9 +113,11 @@ class JobSpec:
 
     def __post_init__(self) -> None:
         if self.bucket is not None and (
-            self.incremental.merge != "upsert" or self.incremental.mode not in ("timestamp", "rowversion")
+            self.incremental.merge == "full" or self.incremental.mode not in ("timestamp", "rowversion")
         ):
-            raise ValueError("a bucketed table takes incremental upserts")
+            raise ValueError("a bucketed table takes incremental upserts and inserts")
+        if self.incremental.mode == "snapshot" and (self.options.append or self.options.top):
+            raise ValueError("snapshot mode compares whole tables: it takes neither append nor top")
         if not self.job_id.strip() or not self.target.strip() or not self.folder.strip():
             raise ValueError("a job needs an id, a target table and a folder")
         if self.incremental.mode != "full" and not self.keys:

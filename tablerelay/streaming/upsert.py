@@ -7,6 +7,7 @@ folder is named by its id, so a batch that Spark repeats replaces itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tablerelay.operators.changes import apply_changes
-from tablerelay.operators.keys import key_set, latest_per_key, without_keys
+from tablerelay.operators.keys import key_set, latest_per_key, quoted, without_keys
 from tablerelay.operators.mapping import insert_by_name
+from tablerelay.plans.publish import Load, full_refresh_swap, table_location, version_path
+from tablerelay.spec import Options
 
 
 def log_batches(
@@ -35,7 +38,11 @@ def log_batches(
 
 
 def read_batches(spark: SparkSession, log_path: str, schema: str, after: int = -1) -> DataFrame:
-    """Logged rows of the batches after a given one, with their ``batch_id``."""
+    """Logged rows of the batches after a given one, with their ``batch_id``; none where
+    nothing has arrived yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log_path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], f"{schema}, batch_id bigint")
     logged = spark.read.schema(f"{schema}, batch_id bigint").parquet(log_path)
     return logged.where(F.col("batch_id") > after)
 
@@ -66,10 +73,51 @@ def stream_upsert(
     With ``op`` the stream is a change feed whose version is ``order_by``'s column.
     ``after`` is the last batch that an earlier run already published.
     """
-    query = log_batches(stream, log_path, checkpoint, keys, order_by)
-    query.awaitTermination()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
-    logged = read_batches(target.sparkSession, log_path, schema, after)
+    logged = _taken_in(target.sparkSession, stream, keys, order_by, log_path, checkpoint, after)
+    return _folded(target, logged, keys, order_by, op)
+
+
+def _taken_in(spark, stream, keys, order_by, log_path, checkpoint, after) -> DataFrame:
+    log_batches(stream, log_path, checkpoint, keys, order_by).awaitTermination()
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in stream.schema.fields)
+    return read_batches(spark, log_path, schema, after)
+
+
+def _folded(target, logged, keys, order_by, op) -> DataFrame:
     if op is None:
         return fold_rows(target, logged, keys, order_by)
     return fold_changes(target, logged, keys, order_by[0], op)
+
+
+def published_batch(spark: SparkSession, table: str) -> int:
+    """The last batch in a table that :func:`publish_stream` keeps; -1 before the first.
+
+    It is part of the version's name, so one change shows the rows and says how far they go.
+    """
+    found = re.search(r"-batch(\d+)$", (table_location(spark, table) or "").rstrip("/"))
+    return int(found[1]) if found else -1
+
+
+def publish_stream(
+    spark: SparkSession,
+    table: str,
+    folder: str,
+    stream: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    op: str | None = None,
+    options: Options | None = None,
+) -> Load | None:
+    """Take in what has arrived, merge only the batches not yet published, and flip.
+
+    The guards of a full refresh hold. A run that dies before the flip is made good by the
+    next, which folds the same batches. None where nothing new has come.
+    """
+    after = published_batch(spark, table)
+    logged = _taken_in(spark, stream, keys, order_by, f"{folder}/log", f"{folder}/checkpoint", after)
+    last = logged.agg(F.max("batch_id")).first()[0]
+    if last is None:
+        return None
+    merged = _folded(spark.table(table), logged, keys, order_by, op)
+    version = version_path("", None).rsplit("=", 1)[-1]
+    return full_refresh_swap(merged, table, folder, options, f"{version}-batch{last}")

@@ -29,10 +29,11 @@ def change_history(t):
     return changes.change_history(t.feed, ["pk"], "version", ["op", "value"])
 
 
-@book.query(_HISTORY.replace("op, lag(op)", "lag(op)").replace("value AS", "op AS after_op, value AS"))
+@book.query("""
+    SELECT pk, version, op, lag(value) OVER (PARTITION BY op ORDER BY version) AS before_value, value AS after_value FROM {feed}""")
 def change_history_hot(t):
-    """The path for keys with many rows, here for every key with more than three."""
-    return changes.change_history(t.feed, ["pk"], "version", ["op", "value"], hot_rows=3)
+    """Keys that hold a large part of all rows each."""
+    return changes.change_history(t.feed, ["op"], "version", ["value"])
 
 
 @book.query("SELECT event_type AS table_name, CAST(count(*) AS BIGINT) AS changes_count FROM events GROUP BY event_type")

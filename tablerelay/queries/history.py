@@ -143,6 +143,13 @@ def consolidate_history(t):
     return central.consolidate_history(t.central_history, t.history_feed, t.configs, AS_OF, days=14)
 
 
+@book.query(SQL["consolidate_history"])
+def consolidate_history_repeated_configs(t):
+    """Each configuration is listed twice, once under a lesser name."""
+    twice = t.configs.unionByName(t.configs.withColumn("config_display_name", F.lit("")))
+    return central.consolidate_history(t.central_history, t.history_feed, twice, AS_OF, days=14)
+
+
 @book.query("""
     SELECT coalesce(b.server_id, s.server_id) AS server_id, coalesce(b.project_id, s.project_id) AS project_id, s.server_name,
            coalesce(b.beat, s.last_heartbeat) AS last_heartbeat, coalesce(b.beat IS NOT NULL, FALSE) AS is_online

@@ -88,6 +88,15 @@ def save_state(t):
     )
 
 
+@book.query("""
+    SELECT job_identifier, last_sync_time, rows_processed, min(created_at) OVER (PARTITION BY job_identifier) AS created_at, updated_at
+    FROM {states} QUALIFY row_number() OVER (PARTITION BY job_identifier ORDER BY updated_at DESC, rows_processed DESC) = 1""")
+def save_state_log(t):
+    """The states are a log that holds a job many times, as runs write it."""
+    log = t.states.select("job_identifier", "last_sync_time", "rows_processed", "created_at", "updated_at")
+    return state.save_state(log, log)
+
+
 @book.query("""
     SELECT coalesce(u.key, c.key) AS key, CASE WHEN u.key IS NULL THEN c.value ELSE u.value END AS value
     FROM (SELECT c_name AS key, c_mktsegment AS value FROM customer) c

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablerelay.functions.labels import NOTIFICATION_LABELS
 from tablerelay.operators import notifications
 from tablerelay.queries.book import Book
 from tablerelay.queries.fixtures import AS_OF
@@ -13,7 +12,8 @@ from tablerelay.session import ntz
 book = Book()
 QUERIES, SQL = book.queries, book.sql
 
-_LABEL = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NOTIFICATION_LABELS.items()) + " ELSE status END"
+_LABEL = """CASE status WHEN 'Success' THEN 'Enviado' WHEN 'Failed' THEN 'Fallido' WHEN 'Retrying' THEN 'Reintentando'
+    ELSE status END"""
 
 
 @book.query(f"""

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablerelay.operators import snapshot
 from tablerelay.plans import guards, publish
+from tablerelay.plans.history import read_history
 from tablerelay.plans.job import run_job
 from tablerelay.queries.book import Book, Tables
 from tablerelay.queries.fixtures import AS_OF
@@ -147,3 +149,94 @@ def run_job_snapshot(t):
 def run_job_full_merge(t):
     deletes = DeleteDetection("soft", "o_orderstatus", "F")
     return _job(t, Incremental("timestamp", "o_orderdate", merge="full", deletes=deletes))
+
+
+@book.query(f"SELECT * FROM ({_FIRST}) f UNION ALL SELECT n.* FROM ({_NEW}) n ANTI JOIN ({_FIRST}) f ON f.o_orderkey = n.o_orderkey")
+def run_job_insert_only(t):
+    return _job(t, Incremental("timestamp", "o_orderdate", merge="insert_only"))
+
+
+def _runs(t: Tables, *runs: tuple[DataFrame, dict], pairs=None, clock=None) -> DataFrame:
+    """Runs of one job, each with its source and settings; what readers see after the last."""
+    table, folder = _table(), shared_folder(t.spark, "job")
+    for day, (source, more) in enumerate(runs, start=1):
+        how = Incremental("timestamp", **{"tracking_column": "o_orderdate", **more.get("incremental", {})})
+        spec = JobSpec("orders", source, table, folder, ["o_orderkey"], pairs, how, more.get("options", Options()))
+        run_job(t.spark, spec, f"{folder}/states", clock or f"2024-01-{day:02d} 00:00:00")
+    return _published(t, table)
+
+
+@book.query("SELECT * FROM orders")
+def run_job_top(t):
+    """Three runs of at most half the rows each leave what one full refresh leaves."""
+    half = {"options": Options(top=t.orders.count() // 2 + 1)}
+    return _runs(t, (t.orders, half), (t.orders, half), (t.orders, half))
+
+
+@book.query("SELECT * FROM orders")
+def run_job_forced_back(t):
+    """A forced full run over a source that was set back lowers the mark."""
+    early = t.orders.where(F.col("o_orderdate") < ntz("1998-01-01"))
+    return _runs(t, (t.orders, {}), (early, {"incremental": {"force_full": True}}), (t.orders, {}))
+
+
+@book.query("SELECT o_orderkey, o_totalprice FROM orders")
+def run_job_latest_unmapped(t):
+    """Of copies the newest counts by a tracking column that the mapping drops."""
+    older = t.orders.withColumn("o_totalprice", F.col("o_totalprice") + 1000).withColumn("o_orderdate", F.col("o_orderdate") - F.expr("INTERVAL '1' DAY"))
+    both = older.unionByName(t.orders)
+    early = both.where(F.col("o_orderdate") < ntz("1998-01-01"))
+    latest = {"incremental": {"on_duplicate": "latest"}}
+    return _runs(t, (early, latest), (both, latest), (both.where("false"), latest),
+                 pairs=[("o_orderkey", "o_orderkey"), ("o_totalprice", "o_totalprice")]).select("o_orderkey", "o_totalprice")
+
+
+@book.query("SELECT o_orderkey, o_totalprice FROM orders")
+def run_job_zoned(t):
+    """Marks of zoned instants hold in a session of another zone."""
+    stamped = t.orders.withColumn("at", F.timestamp_seconds(F.col("o_orderkey") * 60))
+    middle = t.orders.agg(F.max("o_orderkey")).first()[0] // 2
+    own, by = t.spark.conf.get("spark.sql.session.timeZone"), {"incremental": {"tracking_column": "at"}}
+    table, folder = _table(), shared_folder(t.spark, "job")
+    try:
+        for zone, source in (("Asia/Tokyo", stamped.where(F.col("o_orderkey") <= middle)), ("UTC", stamped)):
+            t.spark.conf.set("spark.sql.session.timeZone", zone)
+            spec = JobSpec("orders", source, table, folder, ["o_orderkey"], [("o_orderkey", "o_orderkey"), ("o_totalprice", "o_totalprice")], Incremental("timestamp", **by["incremental"]))
+            run_job(t.spark, spec, f"{folder}/states", AS_OF if zone == "UTC" else "2024-01-30 00:00:00")
+    finally:
+        t.spark.conf.set("spark.sql.session.timeZone", own)
+    return _published(t, table)
+
+
+@book.query("""
+    SELECT 'orders' AS config_id, 'Success' AS status, CAST(count(*) AS BIGINT) AS rows_read, FALSE AS has_error FROM orders
+    UNION ALL SELECT 'orders', 'Failed', CAST(NULL AS BIGINT), TRUE""")
+def run_job_history(t):
+    """One good run and one that its guard refuses."""
+    table, folder = _table(), shared_folder(t.spark, "job")
+    for options, clock in ((Options(), "2024-01-30 00:00:00"), (Options(min_rows=2**40), AS_OF)):
+        spec = JobSpec("orders", t.orders, table, folder, ["o_orderkey"], options=options)
+        try:
+            run_job(t.spark, spec, f"{folder}/states", clock, history_path=f"{folder}/history")
+        except guards.GuardError:
+            pass
+    t.spark.sql(f"DROP TABLE {table}")
+    return read_history(t.spark, f"{folder}/history").select(
+        "config_id", "status", "rows_read", F.col("error_message").isNotNull().alias("has_error")
+    )
+
+
+@book.query(f"""
+    SELECT CAST(coalesce(n.o_orderkey, f.o_orderkey) AS VARCHAR) AS pk_value,
+           CASE WHEN f.o_orderkey IS NULL THEN 'INSERT' WHEN n.o_orderkey IS NULL THEN 'DELETE'
+                WHEN f.o_totalprice <> n.o_totalprice THEN 'UPDATE' ELSE 'UNCHANGED' END AS change_type,
+           CASE WHEN f.o_orderkey IS NULL THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '2024-01-30 00:00:00' END AS first_seen
+    FROM ({_FIRST}) f FULL JOIN orders n ON n.o_orderkey = f.o_orderkey""")
+def run_job_snapshot_stored(t):
+    """The snapshot that a job keeps, after its second run."""
+    table, folder = _table(), shared_folder(t.spark, "job")
+    early = t.stale_orders.where(F.col("o_orderdate") < ntz("2000-01-01"))
+    for source, clock in ((early, "2024-01-30 00:00:00"), (t.orders, AS_OF)):
+        run_job(t.spark, JobSpec("007", source, table, folder, ["o_orderkey"], incremental=Incremental("snapshot")), f"{folder}/states", clock)
+    t.spark.sql(f"DROP TABLE {table}")
+    return snapshot.get_snapshot(t.spark, f"{folder}/snapshots", "007").select("pk_value", "change_type", "first_seen")

@@ -33,17 +33,32 @@ def source_query(t):
     SELECT o_orderkey, o_custkey, o_totalprice FROM orders
     WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' AND o_orderstatus = 'F'""")
 def source_params(t):
-    parameters = src.parse_parameters(["@Since=1997-01-01", "status=F", " ", "since = 1998-01-01"])
-    parameters = {k.lower(): v for k, v in parameters.items()}
+    parameters = src.parse_parameters(["Since=1997-01-01", "status=F", " ", "since = 1998-01-01"])
     return src.source_params(
         t.spark,
         """SELECT o_orderkey, o_custkey, o_totalprice FROM {orders}
            WHERE o_orderdate >= CAST(:since AS TIMESTAMP_NTZ) AND o_orderstatus = :status""",
-        {k.lstrip("@"): v for k, v in parameters.items()},
+        parameters,
         {"orders": t.orders},
     )
 
 
+@book.query("""
+    SELECT o_orderkey, ':Since' AS note FROM orders
+    WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' AND o_orderstatus = 'F'""")
+def source_params_case(t):
+    """Names agree whatever their case and sign; a query goes before a dataset."""
+    parameters = src.parse_parameters(["@Since=1997-01-01", "STATUS=P", "since=1998-01-01", "@Status=F"])
+    datasets = src.DatasetRegistry()
+    datasets.add("Everything", lambda spark, _: t.orders)
+    return src.read_source(
+        t.spark,
+        """SELECT o_orderkey, ':Since' AS note FROM {orders}  -- not :Since here
+           WHERE o_orderdate >= CAST(:SINCE AS TIMESTAMP_NTZ) AND o_orderstatus = :status""",
+        "everything", parameters, registry=datasets, tables={"orders": t.orders},
+    )
+
+
 @book.query("""
     SELECT event_id, json_extract_string(props, '$.k') AS k,
            CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS BIGINT) AS parameter_count

@@ -12,7 +12,8 @@ from tablerelay.session import ntz
 book = Book()
 QUERIES, SQL = book.queries, book.sql
 
-_LABEL = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.TASK_LABELS.items()) + " ELSE status END"
+_LABEL = """CASE status WHEN 'Completed' THEN '✓ Completado' WHEN 'Failed' THEN '✗ Fallido' WHEN 'Running' THEN '▶ En Ejecución'
+    WHEN 'Pending' THEN '⏳ Pendiente' WHEN 'Cancelled' THEN '⊗ Cancelado' ELSE status END"""
 
 
 @book.query("SELECT execution_id, CAST((duration_ms + 5) // 10 * CAST(0.01 AS DECIMAL(3, 2)) AS DECIMAL(10, 2)) AS duration_seconds FROM {history}")

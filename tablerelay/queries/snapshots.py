@@ -64,10 +64,32 @@ def row_hash_texts(t):
 def row_key(t):
     line = F.when(F.col("l_returnflag") != "R", F.col("l_linenumber"))
     return t.lineitem.select(
-        "l_orderkey", "l_linenumber", "l_partkey", identity.row_key([F.col("l_orderkey"), line]).alias("row_key")
+        "l_orderkey", "l_linenumber", "l_partkey", identity.row_key([F.col("l_orderkey"), line], "compat").alias("row_key")
     )
 
 
+@book.query("""
+    SELECT p_partkey, concat(replace(replace(concat(p_brand, '|', p_type), '\\', '\\\\'), '|', '\\|'), '||',
+           coalesce(CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END, '\\N')) AS row_key
+    FROM part""")
+def row_key_safe(t):
+    """Bars inside a key and missing parts stay apart from what joins the parts."""
+    parts = [F.concat("p_brand", F.lit("|"), "p_type"), F.when(F.col("p_size") % 3 != 0, F.col("p_size"))]
+    return t.part.select("p_partkey", identity.row_key(parts).alias("row_key"))
+
+
+@book.query("""
+    SELECT o_orderkey, base64(unhex(sha256(concat('{"c0":', o_orderkey, ',"c1":"', o_orderstatus, '","c2":"',
+           strftime(o_orderdate + to_microseconds(o_orderkey % 1000), '%Y-%m-%dT%H:%M:%S.%f'), '","c3":',
+           CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE '"x"' END, '}')))) AS row_hash
+    FROM orders""")
+def row_hash_safe(t):
+    """Instants count to the microsecond, and NULL is no text."""
+    stamp = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("o_orderkey") % 1000) / F.lit(1_000_000))
+    values = [F.col("o_orderkey"), F.col("o_orderstatus"), stamp.cast("timestamp_ntz"), F.when(F.col("o_orderkey") % 2 != 0, "x")]
+    return t.orders.select("o_orderkey", identity.row_hash(values).alias("row_hash"))
+
+
 @book.query(f"SELECT pk_value, change_type FROM ({_DIFF}) d WHERE change_type IS NOT NULL")
 def snapshot_diff(t):
     return snapshot.snapshot_diff(_old(t), _new(t))
@@ -92,6 +114,21 @@ def snapshot_merge_seen(t):
     return snapshot.snapshot_merge_seen(_old(t), _new(t), AS_OF)
 
 
+LATER = "2024-02-29 00:00:00"
+
+
+@book.query(f"""
+    SELECT 'orders' AS job_id, pk_value, coalesce(old_hash, new_hash) AS row_hash,
+           CASE WHEN old_pk IS NULL THEN TIMESTAMP '{AS_OF}' WHEN new_pk IS NULL THEN TIMESTAMP '{LATER}' ELSE TIMESTAMP '{EARLIER}' END AS first_seen,
+           CASE WHEN old_pk IS NULL THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '{LATER}' END AS last_seen,
+           CASE WHEN old_pk IS NULL THEN 'DELETE' WHEN new_pk IS NULL THEN 'INSERT' WHEN old_hash <> new_hash THEN 'UPDATE' ELSE 'UNCHANGED' END AS change_type
+    FROM ({_DIFF}) d""")
+def snapshot_returning_key(t):
+    """Keys leave and come back: the third snapshot is the first again."""
+    second = snapshot.snapshot_merge_seen(_old(t), _new(t), AS_OF)
+    return snapshot.snapshot_merge_seen(second, _take(t.priced_stale_orders, "orders", LATER), LATER)
+
+
 def _saved(t):
     """Two jobs' snapshots, of which one was then saved again."""
     path = shared_folder(t.spark, "snapshots")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tablerelay.plans.publish import full_refresh_swap, table_location
 from tablerelay.queries.book import Book
 from tablerelay.queries.changes import APPLIED
 from tablerelay.session import shared_folder
@@ -28,6 +31,23 @@ def stream_upsert(t):
     return result
 
 
+@book.query("""
+    SELECT s.* FROM {stale_orders} s ANTI JOIN orders o ON s.o_orderkey = o.o_orderkey UNION ALL SELECT * FROM orders""")
+def stream_publish(t):
+    """Three runs, one of them before anything has arrived; readers see the table throughout."""
+    folder, table = shared_folder(t.spark, "stream"), f"relay_{uuid.uuid4().hex}"
+    full_refresh_swap(t.stale_orders, table, folder)
+    early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
+    t.orders.where("false").write.parquet(f"{folder}/arriving/part=none")
+    for run, part in enumerate((F.lit(False), early, ~early)):
+        t.orders.where(part).write.parquet(f"{folder}/arriving/part={run}")
+        stream = t.spark.readStream.schema(t.orders.schema).parquet(f"{folder}/arriving/part=*")
+        upsert.publish_stream(t.spark, table, folder, stream, ["o_orderkey"], ["o_orderdate"])
+    path = table_location(t.spark, table)
+    t.spark.sql(f"DROP TABLE {table}")
+    return t.spark.read.parquet(path)
+
+
 @book.query(APPLIED)
 def stream_apply_changes(t):
     folder = shared_folder(t.spark, "feed")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablerelay.functions.labels import TASK_LABELS
 from tablerelay.operators import tasks
 from tablerelay.queries.book import Book
 from tablerelay.queries.fixtures import AS_OF
@@ -15,7 +14,8 @@ QUERIES, SQL = book.queries, book.sql
 _NOW = f"TIMESTAMP '{AS_OF}'"
 _WAITED = f"CAST(date_diff('minute', requested_at, {_NOW}) AS BIGINT)"
 _COUNTS = ", ".join(f"CAST(count_if(status = '{s}') AS BIGINT) AS {s.lower()}_tasks" for s in tasks.STATUSES)
-_LABEL = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TASK_LABELS.items()) + " ELSE status END"
+_LABEL = """CASE status WHEN 'Completed' THEN '✓ Completado' WHEN 'Failed' THEN '✗ Fallido' WHEN 'Running' THEN '▶ En Ejecución'
+    WHEN 'Pending' THEN '⏳ Pendiente' WHEN 'Cancelled' THEN '⊗ Cancelado' ELSE status END"""
 
 
 @book.query("SELECT * FROM {tasks} WHERE project_id = 3")
@@ -153,6 +153,21 @@ def patch_status(t):
     return tasks.patch_status(t.tasks.select(*columns), patches, AS_OF)
 
 
+@book.query(SQL["patch_status"])
+def patch_status_repeated(t):
+    """Two patches of each task: the later one's values count, the earlier one's where it has none."""
+    columns = ["task_id", "project_id", "status", "priority", "started_at", "duration_ms", "error_message", "updated_at"]
+    running = t.tasks.where("status = 'Running'")
+
+    def patch(day: int, status: str, duration):
+        return running.select(
+            "task_id", F.lit(status).alias("status"), duration.cast("bigint").alias("duration_ms"), F.lit(f"2024-01-0{day}").alias("patched_at"),
+        )
+
+    patches = patch(1, "Failed", F.col("priority") * 1000).unionByName(patch(2, "Completed", F.lit(None)))
+    return tasks.patch_status(t.tasks.select(*columns), patches, AS_OF)
+
+
 def _changed(condition: str, **values: str) -> str:
     columns = {**values, "updated_at": _NOW}
     parts = ", ".join(f"CASE WHEN {condition} THEN {v} ELSE {c} END AS {c}" for c, v in columns.items())

@@ -155,11 +155,10 @@ def test_buckets_keep_their_type_and_null_bucket(spark):
     make = lambda *rows: spark.createDataFrame(list(rows), "k string, v int")
     bucket = "substring(k, 1, 2)"
     publish.write_bucketed(make(("01a", 1), ("01b", 2), ("1a", 3), (None, 4)), path, bucket)
-    done = publish.merge_touched(spark, path, make(("01a", 9), (None, 5)), ["k"], bucket)
-    assert sorted(done, key=str) == ["01", None]
+    assert publish.merge_touched(spark, path, make(("01a", 9), (None, 5)), ["k"], bucket) == 4
     rows = spark.read.parquet(path).select("k", "v").collect()
     assert sorted(map(tuple, rows), key=str) == [("01a", 9), ("01b", 2), ("1a", 3), (None, 4), (None, 5)]
-    assert publish.merge_touched(spark, path, make(), ["k"], bucket) == []
+    assert publish.merge_touched(spark, path, make(), ["k"], bucket) == 0
 
 
 def test_jobs_name_columns_that_do_not_exist(spark, place):
@@ -224,7 +223,7 @@ def test_loads_are_split_into_batches(spark):
     path = shared_folder(spark, "batches")
     load = publish.load_partitioned(spark.range(0, 1000, 1, 8), path, batch_rows=100, writers=2)
     files = [f for f in os.listdir(path) if f.endswith(".parquet")]
-    assert load.rows == 1000 and len(files) == 10
+    assert load.rows == 1000 and len(files) in (10, 11)  # the two writers share the rows out nearly evenly
     with pytest.raises(guards.GuardError, match="999"):
         publish.read_load(spark, publish.Load(path, 999, {}))
 
@@ -293,3 +292,58 @@ def test_rows_without_a_tracking_value_are_counted_and_not_read_again(spark, pla
     assert not run(spark, place, source, how).published
     filled = incremental.backfill_tracking(source, "changed", "2025-06-01 00:00:00")
     assert run(spark, place, filled, how).rows_read == 1
+
+
+def test_a_limited_run_reads_the_oldest_first(spark, place):
+    newest_first = clients(spark, *[(i, f"c{i}", i, f"2025-01-{28 - i:02d} 00:00:00") for i in range(20)])
+    how = Incremental("timestamp", "changed")
+    reads = [run(spark, place, newest_first, how, options=Options(top=8)).rows_read for _ in range(3)]
+    assert reads == [8, 8, 4] and len(names(spark, place)) == 20
+    with pytest.raises(ValueError, match="top"):
+        run(spark, place, newest_first, Incremental("full"), options=Options(top=3))
+    with pytest.raises(ValueError, match="snapshot"):
+        run(spark, place, newest_first, Incremental("snapshot"), options=Options(append=True))
+
+
+def _folders(place):
+    base = place[1].removeprefix("file:")
+    return sorted(d for root in (base, f"{base}/stage") if os.path.isdir(root) for d in os.listdir(root) if d.startswith("v="))
+
+
+def test_stages_and_refused_loads_are_removed(spark, place):
+    how = Incremental("timestamp", "changed")
+    run(spark, place, clients(spark, *FIRST), how)
+    shown = _folders(place)
+    assert len(shown) == 1
+    assert not run(spark, place, clients(spark, *FIRST), how).published
+    for source, options in ((clients(spark, *FIRST), Options(min_rows=9, empty="guard")), (clients(spark, *FIRST, *FIRST), Options())):
+        forced = Incremental("timestamp", "changed", force_full=True)
+        with pytest.raises((guards.GuardError, ValueError)):
+            run(spark, place, source, forced, options=options)
+    assert _folders(place) == shown
+
+
+def test_new_rows_are_added_without_touching_the_others(spark, place):
+    how = Incremental("timestamp", "changed", merge="insert_only")
+    run(spark, place, clients(spark, *FIRST), how)
+    folder = publish.table_location(spark, place[0]).removeprefix("file:")
+    before = {f: os.stat(f"{folder}/{f}").st_mtime_ns for f in os.listdir(folder) if f.endswith(".parquet")}
+    result = run(spark, place, clients(spark, *FIRST, (1, "again", 1, "2025-06-01 00:00:00"), (8, "new", 1, "2025-06-01 00:00:00")), how)
+    assert result.changes == {"INSERT": 1, "UPDATE": 0, "DELETE": 0}
+    assert publish.table_location(spark, place[0]).removeprefix("file:") == folder
+    after = {f: os.stat(f"{folder}/{f}").st_mtime_ns for f in os.listdir(folder) if f.endswith(".parquet")}
+    assert before.items() <= after.items() and names(spark, place)[1] == "Juan Pérez" and 8 in names(spark, place)
+
+
+def test_inserts_into_buckets(spark, place):
+    how = Incremental("timestamp", "changed", merge="insert_only")
+    run(spark, place, clients(spark, *FIRST), how, bucket="pmod(id, 4)")
+    result = run(spark, place, clients(spark, *FIRST, (1, "again", 1, "2025-06-01 00:00:00"), (8, "new", 1, "2025-06-01 00:00:00")), how, bucket="pmod(id, 4)")
+    assert result.changes == {"INSERT": 1, "UPDATE": 0, "DELETE": 0} and names(spark, place)[1] == "Juan Pérez" and names(spark, place)[8] == "new"
+
+
+def test_writers_do_not_squeeze_what_comes_before(spark):
+    path = shared_folder(spark, "writers")
+    publish.load_partitioned(spark.range(0, 1000, 1, 8).withColumn("p", F.spark_partition_id()), path, writers=2)
+    assert spark.read.parquet(path).select("p").distinct().count() == 8
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 2

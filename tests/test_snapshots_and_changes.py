@@ -31,12 +31,53 @@ def test_row_hash_encodings(spark):
 
 
 def test_row_key_keeps_nulls(spark):
-    assert one(spark, row_key([F.lit(1), F.lit(None), F.lit("x")])) == "1||NULL||x"
+    assert one(spark, row_key([F.lit(1), F.lit(None), F.lit("x")], "compat")) == "1||NULL||x"
+    assert one(spark, row_key([F.lit(1), F.lit(None), F.lit("x")])) == "1||\\N||x"
+
+
+def test_different_keys_stay_apart(spark):
+    pairs = [("a||b", "c"), ("a", "b||c"), ("a|", "|b"), ("a", "||b"), ("\\N", "x"), (None, "x"), ("a\\", "b"), ("a", "\\b"), ("a\\|", "b")]
+    df = spark.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "k string, l string, v int")
+    assert df.select(row_key([F.col("k"), F.col("l")])).distinct().count() == len(pairs)
+    assert snapshot.build_snapshot(df, "j", ["k", "l"], "2024-01-01").count() == len(pairs)
+    changed = snapshot.snapshot_changes(df, df.withColumn("v", F.col("v") + 1), ["k", "l"])
+    assert changed.count() == len(pairs) and {r.change_type for r in changed.collect()} == {"UPDATE"}
+
+
+def test_hashes_tell_microseconds_apart_in_any_zone(spark):
+    at = lambda text: F.struct(F.array(F.lit(text).cast("timestamp_ntz")))
+    assert one(spark, row_hash([at("2024-01-01 00:00:00.000001")])) != one(spark, row_hash([at("2024-01-01 00:00:00.000002")]))
+    zoned, own = [F.timestamp_micros(F.lit(1_700_000_000_000_001))], spark.conf.get("spark.sql.session.timeZone")
+    found = []
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        found.append(one(spark, row_hash(zoned)))
+    spark.conf.set("spark.sql.session.timeZone", own)
+    assert found[0] == found[1]
+
+
+def test_job_ids_are_text_whatever_they_look_like(spark):
+    path = shared_folder(spark, "ids")
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    for job in ("007", "2024-01-01", "1e3"):
+        snapshot.save_snapshot(snapshot.build_snapshot(df, job, ["k"], "2024-01-01"), path)
+    for job in ("007", "2024-01-01", "1e3"):
+        assert [r.job_id for r in snapshot.get_snapshot(spark, path, job).collect()] == [job]
+
+
+def test_a_delete_is_reported_once(spark):
+    a, b = (snapshot.build_snapshot(spark.createDataFrame(rows, "k int, v int"), "j", ["k"], "2024-01-01") for rows in ([(1, 1), (2, 2)], [(1, 1)]))
+    kept = snapshot.snapshot_merge_seen(a, b, "2024-01-02")
+    assert [r.change_type for r in snapshot.snapshot_diff(a, b).collect()] == ["DELETE"]
+    assert snapshot.snapshot_diff(kept, b).collect() == []
+    assert [tuple(r) for r in snapshot.snapshot_diff(kept, a).collect()] == [("2", "INSERT")]
 
 
 def test_identifiers(spark):
     query = F.lit("select * from [srv].[dbo].[Clientes] c where x = 1")
     assert one(spark, source_object_name(query)) == "srv.dbo.Clientes"
+    assert one(spark, source_object_name(F.lit("select 1\nfrom [my db] . [a-b].\"t 1\" where x"))) == "my db.a-b.t 1"
+    assert one(spark, source_object_name(F.lit("select 1 from `cat`.`t x`"))) == "cat.t x"
     assert one(spark, source_object_name(F.lit("EXEC something"))) == "UnknownSource"
     assert one(spark, source_object_name(F.lit(None).cast("string"))) == "UnknownSource"
     parts = [F.lit(v) for v in ("SQL.2008", "DB", "dbo.Vista", "SQL2022", "Propia", "[dbo].[Cliente]")]
@@ -103,6 +144,20 @@ def test_changes_in_any_order(spark):
     assert sorted(map(tuple, result.collect())) == [(1, "a"), (3, "c9"), (4, "d"), (5, "E")]
 
 
+def test_feeds_that_do_not_say_what_happened_fail(spark):
+    target = spark.createDataFrame([(1, "a")], "pk int, v string")
+    schema = "pk int, version int, seq int, op string, v string"
+    unknown = spark.createDataFrame([(1, 1, 1, "DEL", None)], schema)
+    with pytest.raises(Exception, match="unknown operation"):
+        changes.apply_changes(target, unknown, ["pk"], "version", "op").collect()
+    twice = spark.createDataFrame([(1, 1, 1, "I", "b"), (1, 1, 2, "D", None), (1, 0, 9, "U", "z")], schema)
+    with pytest.raises(Exception, match="one age"):
+        changes.apply_changes(target, twice, ["pk"], "version", "op").collect()
+    assert changes.apply_changes(target, twice, ["pk"], "version", "op", then=["seq"]).collect() == []
+    same = twice.where("seq <> 2").unionByName(twice.where("seq = 1"))
+    assert [tuple(r) for r in changes.apply_changes(target, same, ["pk"], "version", "op").collect()] == [(1, "b")]
+
+
 def test_change_history_names_both_values(spark):
     feed = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "x")], "pk int, version int, v string")
     rows = sorted(map(tuple, changes.change_history(feed, ["pk"], "version", ["v"]).collect()))

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import os
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablerelay.operators.keys import latest_per_key
 from tablerelay.operators.merge import merge_upsert
+from tablerelay.plans import publish
 from tablerelay.session import shared_folder
 from tablerelay.sources import queries as src
 from tablerelay.sources import reports, run_log
@@ -107,3 +111,30 @@ def test_streamed_counts_follow_the_log(spark):
         stream_log.stream_run_log(spark, f"{folder}/log", f"{folder}/counts", f"{folder}/check", "Info").awaitTermination()
     counts = {(r.evt, r.level): r.line_count for r in spark.read.parquet(f"{folder}/counts").collect()}
     assert counts == {("x", "Info"): 2, ("x", "Error"): 1}
+
+
+def test_a_stream_publishes_only_its_new_batches(spark, tmp_path):
+    folder, table = f"{tmp_path}/published", f"t_{uuid.uuid4().hex}"
+    schema = "k int, v string, t int"
+    publish.full_refresh_swap(spark.createDataFrame([(1, "a", 0), (2, "b", 0)], schema), table, folder)
+    os.makedirs(f"{tmp_path}/in")
+
+    def arrive(*rows):
+        if rows:
+            spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        return upsert.publish_stream(spark, table, folder, stream, ["k"], ["t"])
+
+    assert arrive() is None and upsert.published_batch(spark, table) == -1
+    arrive((2, "B", 1), (3, "c", 1))
+    assert upsert.published_batch(spark, table) == 0
+    assert sorted(map(tuple, spark.table(table).collect())) == [(1, "a", 0), (2, "B", 1), (3, "c", 1)]
+    # What was folded is not read again: without its log the next run still works.
+    for name in os.listdir(f"{folder}/log/batch_id=0"):
+        with open(f"{folder}/log/batch_id=0/{name}", "wb"):
+            pass
+    arrive((1, "A", 2))
+    assert upsert.published_batch(spark, table) == 1
+    assert sorted(map(tuple, spark.table(table).collect())) == [(1, "A", 2), (2, "B", 1), (3, "c", 1)]
+    assert arrive() is None
+    spark.sql(f"DROP TABLE {table}")

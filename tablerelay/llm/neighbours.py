@@ -72,7 +72,11 @@ def codes(vectors: np.ndarray, table: int, probes: int) -> np.ndarray:
 
 
 def coded(rows: DataFrame, tables: int, probes: int) -> DataFrame:
-    """A row for each bucket that a vector (``id``, ``vector``: doubles) is looked for in."""
+    """A row for each bucket that a vector (``id``, ``vector``) is looked for in.
+
+    Vectors travel in the precision they came in, which the bytes of a row tell by ``dim``.
+    """
+    kind = np.float32 if rows.schema["vector"].dataType.elementType == T.FloatType() else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +84,7 @@ def coded(rows: DataFrame, tables: int, probes: int) -> DataFrame:
             for dim in sorted({len(x) for x in lists}):
                 some = [k for k, x in enumerate(lists) if len(x) == dim]
                 vectors = np.array([lists[k] for k in some], dtype=np.float64)
-                raw = [v.tobytes() for v in vectors]
+                raw = [v.tobytes() for v in vectors.astype(kind)]
                 for table in range(tables):
                     found = codes(vectors, table, probes)
                     n = found.shape[1]
@@ -97,7 +101,7 @@ def best_of_tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
     """For each query its ``k`` best candidates but itself, ties to the smaller id."""
     out_q, out_c, out_s = [], [], []
     if len(queries) and len(candidates):
-        q, c = (np.frombuffer(b"".join(x["vector"]), dtype=np.float64).reshape(len(x), -1) for x in (queries, candidates))
+        q, c = _doubles(queries), _doubles(candidates)
         ids, q_norm, c_norm = candidates["id"].to_numpy(), _norm(q), _norm(c)
         for i in range(0, len(q), 256):
             near = (q[i:i + 256] @ c.T) / q_norm[i:i + 256, None] / c_norm
@@ -123,6 +127,12 @@ def best_of_tile(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.
     return pd.DataFrame({"query_id": np.array(out_q, dtype=np.int64), "vec_id": np.array(out_c, dtype=np.int64), "score": np.array(out_s, dtype=np.float64)})
 
 
+def _doubles(rows: pd.DataFrame) -> np.ndarray:
+    dim = int(rows["dim"].iloc[0])
+    kind = np.float32 if len(rows["vector"].iloc[0]) == 4 * dim else np.float64
+    return np.frombuffer(b"".join(rows["vector"]), dtype=kind).reshape(-1, dim).astype(np.float64)
+
+
 def _norm(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=1))
 
@@ -153,7 +163,9 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, tables: int = T
     count as one, at the best score, and a query isn't its own neighbour. A query whose buckets
     hold fewer than ``k`` is compared with all rows, so it has ``k`` where there are so many.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("query"))
+    given = vectors.schema[vector].dataType
+    kind = "array<float>" if given == T.ArrayType(T.FloatType(), given.containsNull) else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector"), is_query.alias("query"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
     asked = F.coalesce(F.col("query"), F.lit(False))
     queries, candidates = written(coded(rows.filter(asked), tables, probes), "ann-queries"), coded(rows, tables, 1)

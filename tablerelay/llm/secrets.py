@@ -36,16 +36,24 @@ SCOPE = 400
 KEY = ["id_key", "no_id", "text_hash"]
 
 
+#: What every long hex number and every lone token begins with.
+LONG_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}"
+
+
+def _names_values(text: Column) -> Column:
+    return text.contains("=") | text.contains(":")
+
+
 def base_spans(text: Column) -> dict[str, Column]:
-    assigned = F.filter(find_spans(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN_VALUE, 1)) >= LEAST_ASSIGNED)
-    return {"assign": assigned, "access": find_spans(text, ACCESS), "hex": find_spans(text, HEX)}
+    assigned = F.filter(find_spans(text, ASSIGN, _names_values(text)), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN_VALUE, 1)) >= LEAST_ASSIGNED)
+    return {"assign": assigned, "access": find_spans(text, ACCESS, text.contains("AKIA")), "hex": find_spans(text, HEX, text.rlike(LONG_RUN))}
 
 
 def weak_spans(text: Column) -> dict[str, Column]:
     return {
-        "ident": find_spans(text, IDENT),
-        "lone": F.filter(find_spans(text, LONE), lambda s: F.length(s["hit"]) == LONE_LENGTH),
-        "endpoint": find_spans(text, ENDPOINT),
+        "ident": find_spans(text, IDENT, _names_values(text)),
+        "lone": F.filter(find_spans(text, LONE, text.rlike(LONG_RUN)), lambda s: F.length(s["hit"]) == LONE_LENGTH),
+        "endpoint": find_spans(text, ENDPOINT, text.contains("://")),
     }
 
 

@@ -18,13 +18,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def find_spans(text: Column, pattern: str) -> Column:
+def find_spans(text: Column, pattern: str, only_where: Column | None = None) -> Column:
     """The leftmost non-overlapping matches, as ``start`` and ``end`` in code points and
-    ``hit``. The pattern has no groups that capture and matches no empty text."""
+    ``hit``. The pattern has no groups that capture and matches no empty text.
+
+    ``only_where`` is something cheap that every text with a match fulfils: the others are
+    not searched.
+    """
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     parts = F.struct(F.transform(gaps, F.length).alias("gap"), hits.alias("hit"))
-    return F.when(text.rlike(pattern), let(parts, _placed)).otherwise(F.array().cast(SPANS))
+    worth = text.rlike(pattern) if only_where is None else only_where & text.rlike(pattern)
+    return F.when(worth, let(parts, _placed)).otherwise(F.array().cast(SPANS))
 
 
 def _placed(of: Column) -> Column:

@@ -9,7 +9,8 @@ which give a spanning tree, not pairs.
 
 A bucket of more than LARGEST fingerprints is not compared. Its members go another way that
 is as exact and grows in proportion to them: each emits every fingerprint within half the
-radius, and two are within the radius just when they have one of these in common.
+radius, and two are within the radius just when they have one of these in common. Such buckets
+are taken out before the shuffle, so that no task gets one.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 
 #: Where comparing a bucket's members costs more than their 2,081 neighbours each.
 LARGEST = 4096
+#: Large buckets are foreseen on one in so many fingerprints. That only chooses between two
+#: exact ways: a bucket that is missed is found when it is read.
+SAMPLE = 16
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SEGMENT = 1 << 20
@@ -195,12 +199,18 @@ def links(fingerprints: DataFrame, largest: int = LARGEST) -> DataFrame:
     ``fingerprints``: distinct values in ``fp``.
     """
     tables = F.array(*(F.struct(F.lit(v).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(masks())))
-    buckets = fingerprints.select("fp", F.explode(tables).alias("t")).select("t.table", "t.key", "fp")
+    in_buckets = lambda fps: fps.select("fp", F.explode(tables).alias("t")).select("t.table", "t.key", "fp")
+    few = fingerprints.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE)) == 0)
+    large = written(
+        in_buckets(few).groupBy("table", "key").count().filter(F.col("count") * SAMPLE > largest).select("table", "key"), "simhash-large"
+    )
+    buckets = in_buckets(fingerprints)
     found = written(
-        buckets.repartition("table", "key").sortWithinPartitions("table", "key", "fp")
+        buckets.join(large, ["table", "key"], "left_anti").repartition("table", "key").sortWithinPartitions("table", "key", "fp")
         .mapInPandas(lambda rows: bucket_links(rows, largest), "a long, b long"), "simhash-links"
     )
-    crowd = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
+    foreseen = buckets.join(large, ["table", "key"], "left_semi").select("fp")
+    crowd = found.filter("b is null").select(F.col("a").alias("fp")).unionByName(foreseen).distinct()
     around = crowd.select("fp", F.explode(F.array(*map(F.lit, neighbours()))).alias("d")).select(F.col("fp").bitwiseXOR(F.col("d")).alias("key"), "fp")
     shared = around.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(first_of_key, "a long, b long")
     return found.filter("b is not null").unionByName(shared).distinct()

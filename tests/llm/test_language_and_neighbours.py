@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablerelay.llm import language_id, neighbours
-from tests.llm.conftest import rows_of
 
 WORDS = {
     "en": "the and of with house water never other small green because under between".split(),
@@ -136,4 +135,3 @@ def test_the_transform_is_a_rotation():
     y = neighbours.turned(x, 3)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert np.allclose(y @ y.T, unit @ unit.T)
-    assert rows_of is not None

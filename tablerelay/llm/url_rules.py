@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tablerelay.llm.common import quoted, written
 
-#: Support of a token set among labelled URLs: this share, and this many URLs at least.
-SUPPORT, LEAST_COUNT = 0.01, 30
+#: Support of a token set: so many bad URLs, however many are labelled.
+LEAST_COUNT = 30
 #: How many of a rule's URLs have to be bad.
 CONFIDENCE = 0.8
 #: Stands for the label in a token set; no token has this character.
@@ -58,7 +58,7 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return F.coalesce(*fits, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
-def mine_rules(labelled: DataFrame, *, support: float = SUPPORT, least_count: int = LEAST_COUNT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, *, least_count: int = LEAST_COUNT, confidence: float = CONFIDENCE) -> DataFrame:
     """``tokens``, ``first`` (the rarest of them) and ``confidence`` of the blocking rules.
 
     ``labelled``: ``url`` and ``bad`` (boolean). All labelled rows count; too few of them, or
@@ -70,15 +70,16 @@ def mine_rules(labelled: DataFrame, *, support: float = SUPPORT, least_count: in
         .select(tokens_of(F.col("url")).alias("tokens"), "bad").filter("size(tokens) > 0")
         .select(F.when(F.col("bad"), F.array_append("tokens", BAD)).otherwise(F.col("tokens")).alias("items")), "url-sets"
     )
-    n, bad = sets.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
-    least = max(support, least_count / n) if n else 1
-    if not n or bad < least * n:
+    bad = sets.agg(F.count_if(F.array_contains("items", BAD))).first()[0]
+    if bad < max(1, least_count):
         return spark.createDataFrame([], "tokens array<string>, first string, confidence double")
     # Only tokens that reach the support together with BAD can be in a rule: the others needn't be mined.
-    singles = sets.filter(F.array_contains("items", BAD)).select(F.explode("items").alias("token")).groupBy("token").count().filter(F.col("count") >= least * n)
+    singles = sets.filter(F.array_contains("items", BAD)).select(F.explode("items").alias("token")).groupBy("token").count().filter(F.col("count") >= least_count)
     each = sets.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("items").alias("token"))
-    useful = each.join(singles, "token").groupBy("row").agg(F.collect_list("token").alias("items"))
-    model = FPGrowth(minSupport=least, minConfidence=confidence, numPartitions=sets.sparkSession.sparkContext.defaultParallelism).fit(written(useful.select("items"), "url-items"))
+    useful = written(each.join(singles, "token").groupBy("row").agg(F.collect_list("token").alias("items")).select("items"), "url-items")
+    # FP-growth rounds the share of its rows up to a count: half of one less keeps that exact.
+    share = max(0.0, (least_count - 0.5) / useful.count())
+    model = FPGrowth(minSupport=share, minConfidence=confidence, numPartitions=sets.sparkSession.sparkContext.defaultParallelism).fit(useful)
     rules = model.associationRules.filter(F.col("consequent")[0] == BAD).select(F.array_sort("antecedent").alias("tokens"), "confidence")
     counts = written(sets.select(F.explode("items").alias("token")).groupBy("token").count(), "url-token-counts")
     rarest = rules.select("tokens", "confidence", F.explode("tokens").alias("token")).join(counts, "token").groupBy("tokens").agg(

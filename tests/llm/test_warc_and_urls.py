@@ -163,3 +163,15 @@ def test_mined_rules_block_what_has_all_their_tokens(spark, labelled):
     every = {tuple(r.tokens) for r in mined.collect()}
     has = any(set(t) <= {"http", "a", "org", "casino", "win"} for t in every)
     assert ((1, None, "block") in blocks) == has
+
+
+@pytest.mark.parametrize("spam", [29, 30, 40])
+def test_the_floor_is_a_count_at_every_size(spark, spam):
+    """Bad URLs of one host, far below one in a hundred, give a rule from 30 on."""
+    rows = [(f"http://h{k % 50}.example.com/p{k}", False) for k in range(6000)] + [(f"http://casino.example.com/q{k}", True) for k in range(spam)]
+    rows += [(f"/z{k}", False) for k in range(3000)]  # without a token that any rule could have
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    mined = url_rules.mine_rules(labelled)
+    assert any(r.tokens == ["casino"] and r.confidence == 1.0 for r in mined.collect()) == (spam >= 30)
+    pages = spark.createDataFrame([(1, "http://casino.example.com/new")], "page_id long, url string")
+    assert url_rules.judged(pages, (), mined).first().verdict == ("block" if spam >= 30 else "allow")

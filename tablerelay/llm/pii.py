@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for numbers, dates and addresses that prove valid.
 
-A value is found by its shape and then checked: cards by their last digit, dates by the
+A value is found by its shape and then checked: cards, also next to other numbers, by their last digit, dates by the
 calendar, addresses by their octets, social security numbers by their ranges. Valid ones go
 through a keyed Feistel network over just the valid values of their format, digits keeping
 their places between the separators, so equal values stay equal in all documents, different
@@ -30,9 +30,14 @@ SHAPES = {
     "date": rf"{_NOT_BEFORE}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}){_NOT_AFTER}",
     "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
     "ssn": rf"{_NOT_BEFORE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_NOT_AFTER}",
-    "card": rf"{_NOT_BEFORE}[0-9](?:[ -]?[0-9]){{12,18}}{_NOT_AFTER}",
 }
+#: A whole run of digit groups, up to where another shape starts; the cards in it are told by their check digits.
+_DIGITS = rf"[0-9]++{_NOT_AFTER}"
+SHAPES["card"] = rf"{_NOT_BEFORE}(?=[0-9](?:[ -]?[0-9]){{12}}){_DIGITS}(?:[ -](?!{'|'.join(SHAPES.values())}){_DIGITS})*+"
 ANY = "|".join(SHAPES.values())
+#: Digits of a card, and the groups that cards are written in: these go before others that pass the check by chance.
+CARD_DIGITS = (13, 19)
+CARD_GROUPS = ("4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3", *map(str, range(13, 20)))
 #: Days of 1900-01-01 to 2099-12-31, as a product for the two halves, and the first of them.
 DAY_HALVES, FIRST_DAY = (17, 4297), -25_567
 #: Social security numbers: areas without 000, 666 and 900 to 999, groups from 01, serials from 0001.
@@ -99,11 +104,53 @@ def card(value: Column, key: str, back: bool = False) -> Column:
     def of(digits: Column) -> Column:
         body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card", back)
         checked = let(F.concat(body, F.lit("0")), lambda x: F.concat(F.substring(x, F.lit(1), F.length(x) - 1), ((10 - luhn_sum(x) % 10) % 10).cast("string")))
-        return F.when((luhn_sum(digits) % 10 == 0) & F.length(digits).between(13, 19), put_back(value, checked))
+        return F.when((luhn_sum(digits) % 10 == 0) & F.length(digits).between(*CARD_DIGITS), put_back(value, checked))
 
     return let(_digits(value), of)
 
 
+def cards(value: Column, key: str, back: bool = False) -> Column:
+    """``text`` and ``n``: a run of digit groups with the ``n`` cards in it permuted.
+
+    A card is some groups in a row that pass the check. From left to right, groups as cards
+    are written come first; other ones count where no such card starts inside, the longest first.
+    """
+
+    def of(groups: Column) -> Column:
+        last = F.size(groups) - 1
+        most = CARD_DIGITS[1] - 1
+
+        def ends(i: Column) -> Column:
+            def of_end(j: Column) -> Column:
+                part = F.slice(groups, i + 1, j - i + 1)
+                return F.struct(j.alias("end"), F.array_join(part, "").alias("digits"), F.array_join(F.transform(part, lambda g: F.length(g).cast("string")), "-").alias("way"))
+
+            tried = F.filter(F.transform(F.sequence(i, F.least(i + most, last)), of_end), lambda x: F.length(x["digits"]).between(*CARD_DIGITS))
+            valid = F.filter(tried, lambda x: luhn_sum(x["digits"]) % 10 == 0)
+            return let(valid, lambda v: F.struct(F.get(F.filter(v, lambda x: x["way"].isin(*CARD_GROUPS)), F.lit(0))["end"].alias("usual"), F.array_max(F.transform(v, lambda x: x["end"])).alias("other")))
+
+        def walked(found: Column, parts: Column) -> Column:
+            def step(state: Column, i: Column) -> Column:
+                here = F.element_at(found, i + 1)
+                inside = F.exists(F.slice(found, i + 1, here["other"] - i + 1), lambda x: x["usual"].isNotNull())
+                end = F.coalesce(here["usual"], F.when(here["other"].isNotNull() & ~inside, here["other"]))
+
+                def taken(end: Column) -> Column:
+                    text = F.array_join(F.slice(parts, i + 1, end - i + 1), "")
+                    return F.struct((end + 1).alias("next"), F.concat(state["text"], card(text, key, back)).alias("text"), (state["n"] + 1).alias("n"))
+
+                left = F.struct((i + 1).alias("next"), F.concat(state["text"], F.element_at(parts, i + 1)).alias("text"), state["n"].alias("n"))
+                return F.when(i < state["next"], state).otherwise(let(end, lambda e: F.when(e.isNotNull(), taken(e)).otherwise(left)))
+
+            start = F.struct(F.lit(0).alias("next"), F.lit("").alias("text"), F.lit(0).alias("n"))
+            return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda state: F.struct(state["text"].alias("text"), state["n"].alias("n")))
+
+        found = F.transform(F.sequence(F.lit(0), last), ends)
+        return let(found, lambda f: let(F.regexp_extract_all(value, F.lit("([0-9]+[ -]?)"), F.lit(1)), lambda parts: walked(f, parts)))
+
+    return let(F.split(value, "[ -]", -1), of)
+
+
 def phone(value: Column, key: str, back: bool = False) -> Column:
     """The last ten digits permuted; the country's stay."""
     def of(digits: Column) -> Column:
@@ -193,17 +240,19 @@ def _word(word: Column, key: str, place: Column, back: bool) -> Column:
     return let(out, lambda x: F.concat(spell(x["l"], head), spell(x["r"], n - head)))
 
 
-KINDS: dict[str, Callable[..., Column]] = {"email": email, "ip": ip, "date": date, "phone": phone, "ssn": ssn, "card": card}
+KINDS: dict[str, Callable[..., Column]] = {"email": email, "ip": ip, "date": date, "phone": phone, "ssn": ssn, "card": cards}
 
 
 def pseudonym(value: Column, key: str, back: bool = False) -> Column:
-    """(kind, text) of a value found by ANY; kind null and the value itself if it isn't valid."""
+    """(kind, text, n) of a value found by ANY; kind null and the value itself if nothing in it is valid."""
     tried = [F.when(value.rlike("^(?:" + SHAPES[kind] + ")$"), let(make(value, key, back), _named(kind))) for kind, make in KINDS.items()]
-    return F.coalesce(*tried, F.struct(F.lit(None).cast("string").alias("kind"), value.alias("text")))
+    return F.coalesce(*tried, F.struct(F.lit(None).cast("string").alias("kind"), value.alias("text"), F.lit(0).alias("n")))
 
 
 def _named(kind: str) -> Callable[[Column], Column]:
-    return lambda new: F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("text")))
+    if kind == "card":
+        return lambda new: F.when(new["n"] > 0, F.struct(F.lit(kind).alias("kind"), new["text"].alias("text"), new["n"].alias("n")))
+    return lambda new: F.when(new.isNotNull(), F.struct(F.lit(kind).alias("kind"), new.alias("text"), F.lit(1).alias("n")))
 
 
 def pseudonymised(docs: DataFrame, key: str, *, text: str = "text", back: bool = False) -> DataFrame:
@@ -216,7 +265,7 @@ def pseudonymised(docs: DataFrame, key: str, *, text: str = "text", back: bool =
     whole = F.col(quoted(text))
     parts = F.struct(F.split(whole, ANY, -1).alias("gap"), F.transform(F.regexp_extract_all(whole, F.lit(f"({ANY})"), F.lit(1)), lambda v: pseudonym(v, key, back)).alias("hit"))
     joined = lambda p: F.array_join(F.flatten(F.zip_with(p["gap"], p["hit"], lambda gap, hit: F.array(gap, F.coalesce(hit["text"], F.lit(""))))), "")
-    count = lambda p, kind: F.size(F.filter(p["hit"], lambda h: h["kind"] == kind)).cast("long")
+    count = lambda p, kind: F.aggregate(F.filter(p["hit"], lambda h: h["kind"] == kind), F.lit(0).cast("long"), lambda a, h: a + h["n"])
     made = let(parts, lambda p: F.struct(joined(p).alias("text"), *(count(p, k).alias(k) for k in KINDS)))
     none = F.struct(whole.alias("text"), *(F.lit(0).cast("long").alias(k) for k in KINDS))
     worth = whole.rlike("[0-9@]") & whole.rlike(ANY)

@@ -24,11 +24,17 @@ ROUNDS = 10
 
 #: Shapes, in the order in which they claim a place; none has a group that captures.
 _NOT_BEFORE, _NOT_AFTER = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+_PHONES = "|".join((
+    r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![A-Za-z0-9])",
+    r"\+[1-9](?:[ .-]?(?:\(0\)[ .-]?)?\(?(?!(?<![0-9])(?:[0-9]{4}[-/][0-9]{1,2}[-/]|[0-9]{1,2}[./][0-9]{1,2}[./]|[0-9]{3}-[0-9]{2}-))[0-9]\)?){7,14}(?![A-Za-z0-9])",
+    r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}",
+    r"(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-]?)[2-9][0-9]{6}",
+))
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![A-Za-z0-9]|\.[0-9])",
-    "date": rf"{_NOT_BEFORE}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}){_NOT_AFTER}",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])",
+    "date": rf"{_NOT_BEFORE}(?:[0-9]{{4}}(?:-[0-9]{{1,2}}-|/[0-9]{{1,2}}/)[0-9]{{1,2}}|[0-9]{{1,2}}(?:\.[0-9]{{1,2}}\.|/[0-9]{{1,2}}/)[0-9]{{4}})(?![A-Za-z0-9&&[^Tt]]|[Tt](?![0-9]{{2}}))",
+    "phone": rf"(?<![A-Za-z0-9+])(?:{_PHONES}){_NOT_AFTER}",
     "ssn": rf"{_NOT_BEFORE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_NOT_AFTER}",
 }
 #: A whole run of digit groups, up to where another shape starts; the cards in it are told by their check digits.
@@ -38,8 +44,18 @@ ANY = "|".join(SHAPES.values())
 #: Digits of a card, and the groups that cards are written in: these go before others that pass the check by chance.
 CARD_DIGITS = (13, 19)
 CARD_GROUPS = ("4-4-4-4", "4-6-5", "4-6-4", "4-4-4-4-3", *map(str, range(13, 20)))
-#: Days of 1900-01-01 to 2099-12-31, as a product for the two halves, and the first of them.
-DAY_HALVES, FIRST_DAY = (17, 4297), -25_567
+#: Years of dates. A date stays among those whose month and day fit the same writing: one digit or
+#: two, and days that can't be a month. These are the months and days of each; 29 February is its own.
+YEARS = (1900, 200)
+_MONTHS, _DAYS = ((1, 9), (10, 12)), ((1, 9), (10, 12), (13, 31))
+DATES = [
+    [f"{m:02}{d:02}" for m in range(m1, m2 + 1) for d in range(d1, min(d2, (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[m - 1]) + 1)]
+    for m1, m2 in _MONTHS for d1, d2 in _DAYS
+]
+#: 29 Februaries from 1904 to 2096, as a product for the two halves.
+LEAPS = (7, 7)
+#: Phone numbers of ten digits: those whose area and exchange start with 2 to 9, and the others, as squares.
+NUMBERED, OTHERS = 80_000, 60_000
 #: Social security numbers: areas without 000, 666 and 900 to 999, groups from 01, serials from 0001.
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
 
@@ -152,15 +168,35 @@ def cards(value: Column, key: str, back: bool = False) -> Column:
 
 
 def phone(value: Column, key: str, back: bool = False) -> Column:
-    """The last ten digits permuted; the country's stay."""
+    """The last ten digits permuted; the country's stay. Of ten digits or fewer after a ``+``
+    the first three stay."""
     def of(digits: Column) -> Column:
-        country = F.length(digits) - 10
-        tail = permuted_digits(F.substring(digits, country + 1, F.lit(10)), key, "phone", back)
-        return put_back(value, F.concat(F.substring(digits, F.lit(1), country), tail))
+        n = F.when(value.startswith("+") & (F.length(digits) <= 10), F.length(digits) - 3).otherwise(10)
+        kept = F.length(digits) - n
+        last = F.substring(digits, kept + 1, n)
+        tail = F.when(n == 10, _ten_digits(last, key, back)).otherwise(permuted_digits(last, key, "phone", back))
+        return put_back(value, F.concat(F.substring(digits, F.lit(1), kept), tail))
 
     return let(_digits(value), of)
 
 
+def _ten_digits(digits: Column, key: str, back: bool) -> Column:
+    """Permuted among the numbers with, or without, 2 to 9 in the first and fourth place."""
+    area, exchange, serial = (F.substring(digits, at, n).cast("long") for at, n in ((1, 3), (4, 3), (7, 4)))
+    numbered = (area >= 200) & (exchange >= 200)
+    index = F.when(numbered, ((area - 200) * 800 + exchange - 200) * 10_000 + serial).when(area < 200, digits.cast("long")).otherwise(2_000_000_000 + (area - 200) * 2_000_000 + exchange * 10_000 + serial)
+    size = F.when(numbered, F.lit(NUMBERED)).otherwise(F.lit(OTHERS)).cast("long")
+
+    def spelt(x: Column) -> Column:
+        at = x["l"] * size + x["r"]
+        own = (F.floor(at / 8_000_000) + 200) * 10_000_000 + (F.floor(at / 10_000) % 800 + 200) * 10_000 + at % 10_000
+        rest = at - 2_000_000_000
+        other = F.when(rest < 0, at).otherwise((F.floor(rest / 2_000_000) + 200) * 10_000_000 + rest % 2_000_000)
+        return F.lpad(F.when(numbered, own).otherwise(other).cast("string"), 10, "0")
+
+    return let(feistel(F.floor(index / size), index % size, size, size, key, F.concat(F.lit("phone"), size.cast("string")), back), spelt)
+
+
 def ssn(value: Column, key: str, back: bool = False) -> Column:
     def of(digits: Column) -> Column:
         area, group, serial = (F.substring(digits, a, n).cast("int") for a, n in ((1, 3), (4, 2), (6, 4)))
@@ -191,23 +227,39 @@ def ip(value: Column, key: str, back: bool = False) -> Column:
 
 
 def date(value: Column, key: str, back: bool = False) -> Column:
-    """A day of 1900 to 2099 among all of them, in the way of writing it had."""
-    ways = ((r"^[0-9]{4}-", (1, 6, 9), "yyyy-MM-dd"), (r"^[0-9]{4}/", (1, 6, 9), "yyyy/MM/dd"), (r"\.", (7, 4, 1), "dd.MM.yyyy"), (r"/", (7, 1, 4), "MM/dd/yyyy"))
-    out = None
-    for sign, (y, m, d), pattern in ways:
-        year, month, day = (F.substring(value, at, n).cast("int") for at, n in ((y, 4), (m, 2), (d, 2)))
-        leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-        longest = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-        valid = year.between(1900, 2099) & month.between(1, 12) & (day >= 1) & (day <= longest)
-        number = F.unix_date(F.make_date(F.when(valid, year).otherwise(2000), F.when(valid, month).otherwise(1), F.when(valid, day).otherwise(1))) - FIRST_DAY
-        moved = feistel(F.floor(number / DAY_HALVES[1]), number % DAY_HALVES[1], F.lit(DAY_HALVES[0]), F.lit(DAY_HALVES[1]), key, F.lit("date"), back)
-        here = F.when(value.rlike(sign) & valid, let(moved, _day_speller(pattern)))
-        out = here if out is None else F.coalesce(out, here)
-    return out
-
-
-def _day_speller(pattern: str) -> Callable[[Column], Column]:
-    return lambda x: F.date_format(F.date_from_unix_date((x["l"] * DAY_HALVES[1] + x["r"] + FIRST_DAY).cast("int")), pattern)
+    """A day of 1900 to 2099 among those that the same writing fits, in the way of writing it had.
+
+    With slashes and the year last the month is first, or the day where that gives no date.
+    """
+
+    def of(part: Column) -> Column:
+        year_first, dotted = F.length(part[0]) == 4, value.contains(".")
+        day_first = ~year_first & (dotted | ((part[0].cast("int") > 12) & (part[1].cast("int") <= 12)))
+        year = F.when(year_first, part[0]).otherwise(part[2]).cast("int") - YEARS[0]
+        month = F.when(year_first | day_first, part[1]).otherwise(part[0]).cast("int")
+        day = F.when(year_first, part[2]).when(day_first, part[0]).otherwise(part[1]).cast("int")
+        named = F.concat(F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
+        kind = F.when(month <= _MONTHS[0][1], 1).otherwise(4) + F.when(day <= _DAYS[0][1], 0).when(day <= _DAYS[1][1], 1).otherwise(2)
+        days = F.element_at(F.array(*(F.array(*map(F.lit, x)) for x in DATES)), kind)
+        leap = (named == "0229") & (year % 4 == 0) & (year > 0)
+
+        def moved(at: Column) -> Column:
+            left, right = F.when(leap, F.floor((year / 4 - 1) / LEAPS[1])).otherwise(at - 1), F.when(leap, (year / 4 - 1).cast("long") % LEAPS[1]).otherwise(year)
+            sizes = F.when(leap, LEAPS[0]).otherwise(F.size(days)), F.when(leap, LEAPS[1]).otherwise(YEARS[1])
+            tweak = F.concat(F.lit("date"), F.when(leap, 0).otherwise(kind).cast("string"))
+            return let(feistel(left, right, *(x.cast("long") for x in sizes), key, tweak, back), spelt)
+
+        def spelt(x: Column) -> Column:
+            new = F.when(leap, named).otherwise(F.element_at(days, (x["l"] + 1).cast("int")))
+            y = (F.when(leap, (x["l"] * LEAPS[1] + x["r"] + 1) * 4).otherwise(x["r"]) + YEARS[0]).cast("string")
+            m, d = (F.substring(new, k, 2).cast("int").cast("string") for k in (1, 3))
+            wide = lambda sign, old: F.lpad(sign, F.length(old), "0")
+            return put_back(value, F.when(year_first, F.concat(y, wide(m, part[1]), wide(d, part[2]))).when(day_first, F.concat(wide(d, part[0]), wide(m, part[1]), y)).otherwise(F.concat(wide(m, part[0]), wide(d, part[1]), y)))
+
+        valid = year.between(0, YEARS[1] - 1) & month.between(1, 12) & day.between(1, 31)
+        return F.when(valid, let(F.array_position(days, named), lambda at: F.when(leap | (at > 0), moved(at))))
+
+    return let(F.split(value, "[-./]", -1), of)
 
 
 def email(value: Column, key: str, back: bool = False) -> Column:

@@ -134,6 +134,44 @@ def test_cards_beside_other_numbers(spark):
     assert [(r.n_date, r.n_ssn, r.n_ip) for r in out.orderBy("doc_id").collect() if r.doc_id in (4, 5, 8)] == [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
 
 
+DATED = [
+    "at 2021-03-04T05:06:07Z", "on 25/12/2020", "on 1/2/2020", "on 13/1/2020", "on 1.2.2020", "on 2020-1-2", "on 2020-12-25", "on 29/02/2024", "on 2096-02-29", "on 31.12.2099", "on 1/1/1900",
+    "on 2/30/2020", "on 29/02/1900", "on 2021-03-04Tuesday", "on 13/13/2020", "on 0/1/2020",
+]
+CALLED = [
+    "+14155552671", "4155552671", "415-5552671", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+47 22 12 34 56", "(415)5552671", "415.555.2671", "+1 (017) 555-7713", "+1 017 555-7713",
+    "+47 22123456 12/31/1999", "+47 22123456 1985-02-28", "0155552671", "1700000000", "41555526711",
+]
+
+
+def test_common_dates_and_phones_keep_their_writing_and_turn_back(spark):
+    docs = spark.createDataFrame(list(enumerate(DATED + CALLED)), "doc_id long, text string")
+    out = pii.pseudonymised(docs, "k").cache()
+    rows = {DATED[r.doc_id] if r.doc_id < len(DATED) else CALLED[r.doc_id - len(DATED)]: r for r in out.collect()}
+    back = pii.pseudonymised(out.select("doc_id", "text"), "k", back=True).collect()
+    assert {r.doc_id: r.text for r in back} == dict(enumerate(DATED + CALLED))
+    for text, r in rows.items():
+        stays = text in DATED[-5:] or text in CALLED[-3:]
+        assert (r.n_date, r.n_phone) == (int(text in DATED and not stays or text in CALLED[10:12]), int(text in CALLED and not stays)), text
+        assert (r.text == text) == stays, text
+        assert re.sub("[0-9]", "0", r.text) == re.sub("[0-9]", "0", text)
+    digits = lambda text: re.sub("[^0-9]", "", rows[text].text)
+    y, m, d = re.findall("[0-9]+", rows["on 2020-12-25"].text)
+    assert rows["on 25/12/2020"].text == f"on {d}/{m}/{y}"
+    assert digits("4155552671") == digits("415-5552671") == digits("415.555.2671") == digits("(415)5552671") == digits("+14155552671")[1:]
+
+
+def test_dates_and_phones_are_permuted(spark):
+    """Every day goes to another day and back, and ten digits keep what makes them a number."""
+    days = spark.range(73_049).select(F.date_format(F.date_from_unix_date((F.col("id") - 25_567).cast("int")), "yyyy-MM-dd").alias("d"))
+    made = days.filter("d < '1910' or d like '%-02-29' or d like '%-11-11'").select("d", pii.date(F.col("d"), "k").alias("p")).withColumn("b", pii.date(F.col("p"), "k", True)).collect()
+    assert len({r.p for r in made}) == len(made) > 3700 and all(r.b == r.d and dt.date.fromisoformat(r.p) for r in made)
+    signs = spark.range(2000).select(F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**10)).cast("string"), 10, "0").alias("d"))
+    rows = signs.select("d", pii.phone(F.col("d"), "k").alias("p")).withColumn("b", pii.phone(F.col("p"), "k", True)).collect()
+    fine = lambda x: x[0] > "1" and x[3] > "1"
+    assert len({r.p for r in rows}) == len({r.d for r in rows}) and all(r.b == r.d and fine(r.p) == fine(r.d) and len(r.p) == 10 for r in rows)
+
+
 def test_the_network_permutes_every_domain(spark):
     """All values of small domains go to different values of the same domain."""
     rng = random.Random(1)

@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablerelay.llm.common import add_columns
+from tablerelay.llm.common import add_columns, written
 
-#: The bounded sample that the dictionaries are fitted on: the most common languages, at most
-#: so many documents of each, chosen by a hash of their id, and a window of each document.
-LANGUAGES, DOCUMENTS, WINDOW = 64, 64, 4096
+#: The sample that the dictionaries are fitted on: of every language at most so many documents,
+#: chosen by a hash of their id, and a window of each document.
+DOCUMENTS, WINDOW = 64, 4096
+#: Letters of the sample; more languages than fill it get narrower windows, down to the least one.
+SAMPLE, LEAST_WINDOW = 64 * DOCUMENTS * WINDOW, 256
 #: Bytes of a dictionary.
 DICTIONARY = 64 << 10
 #: Where the margin is narrow, as in very short texts, so many parts of each dictionary are
@@ -50,27 +52,35 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionaries by language, the most common first, from ``doc_id``, ``text`` and ``lang``.
 
     Two passes: counts by language, which give each one its share of ids, and the sample.
-    What reaches the driver is bounded by LANGUAGES, DOCUMENTS and WINDOW alone.
+    Every language with letters gets a dictionary. What reaches the driver is bounded by SAMPLE
+    up to 1,024 languages, and by DOCUMENTS times LEAST_WINDOW for each one beyond.
     """
-    usable = labelled.filter("text is not null and lang is not null")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    usable = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = written(usable.groupBy("lang").agg(F.count("*").alias("rows")), "language-counts")
+    languages = counts.orderBy(F.desc("rows"), "lang").collect()
+    if not languages:
         return {}
-    scale = 1 << 30
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, 2 * DOCUMENTS * scale // r["count"])))))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(scale))
-    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1
-    sample = (
-        usable.withColumn("place", place).filter(F.col("place") < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
-        .select("lang", "place", F.substring("text", start, F.lit(WINDOW)).alias("text"))
-    )
-    # Ids that repeat could all fall into the sample: each language gives its first only.
-    order = F.expr("row_number() over (partition by lang order by place, text)")
+    window = max(LEAST_WINDOW, min(WINDOW, SAMPLE // (DOCUMENTS * len(languages))))
     texts = defaultdict(dict)
-    for row in sample.withColumn("n", order).filter(F.col("n") <= DOCUMENTS).orderBy("lang", "n").collect():
-        if words := letters(row["text"]):
-            texts[row["lang"]][words] = None
-    by_count = [r["lang"] for r in counts if r["lang"] in texts]
+
+    def take(chosen: DataFrame, at: Column) -> None:
+        order = F.expr("row_number() over (partition by lang order by place, text)")
+        sample = chosen.select("lang", "place", F.substring("text", at, F.lit(window)).alias("text"))
+        for row in sample.withColumn("n", order).filter(F.col("n") <= DOCUMENTS).orderBy("lang", "n").collect():
+            if words := letters(row["text"]):
+                texts[row["lang"]][words] = None
+
+    scale = 1 << 30
+    share = F.expr(f"least({scale}L, {2 * DOCUMENTS * scale}L div rows)")
+    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.lit(1), F.length("text") - window + 1)).cast("int") + 1
+    placed = usable.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(scale)))
+    take(placed.join(counts, "lang").filter(F.col("place") < share), start)
+    # Where few ids are shared by all, none may fall into the share, and a window may have no letter.
+    missed = [r["lang"] for r in languages if r["lang"] not in texts]
+    if missed:
+        by_text = usable.filter(F.col("lang").isin(missed)).withColumn("place", F.pmod(F.xxhash64("text"), F.lit(scale)))
+        take(by_text, F.regexp_instr("text", F.lit(r"\p{L}")))
+    by_count = [r["lang"] for r in languages if r["lang"] in texts]
     return {lang: "\n".join(texts[lang]).encode()[-DICTIONARY:].decode(errors="ignore").encode() for lang in by_count}
 
 
@@ -90,10 +100,14 @@ class Compressors:
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.whole = {lang: compressor(content) for lang, content in dictionaries.items()}
-        self.parts = {
-            lang: [compressor(content[k * len(content) // PARTS:(k + 1) * len(content) // PARTS] or b" ") for k in range(PARTS)]
-            for lang, content in dictionaries.items()
-        }
+        self.dictionaries, self.parts = dictionaries, {}
+
+    def parts_of(self, lang: str) -> list[zstandard.ZstdCompressor]:
+        """Those of the eighths, made when a narrow margin first asks for them."""
+        if lang not in self.parts:
+            content = self.dictionaries[lang]
+            self.parts[lang] = [compressor(content[k * len(content) // PARTS:(k + 1) * len(content) // PARTS] or b" ") for k in range(PARTS)]
+        return self.parts[lang]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the margin is too narrow. Equal sizes go to the
@@ -105,7 +119,7 @@ class Compressors:
         sizes = {lang: sum(len(by.compress(x)) for x in chunks) for lang, by in self.whole.items()}
         lang, score = _smallest(sizes)
         if score < NARROW:
-            lang, score = _smallest({k: n + sum(len(by.compress(x)) for by in self.parts[k] for x in chunks) for k, n in sizes.items()})
+            lang, score = _smallest({k: n + sum(len(by.compress(x)) for by in self.parts_of(k) for x in chunks) for k, n in sizes.items()})
         return lang, score, score < NARROW
 
 

@@ -39,6 +39,20 @@ def test_held_out_accuracy(prose):
     assert all(0 <= r.score <= 1 for r in told)
 
 
+def test_every_label_is_learned_and_told(spark):
+    """Seventy languages, each of words of its own."""
+    rng = random.Random(8)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(12)] for k in range(70)}
+    rows = [(40 * k + n, " ".join(rng.choice(own) for _ in range(40)), lang) for k, (lang, own) in enumerate(words.items()) for n in range(12 if k < 65 else 6)]
+    rows += [(None, f"shared id {k}", "one") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.learn(docs.filter(~out))
+    assert set(model) == {*words, "one"}
+    told = language_id.identified(docs.filter(out & (F.col("lang") != "one")), model).collect()
+    assert len({r.lang for r in told}) > 64 and all(r.lang == r.lang_pred for r in told)
+
+
 def test_learning_and_telling_are_the_same_in_any_order(prose):
     assert language_id.learn(prose) == language_id.learn(prose.repartition(7))
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablerelay.llm.common import word_count, written
+from tablerelay.llm.common import WORD, word_count, written
 
 #: Weights of the sources in code-point order, repeating; null comes last.
 WEIGHTS = (5, 2, 1)
@@ -172,8 +172,8 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``: a document once for each pass that takes words of it.
 
-    Where the end of a source's share cuts a document, the row has the words taken, joined by
-    single spaces, and ``n_chars``, if there, is counted anew. Documents without words go.
+    Where the end of a source's share cuts a document, the row has its text up to the end of the
+    last word taken, unchanged, and ``n_chars``, if there, is counted anew. Documents without words go.
     """
     of = mix(docs)
     own = [f"_{c}" for c in ENTRY]
@@ -181,8 +181,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     marked = docs.select("*", *(c.alias(name) for c, name in zip(entry_columns(), own)))
     joined = marked.join(taken, own).withColumn("_copy", F.row_number().over(Window.partitionBy(*own).orderBy(*own)) - 1)
     rows = joined.withColumn("_words", F.explode(F.array(*(_of_copy(k, F.col("_copy"), F.col("_one_size")) for k in (0, 1))))).filter("_words > 0")
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+)"))
-    text = F.when(F.col("_words") < F.col("_one_size"), F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("text"))
+    # Up to where the last word taken ends: as many gaps as words come before it, the first one maybe empty.
+    some = lambda parts: F.aggregate(F.slice(parts, F.lit(1), F.col("_words").cast("int")), F.lit(0), lambda n, part: n + F.length(part))
+    end = some(F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"))) + some(F.split("text", WORD, -1))
+    text = F.when(F.col("_words") < F.col("_one_size"), F.col("text").substr(F.lit(1), end)).otherwise(F.col("text"))
     cut = rows.withColumn("text", text)
     columns = docs.columns
     if "n_chars" in columns:

@@ -115,6 +115,16 @@ def test_mixed_documents_have_the_words_taken(odd_docs):
     assert len(cut) <= 2 * odd_docs.select("source").distinct().count()
 
 
+def test_a_cut_document_is_an_unchanged_prefix(spark):
+    text = {s: "\n\t" + "".join(f"é{k}\n    w\t\t" for k in range(300)) for s in "ab"}
+    docs = spark.createDataFrame([(k, text[s], s) for k, s in enumerate("ab")], "doc_id long, text string, source string")
+    mixed = mixing.mixed_documents(docs).collect()
+    assert all(text[r.source].startswith(r.text) for r in mixed)
+    cut = [r for r in mixed if r.text != text[r.source]]
+    assert cut and all(not r.text[-1].isspace() for r in cut)
+    assert sum(words_in(r.text) for r in mixed) == mixing.mix_sizes(docs).agg(F.sum("taken")).first()[0]
+
+
 def test_ranks_of_a_source_have_no_gaps(spark):
     targets = spark.createDataFrame([(False, "a", 900, 5, 700.0), (False, "b", 50, 2, 100.0), (True, "", 10, 1, 0.0)], "no_source boolean, source_key string, source_size long, weight int, target double")
     slots = mixing.schedule(spark, targets, 8000).toPandas()

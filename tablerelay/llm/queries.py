@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerelay.llm import byte_bpe, exact, language_id, mixing, neighbours, pii, secrets, simhash, url_rules, warc
+from tablerelay.llm import (
+    alignment,
+    byte_bpe,
+    exact,
+    language_id,
+    lines,
+    merkle,
+    mixing,
+    neighbours,
+    pii,
+    secrets,
+    simhash,
+    url_rules,
+    warc,
+)
 from tablerelay.llm.common import read, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,3 +208,91 @@ SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_assign, coun
        coalesce(string_agg(s, ',' ORDER BY start, kind), '') AS spans
 FROM rows_of LEFT JOIN told USING (row_id) GROUP BY row_id
 """
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.deduplicated_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL["op11_line_dedup"] = rf"""
+WITH rows_of AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS cut FROM documents),
+each AS (SELECT row_id, doc_id, unnest(cut) AS line, generate_subscripts(cut, 1) AS place FROM rows_of),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS k FROM each),
+repeated AS (
+    SELECT k, min(doc_id) AS first_id FROM keyed WHERE length(k) >= 10 GROUP BY k
+    HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) > 1
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT row_id, doc_id, line, place, first_id IS NOT NULL AND doc_id IS DISTINCT FROM first_id AS gone FROM keyed LEFT JOIN repeated USING (k))
+GROUP BY row_id
+"""
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(read(spark, sf_dir, "documents"), a, b)[0]
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+#: The check sum bit by bit, as SQL has no function for it.
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT))"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of every level, from (tree, pos, n, digest)."""
+    return f"""{name}(tree, level, pos, n, digest) AS (
+    SELECT tree, 0, pos, n, digest FROM {leaves}
+    UNION ALL
+    SELECT tree, level + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos))
+    FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 8
+)"""
+
+
+def _steps_sql(nodes: str) -> str:
+    """What stands to the left and to the right of every node in its run."""
+    return f"""SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+        coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+    FROM {nodes} a JOIN {nodes} b ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL"""
+
+
+SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+    SELECT row_number() OVER () AS row_id, doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("text")} AS leaf,
+           CASE WHEN {_CRC} % 3 = 0 THEN {_leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} ELSE {_leaf_sql("text")} END AS changed
+    FROM documents
+), leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row_id) - 1 AS pos,
+           count(*) OVER (PARTITION BY tree) AS n, leaf AS digest FROM hashed
+), {_tree_sql("nodes", "leaves")}, subroots AS (SELECT tree AS name, digest AS subroot FROM nodes WHERE n = 1),
+trees AS (SELECT 'all' AS tree, name, subroot AS digest, row_number() OVER (ORDER BY name) - 1 AS pos, count(*) OVER () AS n FROM subroots),
+{_tree_sql("over", "trees")}, ways AS (
+    SELECT row_id, s.level, before, after FROM leaves l JOIN ({_steps_sql("nodes")}) s ON s.tree = l.tree AND s.pos = l.pos // (8 ** s.level)::BIGINT
+    UNION ALL
+    SELECT row_id, 100 + s.level, before, after FROM leaves l JOIN trees t ON t.name = l.tree
+    JOIN ({_steps_sql("over")}) s ON s.pos = t.pos // (8 ** s.level)::BIGINT
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY level) AS step FROM ways),
+proofs AS (SELECT row_id, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM numbered GROUP BY row_id),
+folded(row_id, step, x) AS (
+    SELECT row_id, 0, changed FROM leaves
+    UNION ALL
+    SELECT f.row_id, f.step + 1, sha256(before || x || after) FROM folded f JOIN numbered w ON w.row_id = f.row_id AND w.step = f.step + 1
+)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots s ON s.name = l.tree JOIN (SELECT digest AS root FROM over WHERE n = 1) ON true
+LEFT JOIN proofs USING (row_id) JOIN (SELECT row_id, arg_max(x, step) AS folded_root FROM folded GROUP BY row_id) USING (row_id)
+"""

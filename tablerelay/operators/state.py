@@ -20,10 +20,12 @@ def last_success_state(states: DataFrame) -> DataFrame:
     """The state of each job's latest successful run.
 
     The time of the run decides, not its mark: after a forced full run over a source that was
-    set back, the lower mark is the true one.
+    set back, the lower mark is the true one. Of runs at one time the later ``run_number``
+    counts, where the states have it.
     """
     succeeded = states.where(F.col("success"))
-    return latest_of_group(succeeded, ["job_identifier"], ["updated_at", "last_sync_time"])
+    numbers = [c for c in states.columns if c == "run_number"]
+    return latest_of_group(succeeded, ["job_identifier"], ["updated_at", *numbers, "last_sync_time"])
 
 
 def save_state(states: DataFrame, updates: DataFrame) -> DataFrame:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import time
+import uuid
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +20,13 @@ from tablerelay.operators.incremental import (
     oldest_rows,
     utc_text,
 )
-from tablerelay.operators.keys import find_column, find_keys, latest_per_key, quoted
+from tablerelay.operators.keys import columns_of, find_column, find_keys, key_set, latest_per_key, quoted
 from tablerelay.operators.mapping import align_to_target, auto_map, map_columns
 from tablerelay.operators.merge import (
     check_duplicates,
     is_flagged,
     merge_action_counts,
     merge_full,
-    merge_insert_only,
     merge_upsert,
     rows_to_insert,
 )
@@ -35,21 +38,20 @@ from tablerelay.operators.snapshot import (
     stored_snapshot,
 )
 from tablerelay.operators.state import STATE_SCHEMA, last_success_state
+from tablerelay.plans import buckets
 from tablerelay.plans.guards import GuardError, min_row_guard
 from tablerelay.plans.history import RunRecord
 from tablerelay.plans.publish import (
     Load,
-    append_load,
+    append_once,
     drop_old_versions,
     flip,
     load_partitioned,
-    merge_touched,
     read_load,
     remove_folder,
-    show_bucketed,
+    remove_unpublished,
     table_location,
     version_path,
-    write_bucketed,
 )
 from tablerelay.sources.queries import source_top_n
 from tablerelay.spec import JobSpec
@@ -79,16 +81,67 @@ class Marks:
     version: bytes | None = None
 
 
+#: What runs record: the state, and a number that settles runs at one time.
+RECORDED = f"{STATE_SCHEMA}, run_number bigint"
+#: Files of the state log above which they become one, and seconds for which readers that
+#: began earlier may still need those that did.
+STATE_FILES, STATE_GRACE = 32, 3600
+
+
+def _state_files(spark: SparkSession, path: str) -> tuple[list, list]:
+    """The files of a state log that count, and the notes of files that a larger one replaced."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(conf)
+    found = list(files.listStatus(folder)) if files.exists(folder) else []
+    notes = [s for s in found if s.getPath().getName().startswith("_replaced-")]
+    replaced = {name for note in notes for name in _lines(spark, files, note.getPath())}
+    return [s.getPath() for s in found if s.getPath().getName().endswith(".parquet") and s.getPath().getName() not in replaced], notes
+
+
+def _lines(spark: SparkSession, files, path) -> list[str]:
+    stream = files.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+    finally:
+        stream.close()
+
+
 def read_states(spark: SparkSession, path: str) -> DataFrame:
     """All states that runs have recorded, earlier ones included."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(path)
+    files, _ = _state_files(spark, path)
+    if not files:
+        return spark.createDataFrame([], RECORDED)
+    return spark.read.schema(RECORDED).parquet(*[str(p) for p in files])
+
+
+def compact_states(spark: SparkSession, path: str, most: int = STATE_FILES, grace: int = STATE_GRACE) -> bool:
+    """Make the files of a state log one, if there are more than ``most``.
+
+    A note then says which files the one replaces; they are deleted once the note is older than
+    ``grace`` seconds. A run that dies before the note leaves states twice, which changes nothing.
+    """
+    old, notes = _state_files(spark, path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path_of = jvm.org.apache.hadoop.fs.Path
+    files = path_of(path).getFileSystem(conf)
+    for note in notes:
+        if note.getModificationTime() <= (time.time() - grace) * 1000:
+            for name in _lines(spark, files, note.getPath()):
+                files.delete(path_of(path, name), False)
+            files.delete(note.getPath(), False)
+    if len(old) <= most:
+        return False
+    rows = spark.read.schema(RECORDED).parquet(*[str(p) for p in old]).distinct()
+    rows.coalesce(1).write.mode("append").parquet(path)
+    out = files.create(path_of(path, f"_replaced-{uuid.uuid4().hex}"), True)
+    out.write(bytearray("\n".join(p.getName() for p in old), "utf-8"))
+    out.close()
+    return True
 
 
 def _record_state(
-    spark: SparkSession, path: str, job: JobSpec, as_of: str, result: RunResult, marks: Marks
+    spark: SparkSession, path: str, job: JobSpec, as_of: str, result: RunResult, marks: Marks, number: int
 ) -> None:
     version = None if marks.version is None else bytearray(marks.version)
     values = {
@@ -105,15 +158,22 @@ def _record_state(
         "published_path": result.location,
         "created_at": as_of,
         "updated_at": as_of,
+        "run_number": number,
     }
-    fields = spark.createDataFrame([], STATE_SCHEMA).schema.fields
+    fields = spark.createDataFrame([], RECORDED).schema.fields
     row = spark.range(1).select(*[F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in fields])
     row.coalesce(1).write.mode("append").parquet(path)
+    compact_states(spark, path)
 
 
-def _known_marks(spark: SparkSession, path: str, job: JobSpec) -> Marks | None:
-    states = last_success_state(read_states(spark, path).where(F.col("job_identifier") == job.job_id))
-    found = states.select(F.col("last_sync_time").cast("string"), "last_row_version").head()
+def _next_number(states: DataFrame) -> int:
+    """The number of a job's next run: one that is tried again gets the same."""
+    last, runs = states.agg(F.max("run_number"), F.count(F.lit(1))).first()
+    return max(last or 0, runs) + 1
+
+
+def _known_marks(states: DataFrame) -> Marks | None:
+    found = last_success_state(states).select(F.col("last_sync_time").cast("string"), "last_row_version").head()
     if found is None:
         return None
     return Marks(found[0], None if found[1] is None else bytes(found[1]))
@@ -207,6 +267,32 @@ def _merge_counts(job: JobSpec, target: DataFrame, batch: DataFrame, after: int)
     return {**counts, "DELETE": before + counts["INSERT"] - after}
 
 
+def _merge_buckets(spark: SparkSession, job: JobSpec, batch: DataFrame) -> dict[str, int]:
+    """Merge into the touched buckets: the batch's, and for a full merge those that lose keys.
+
+    For a comparison, the source's keys are summed up per bucket and held against the layout's
+    sums; only where they differ are keys compared. For flags, the table's keys are looked
+    up in the buckets that flagged keys fall into.
+    """
+    how, folder, keys = job.incremental, job.folder, find_keys(batch, job.keys)
+    layout = buckets.current_layout(spark, job.target, folder, keys, job.bucket)
+    known = partial(buckets.merge_buckets, spark, job.target, folder, layout, batch, keys, job.bucket)
+    if how.merge != "full":
+        return known(buckets.insert_only if how.merge == "insert_only" else buckets.upsert)
+    if how.deletes.mode == "soft":
+        gone = key_set(align_to_target(_flagged_keys(job), batch.select(*columns_of(keys)).schema), keys, repeated=True)
+        touched = buckets.flagged_buckets(spark, batch.schema, layout, gone, keys, job.bucket)
+        return known(buckets.full_by_flag(gone), touched)
+    whole = job.source if job.mappings is None else map_columns(job.source, job.mappings)
+    source = align_to_target(whole.select(*columns_of(find_keys(whole, job.keys))), batch.select(*columns_of(keys)).schema)
+    differing, found = buckets.differing_buckets(layout, source, keys, job.bucket)
+    if not found and not how.deletes.allow_empty:
+        raise ValueError("the source is empty, so every target row would be deleted")
+    touched = differing | buckets.bucket_names(batch.select(*columns_of(keys)), job.bucket)
+    present = source.where(F.coalesce(buckets.named_bucket(job.bucket), F.lit("")).isin([n or "" for n in touched]))
+    return known(buckets.full_by_comparison(key_set(present, keys)), touched)
+
+
 def check_job(job: JobSpec) -> None:
     """Fail, naming it, on a column that the job names and its source does not have.
 
@@ -234,42 +320,40 @@ def _check_copies(job: JobSpec, batch: DataFrame) -> None:
         check_duplicates(batch, find_keys(batch, job.keys), job.incremental.on_duplicate)
 
 
-def _publish_merge(spark: SparkSession, job: JobSpec, batch: DataFrame, location: str) -> tuple[str, dict]:
-    """Merge a batch into the published table; returns its location and what changed."""
+def _publish_merge(
+    spark: SparkSession, job: JobSpec, batch: DataFrame, location: str, run_name: str
+) -> tuple[str, dict]:
+    """Merge a batch into the published table; returns its location and what changed.
+
+    Whatever fails, readers follow the rows from before or those from after the merge.
+    """
     how, target = job.incremental, spark.table(job.target)
     aligned = align_to_target(batch, target.drop("_bucket").schema)
     _check_copies(job, aligned)
     if job.bucket is not None:
-        before = target.count()
-        merge = merge_insert_only if how.merge == "insert_only" else merge_upsert
-        merge_touched(spark, location, aligned, job.keys, job.bucket, merge, on_duplicate="unique")
-        show_bucketed(spark, job.target, location)
-        inserted = spark.table(job.target).count() - before
-        updated = aligned.count() - inserted if how.merge == "upsert" else 0
-        return location, {"INSERT": inserted, "UPDATE": updated, "DELETE": 0}
+        return location, _merge_buckets(spark, job, aligned)
     if how.merge == "insert_only":
         # New rows become new files; what is there is neither read whole nor written again.
-        stage = version_path(f"{job.folder.rstrip('/')}/stage")
-        try:
-            new = _write(job, rows_to_insert(target, aligned, job.keys, "unique"), stage)
-            append_load(read_load(spark, new), job.target)
-        finally:
-            remove_folder(spark, stage)
-        return location, {"INSERT": new.rows, "UPDATE": 0, "DELETE": 0}
-    merged = _write(job, _merged(job, target, aligned), version_path(job.folder))
-    read_load(spark, merged)
-    changes = _merge_counts(job, target, aligned, merged.rows)
-    flip(spark, job.target, merged.path)
-    return merged.path, changes
+        added = append_once(spark, job.target, rows_to_insert(target, aligned, job.keys, "unique"), run_name)
+        return location, {"INSERT": added, "UPDATE": 0, "DELETE": 0}
+    path = version_path(job.folder)
+    try:
+        merged = _write(job, _merged(job, target, aligned), path)
+        read_load(spark, merged)
+        changes = _merge_counts(job, target, aligned, merged.rows)
+        flip(spark, job.target, path)
+    finally:
+        remove_unpublished(spark, job.target, path)
+    return path, changes
 
 
 def _publish_whole(
-    spark: SparkSession, job: JobSpec, batch: DataFrame, path: str, location: str | None, as_of: str
+    spark: SparkSession, job: JobSpec, batch: DataFrame, path: str, location: str | None, as_of: str, run_name: str
 ) -> tuple[str, dict]:
     """Put a whole load, written to ``path``, in the place of the table, or at its end."""
     how, tracking = job.incremental, job.incremental.mode in ("timestamp", "rowversion")
     if job.options.append and location is not None and not tracking:
-        append_load(batch, job.target)
+        append_once(spark, job.target, batch, run_name)
         return location, {}
     changes: dict[str, int] = {}
     if how.mode == "snapshot":
@@ -278,6 +362,7 @@ def _publish_whole(
             published = None if location is None else spark.table(job.target)
             changes = _take_snapshot(spark, job, published, batch, as_of, stage)
             flip(spark, job.target, path)
+            # A fault from here on fails the run, but the rows that readers follow stay.
             save_snapshot(spark.read.parquet(stage), snapshot_folder(job))
         finally:
             remove_folder(spark, stage)
@@ -285,9 +370,7 @@ def _publish_whole(
     if tracking:
         _check_copies(job, batch)
     if job.bucket is not None:
-        path = write_bucketed(batch, version_path(job.folder), job.bucket).path
-        show_bucketed(spark, job.target, path)
-        return path, changes
+        return buckets.replace_buckets(spark, job.target, job.folder, batch, job.keys, job.bucket), changes
     flip(spark, job.target, path)
     return path, changes
 
@@ -332,7 +415,8 @@ def run_job(
 def _run(spark: SparkSession, job: JobSpec, state_path: str, as_of: str) -> RunResult:
     check_job(job)
     how, options, folder = job.incremental, job.options, job.folder.rstrip("/")
-    known, location = _known_marks(spark, state_path, job), table_location(spark, job.target)
+    states = read_states(spark, state_path).where(F.col("job_identifier") == job.job_id)
+    known, number, location = _known_marks(states), _next_number(states), table_location(spark, job.target)
     tracking = how.mode in ("timestamp", "rowversion")
     merging = tracking and known is not None and location is not None and not how.force_full
     marks = known or Marks()
@@ -350,8 +434,9 @@ def _run(spark: SparkSession, job: JobSpec, state_path: str, as_of: str) -> RunR
         figures["mark"] = mark if how.mode == "rowversion" else text
         if not merging:
             figures["untracked"] = F.count_if(F.col(quoted(tracked)).isNull())
-    stage = version_path(f"{folder}/stage" if merging or job.bucket else folder)
-    shown = None
+    appending = options.append and not tracking and location is not None
+    stage = version_path(f"{folder}/stage" if merging or job.bucket or appending else folder)
+    run_name = hashlib.sha256(f"{number}|{job.job_id}".encode()).hexdigest()[:32]
     try:
         load = _write(job, delta, stage, figures=figures, mapped=lambda rows: _living(job, rows))
         batch = read_load(spark, load)
@@ -362,17 +447,19 @@ def _run(spark: SparkSession, job: JobSpec, state_path: str, as_of: str) -> RunR
         if how.mode == "snapshot" and load.rows == 0 and location is not None and not options.force:
             raise GuardError("the source is empty, so every target row would be deleted")
         if merging:
-            shown, changes = _publish_merge(spark, job, batch, location)
+            shown, changes = _publish_merge(spark, job, batch, location, run_name)
         else:
-            shown, changes = _publish_whole(spark, job, batch, load.path, location, as_of)
+            shown, changes = _publish_whole(spark, job, batch, load.path, location, as_of, run_name)
     finally:
-        if shown != stage:
-            remove_folder(spark, stage)
+        remove_unpublished(spark, job.target, stage)
     result = RunResult(load.rows, True, shown, changes, load.figures.get("untracked"))
 
     mark = load.figures.get("mark")
     if mark is not None:
         marks = Marks(version=bytes(mark)) if how.mode == "rowversion" else Marks(time=mark)
-    _record_state(spark, state_path, job, as_of, result, marks)
-    drop_old_versions(spark, job.target, folder, options.keep_versions)
+    _record_state(spark, state_path, job, as_of, result, marks, number)
+    if job.bucket is not None:
+        buckets.drop_old_layouts(spark, folder, options.keep_versions)
+    else:
+        drop_old_versions(spark, job.target, folder, options.keep_versions)
     return result

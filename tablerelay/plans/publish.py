@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablerelay.operators.keys import columns_of, find_keys
+from tablerelay.operators.keys import columns_of, find_column, find_keys, quoted
 from tablerelay.operators.mapping import align_to_target
 from tablerelay.operators.merge import merge_upsert
 from tablerelay.plans.guards import count_parity_guard, min_row_guard
@@ -63,6 +63,24 @@ def load_partitioned(
     return Load(path, written.get["rows"], dict(seen.get) if figures else {})
 
 
+def load_clustered(df: DataFrame, path: str, column: str, *, row_group_bytes: int = 16 << 20, figures: dict[str, Column] | None = None) -> Load:
+    """Write rows in the order of a tracking column, for sources that are read incrementally.
+
+    Files hold ranges of the column and are sorted by it, in row groups whose statistics say
+    what they hold: a reader of what is new skips the others. Rows of one value are spread over
+    several files where they are many; rows without a value come first. Later loads that are
+    appended hold newer rows, so they keep the order.
+    """
+    name = F.col(quoted(find_column(df.columns, column)))
+    seen, written = Observation(), Observation()
+    rows = df.observe(seen, *[c.alias(n) for n, c in figures.items()]) if figures else df
+    # The second key tells rows of one value apart, so that ranges can cut between them.
+    placed = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(name, "_row")
+    ordered = placed.sortWithinPartitions(name, "_row").drop("_row").observe(written, F.count(F.lit(1)).alias("rows"))
+    ordered.write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path)
+    return Load(path, written.get["rows"], dict(seen.get) if figures else {})
+
+
 def read_load(spark: SparkSession, load: Load) -> DataFrame:
     """The written rows; their number, from the files' footers, must be the one written."""
     staged = spark.read.parquet(load.path)
@@ -90,8 +108,15 @@ def table_location(spark: SparkSession, table: str) -> str | None:
     return described.where("col_name = 'Location'").head()["data_type"]
 
 
+#: Marks a version folder that was shown to readers.
+_SHOWN = "_shown"
+
+
 def flip(spark: SparkSession, table: str, path: str) -> None:
     """Show ``path`` to readers of ``table``, in one catalog change."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    mark = jvm.org.apache.hadoop.fs.Path(path, _SHOWN)
+    mark.getFileSystem(conf).create(mark, True).close()
     if spark.catalog.tableExists(table):
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
         spark.catalog.refreshTable(table)
@@ -99,24 +124,38 @@ def flip(spark: SparkSession, table: str, path: str) -> None:
         spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
 
 
+def remove_unpublished(spark: SparkSession, table: str, path: str) -> None:
+    """Delete a folder unless readers of ``table`` follow it by now.
+
+    Where that can't be told, as after a fault of the catalog, the folder stays.
+    """
+    location = table_location(spark, table)
+    if location is None or location.rstrip("/").rsplit("/", 1)[-1] != path.rstrip("/").rsplit("/", 1)[-1]:
+        remove_folder(spark, path)
+
+
 def drop_old_versions(spark: SparkSession, table: str, folder: str, keep: int = 2) -> list[str]:
     """Delete all but the ``keep`` newest version folders; the published one always stays.
 
     Keep at least two: the version before serves readers that began earlier. Names give the
-    order, since not every store keeps the time of a folder.
+    order, since not every store keeps the time of a folder. Of folders older than the
+    published one, those that were never shown to readers don't count and go.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(folder)
     files = root.getFileSystem(conf)
     if not files.exists(root):
         return []
-    found = [s for s in files.listStatus(root) if s.getPath().getName().startswith("v=")]
-    found.sort(key=lambda s: s.getPath().getName(), reverse=True)
+    found = {s.getPath().getName(): s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("v=")}
     current = (table_location(spark, table) or "").rstrip("/").rsplit("/", 1)[-1]
-    old = [s.getPath() for s in found[keep:] if s.getPath().getName() != current]
-    for path in old:
-        files.delete(path, True)
-    return [p.getName() for p in old]
+    marked = [n for n, path in found.items() if files.exists(jvm.org.apache.hadoop.fs.Path(path, _SHOWN))]
+    # Folders from before there were marks all count as shown.
+    shown = sorted(marked if current in marked else found, reverse=True)
+    kept = {*shown[:keep], current}
+    old = [n for n in found if n not in kept and (n in shown or n < current)]
+    for name in old:
+        files.delete(found[name], True)
+    return old
 
 
 def full_refresh_swap(
@@ -151,6 +190,41 @@ def append_load(df: DataFrame, table: str) -> None:
     spark.catalog.refreshTable(table)
 
 
+def append_once(spark: SparkSession, table: str, df: DataFrame, run_name: str) -> int:
+    """Add rows to a table as the part of one run; returns how many.
+
+    The part is written beside the table and its files move into it under the run's name. A run
+    that is tried again first removes what it had added, so its rows are there once. A record
+    in the table's hidden folder ``_runs`` says that a part is complete.
+    """
+    location = table_location(spark, table)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path_of = jvm.org.apache.hadoop.fs.Path
+    root, record = path_of(location), path_of(f"{location}/_runs/{run_name}")
+    files = root.getFileSystem(conf)
+    stage = f"{location}/_stage-{run_name}-{uuid.uuid4().hex}"
+    prefix = f"part-run-{run_name}-"
+    before = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith(prefix)]
+    try:
+        # The rows may be read from the table itself: without what the failed run had added.
+        if before:
+            files.delete(record, False)
+            for path in before:
+                files.delete(path, False)
+            spark.catalog.refreshTable(table)
+        load = load_partitioned(align_to_target(df, spark.table(table).schema), stage)
+        read_load(spark, load)
+        written = [s.getPath() for s in files.listStatus(path_of(stage)) if s.getPath().getName().startswith("part-")]
+        for path in written:
+            if not files.rename(path, path_of(root, prefix + path.getName().removeprefix("part-"))):
+                raise OSError(f"could not move {path} into {location}")
+        files.create(record, True).close()
+    finally:
+        remove_folder(spark, stage)
+        spark.catalog.refreshTable(table)
+    return load.rows
+
+
 def load_direct(df: DataFrame, table: str, folder: str, append: bool = False) -> Load | None:
     """Load a table without a separate stage: replacing its rows, or adding to them."""
     if append and df.sparkSession.catalog.tableExists(table):

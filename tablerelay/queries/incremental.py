@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablerelay.operators import incremental, state
+from tablerelay.plans.job import compact_states, read_states
+from tablerelay.plans.publish import load_clustered, read_load
 from tablerelay.queries.book import Book
 from tablerelay.queries.fixtures import AS_OF
+from tablerelay.session import shared_folder
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
@@ -26,6 +30,13 @@ def incremental_timestamp_inclusive(t):
     return incremental.incremental_timestamp(t.orders, "o_orderdate", SINCE, inclusive=True)
 
 
+@book.query(f"SELECT * FROM orders WHERE o_orderdate > TIMESTAMP '{SINCE}'")
+def incremental_clustered(t):
+    """The same from a source in the order of its tracking column, of which few row groups are read."""
+    load = load_clustered(t.orders, shared_folder(t.spark, "clustered"), "o_orderdate")
+    return incremental.incremental_timestamp(read_load(t.spark, load), "o_orderdate", SINCE)
+
+
 @book.query("""
     SELECT o_orderkey, o_custkey, hex(row_version) AS version_hex FROM {versioned_orders} WHERE o_orderkey > 1000""")
 def incremental_rowversion(t):
@@ -132,3 +143,22 @@ def tracking_monitor(t):
     FROM {states} ORDER BY last_sync_time DESC, job_identifier LIMIT 1""")
 def tracking_monitor_newest(t):
     return state.tracking_monitor(t.states, newest=1)
+
+
+@book.query("""
+    SELECT job_identifier, rows_processed, CAST(success AS BOOLEAN) AS success FROM (
+        SELECT *, row_number() OVER (PARTITION BY job_identifier ORDER BY run_number DESC) AS position FROM (
+            SELECT 'job' || o_custkey % 50 AS job_identifier, o_orderkey AS rows_processed, TRUE AS success,
+                   row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS run_number FROM orders) s) r
+    WHERE position = 1""")
+def save_state_compacted(t):
+    """States of many runs at one time, in more files than a log keeps: their number settles which is last."""
+    path, job = shared_folder(t.spark, "states"), F.concat(F.lit("job"), (F.col("o_custkey") % 50).cast("string"))
+    number = F.row_number().over(Window.partitionBy(F.col("o_custkey") % 50).orderBy("o_orderkey"))
+    states = t.orders.select(
+        job.alias("job_identifier"), F.col("o_orderkey").cast("bigint").alias("rows_processed"), F.lit(True).alias("success"),
+        F.lit(AS_OF).cast("timestamp_ntz").alias("updated_at"), number.cast("bigint").alias("run_number"),
+    )
+    states.repartition(40, "job_identifier", "run_number").write.parquet(path)
+    compact_states(t.spark, path)
+    return state.last_success_state(read_states(t.spark, path)).select("job_identifier", "rows_processed", "success")

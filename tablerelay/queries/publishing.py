@@ -26,9 +26,12 @@ def _table() -> str:
 
 def _published(t: Tables, table: str) -> DataFrame:
     """What readers of a table see; the catalog entry goes, the files stay."""
-    path, seen = publish.table_location(t.spark, table), t.spark.table(table).count()
+    shown = t.spark.table(table)
+    path, seen, files = publish.table_location(t.spark, table), shown.count(), shown.inputFiles()
+    bucketed = "_bucket" in shown.columns
     t.spark.sql(f"DROP TABLE {table}")
-    rows = t.spark.read.parquet(path)
+    # Buckets lie in folders of several runs.
+    rows = t.spark.read.parquet(*files) if bucketed and files else t.spark.read.parquet(path)
     guards.count_parity_guard(seen, rows.count())
     return rows
 
@@ -138,6 +141,62 @@ def run_job_bucketed(t):
     return _job(t, Incremental("timestamp", "o_orderdate"), bucket="pmod(xxhash64(o_orderkey), 8)").drop("_bucket")
 
 
+@book.query(f"""
+    WITH before AS ({_FIRST}), fresh AS ({_NEW}),
+    merged AS (SELECT f.* FROM before f ANTI JOIN fresh n ON f.o_orderkey = n.o_orderkey UNION ALL SELECT * FROM fresh)
+    SELECT m.b AS bucket, m.row_count, m.total_price, coalesce(n.touched, FALSE) AS rewritten
+    FROM (SELECT o_orderkey % 256 AS b, CAST(count(*) AS BIGINT) AS row_count, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total_price FROM merged GROUP BY 1) m
+    LEFT JOIN (SELECT DISTINCT o_orderkey % 256 AS b, TRUE AS touched FROM fresh) n ON n.b = m.b""")
+def run_job_bucket_locations(t):
+    """Each bucket's rows, and whether the second run gave it a folder of its own."""
+    table, folder = _table(), shared_folder(t.spark, "job")
+    early = t.stale_orders.where(F.col("o_orderdate") < ntz("2000-01-01"))
+    for source, clock in ((early, "2024-01-30 00:00:00"), (t.orders, AS_OF)):
+        spec = JobSpec("orders", source, table, folder, ["o_orderkey"], None, Incremental("timestamp", "o_orderdate"), bucket="o_orderkey % 256")
+        run_job(t.spark, spec, f"{folder}/states", clock)
+    first = publish.table_location(t.spark, table).rsplit("/", 1)[-1]
+    rows = t.spark.read.parquet(*t.spark.table(table).inputFiles())
+    t.spark.sql(f"DROP TABLE {table}")
+    return rows.groupBy((F.col("o_orderkey") % 256).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total_price"),
+        (~F.max(F.contains(F.col("_metadata.file_path"), F.lit(first)))).alias("rewritten"),
+    ).withColumn("total_price", F.col("total_price").cast("decimal(38,2)"))
+
+
+_LATER = "SELECT * FROM orders WHERE o_orderkey % 97 <> 3"
+_LATEST = f"SELECT * FROM ({_NEW}) n WHERE o_orderkey % 97 <> 3"
+_LEFT = f"SELECT f.* FROM ({_FIRST}) f SEMI JOIN ({_LATER}) s ON f.o_orderkey = s.o_orderkey ANTI JOIN ({_LATEST}) n ON f.o_orderkey = n.o_orderkey"
+
+
+def _full_merge_runs(t, table, folder):
+    """A first load, then a full merge by comparison with a source that has lost some rows."""
+    early = t.stale_orders.where(F.col("o_orderdate") < ntz("2000-01-01"))
+    how = Incremental("timestamp", "o_orderdate", merge="full", deletes=DeleteDetection("comparison"))
+    for source, clock in ((early, "2024-01-30 00:00:00"), (t.orders.where("o_orderkey % 97 <> 3"), AS_OF)):
+        spec = JobSpec("orders", source, table, folder, ["o_orderkey"], None, how, bucket="o_orderkey % 64")
+        result = run_job(t.spark, spec, f"{folder}/states", clock)
+    return result
+
+
+@book.query(f"SELECT * FROM ({_LEFT}) k UNION ALL SELECT * FROM ({_LATEST}) n")
+def run_job_bucketed_full(t):
+    table, folder = _table(), shared_folder(t.spark, "job")
+    _full_merge_runs(t, table, folder)
+    return _published(t, table)
+
+
+@book.query(f"""
+    SELECT 'INSERT' AS action, CAST(count(*) AS BIGINT) AS row_count FROM ({_LATEST}) n WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({_FIRST}) f)
+    UNION ALL SELECT 'UPDATE', count(*) FROM ({_LATEST}) n WHERE o_orderkey IN (SELECT o_orderkey FROM ({_FIRST}) f)
+    UNION ALL SELECT 'DELETE', count(*) FROM ({_FIRST}) f WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({_LATER}) s)""")
+def run_job_bucketed_full_counts(t):
+    """What the run counted, from the layout and while merging."""
+    table, folder = _table(), shared_folder(t.spark, "job")
+    changes = _full_merge_runs(t, table, folder).changes
+    t.spark.sql(f"DROP TABLE {table}")
+    return t.spark.createDataFrame(list(changes.items()), "action string, row_count bigint")
+
+
 @book.query("SELECT * FROM orders")
 def run_job_snapshot(t):
     return _job(t, Incremental("snapshot"))

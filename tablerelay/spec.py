@@ -98,7 +98,7 @@ class JobSpec:
     """One relay job.
 
     ``folder`` is the shared folder that holds its table's versions. With ``bucket``, an
-    SQL expression over the keys, an upsert or insert rewrites only the buckets it touches.
+    SQL expression over the keys, a merge rewrites only the buckets it touches.
     """
 
     job_id: str
@@ -112,10 +112,8 @@ class JobSpec:
     bucket: str | None = None
 
     def __post_init__(self) -> None:
-        if self.bucket is not None and (
-            self.incremental.merge == "full" or self.incremental.mode not in ("timestamp", "rowversion")
-        ):
-            raise ValueError("a bucketed table takes incremental upserts and inserts")
+        if self.bucket is not None and self.incremental.mode not in ("timestamp", "rowversion"):
+            raise ValueError("a bucketed table takes incremental runs")
         if self.incremental.mode == "snapshot" and (self.options.append or self.options.top):
             raise ValueError("snapshot mode compares whole tables: it takes neither append nor top")
         if not self.job_id.strip() or not self.target.strip() or not self.folder.strip():

@@ -347,3 +347,231 @@ def test_writers_do_not_squeeze_what_comes_before(spark):
     publish.load_partitioned(spark.range(0, 1000, 1, 8).withColumn("p", F.spark_partition_id()), path, writers=2)
     assert spark.read.parquet(path).select("p").distinct().count() == 8
     assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 2
+
+
+def bucket_files(spark, table):
+    return {p.split("_bucket=")[1].split("/")[0]: p.rsplit("/", 2)[0] for p in spark.table(table).inputFiles()}
+
+
+BY_TIME = Incremental("timestamp", "changed")
+FULL = Incremental("timestamp", "changed", merge="full", deletes=DeleteDetection.of("comparison"))
+
+
+def test_a_reader_in_between_sees_old_buckets(spark, place):
+    table, _ = place
+    run(spark, place, clients(spark, *FIRST), BY_TIME, bucket="pmod(id, 4)")
+    before, reader = bucket_files(spark, table), spark.table(table)
+    reader.inputFiles()
+    later = clients(spark, FIRST[0], (2, "two", 1, "2025-05-01 00:00:00"), FIRST[2], (5, "five", 1, "2025-05-01 00:00:00"), (4, "four", 1, "2025-05-02 00:00:00"))
+    result = run(spark, place, later, BY_TIME, bucket="pmod(id, 4)")
+    assert result.changes == {"INSERT": 2, "UPDATE": 1, "DELETE": 0}
+    after = bucket_files(spark, table)
+    assert after["3"] == before["3"] and after["2"] != before["2"] and after["1"] != before["1"] and set(after) == {"0", "1", "2", "3"}
+    old = spark.read.parquet(*[f"{p}/_bucket={b}" for b, p in before.items()])
+    assert {r["id"]: r["name"] for r in old.collect()} == {1: "Juan Pérez", 2: "María García", 3: "Carlos López"}
+    assert names(spark, place) == {1: "Juan Pérez", 2: "two", 3: "Carlos López", 4: "four", 5: "five"}
+
+
+def test_full_merges_by_bucket_digests_leave_equal_buckets_alone(spark, place):
+    table, folder = place
+    rows = [(i, f"n{i}", 1, "2025-01-01 00:00:00") for i in range(40)]
+    run(spark, place, clients(spark, *rows), FULL, bucket="pmod(id, 8)")
+    before = bucket_files(spark, table)
+    gone = [r for r in rows if r[0] not in (3, 11)] + [(48, "new", 1, "2025-02-01 00:00:00"), (4, "changed", 1, "2025-02-01 00:00:00")]
+    result = run(spark, place, clients(spark, *[r for r in gone if r[:2] != (4, "n4")]), FULL, bucket="pmod(id, 8)")
+    assert result.changes == {"INSERT": 1, "UPDATE": 1, "DELETE": 2}
+    after = bucket_files(spark, table)
+    assert {b for b in before if before[b] != after.get(b)} == {"0", "3", "4"}
+    assert set(names(spark, place)) == set(range(40)) - {3, 11} | {48}
+    # A bucket that loses all its rows leaves the catalog.
+    left = clients(spark, *[r for r in rows if r[0] % 8 != 5])
+    run(spark, place, left, FULL, bucket="pmod(id, 8)")
+    assert "5" not in bucket_files(spark, table) and spark.table(table).count() == 33
+    with pytest.raises(ValueError, match="empty"):
+        run(spark, place, left.limit(0), FULL, bucket="pmod(id, 8)")
+    with pytest.raises(ValueError, match="bucketed by"):
+        run(spark, place, left, FULL, bucket="pmod(id, 9)")
+
+
+def test_full_merges_by_flag_in_buckets(spark, place):
+    how = Incremental("timestamp", "changed", merge="full", deletes=DeleteDetection("soft", "name", "gone"))
+    rows = [(i, f"n{i}", 1, "2025-01-01 00:00:00") for i in range(16)]
+    run(spark, place, clients(spark, *rows), how, bucket="pmod(id, 4)")
+    before = bucket_files(spark, place[0])
+    later = [(5, "gone", 1, "2025-01-01 00:00:00"), (6, "gone", 1, "2025-02-01 00:00:00"), (99, "gone", 1, "2025-02-01 00:00:00")]
+    result = run(spark, place, clients(spark, *later), how, bucket="pmod(id, 4)")
+    assert set(names(spark, place)) == set(range(16)) - {5, 6} and result.changes["DELETE"] == 2
+    after = bucket_files(spark, place[0])
+    assert {b for b in before if before[b] != after[b]} == {"1", "2"}
+
+
+def test_a_run_that_dies_while_it_shows_buckets_is_carried_on(spark, place, monkeypatch):
+    from tablerelay.plans import buckets
+
+    table, folder = place
+    rows = [(i, f"n{i}", 1, "2025-01-01 00:00:00") for i in range(16)]
+    run(spark, place, clients(spark, *rows), FULL, bucket="pmod(id, 4)")
+    later = clients(spark, *[(i, "later", 1, "2025-02-01 00:00:00") for i in range(14) if i % 4 != 3])
+
+    def half(spark, table, layout, before):
+        name = next(n for n, b in layout.buckets.items() if before.buckets[n].location != b.location)
+        spark.sql(f"ALTER TABLE {table} {buckets._partition(name)} SET LOCATION '{layout.buckets[name].location}'")
+        raise OSError("the driver is lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(buckets, "_show", half)
+        with pytest.raises(OSError):
+            run(spark, place, later, FULL, bucket="pmod(id, 4)")
+    run(spark, place, later, FULL, bucket="pmod(id, 4)")
+    assert names(spark, place) == {i: "later" for i in range(14) if i % 4 != 3}
+
+    def unwritten(spark, folder, layout):
+        raise OSError("no layout")
+
+    before = sorted(os.listdir(folder.removeprefix("file:")))
+    with monkeypatch.context() as patch:
+        patch.setattr(buckets, "_write_layout", unwritten)
+        with pytest.raises(OSError):
+            run(spark, place, clients(spark, *rows), Incremental("timestamp", "changed", force_full=True), bucket="pmod(id, 4)")
+    assert sorted(os.listdir(folder.removeprefix("file:"))) == before and spark.table(table).count() == 11
+
+
+def test_buckets_with_odd_names_and_the_null_bucket_in_jobs(spark, place):
+    make = lambda *rows: spark.createDataFrame(list(rows), "k string, v int, changed string").withColumn("changed", F.col("changed").cast("timestamp_ntz"))
+    at = lambda day: f"2025-01-{day:02d} 00:00:00"
+    for day, rows in ((1, [("01a", 1, at(1)), ("01b", 2, at(1)), ("1a", 3, at(1)), (None, 4, at(1)), ("a'/b", 5, at(1)), ("a'%c", 6, at(1))]),
+                      (2, [("01a", 9, at(2)), (None, 7, at(2)), ("a'/b", 8, at(2)), ("", 10, at(2))])):
+        run(spark, place, make(*rows), BY_TIME, keys=["k"], bucket="substring(k, 1, 3)", as_of=f"2025-03-0{day} 00:00:00")
+    found = sorted(map(tuple, spark.table(place[0]).select("k", "v").collect()), key=str)
+    assert found == sorted([("01a", 9), ("01b", 2), ("1a", 3), (None, 4), (None, 7), ("a'/b", 8), ("a'%c", 6), ("", 10)], key=str)
+
+
+def test_old_layouts_go_with_the_buckets_that_only_they_name(spark, place):
+    table, folder = place
+    for day in range(1, 7):
+        run(spark, place, clients(spark, (1, f"one {day}", 1, f"2025-03-{day:02d} 00:00:00"), (2, "two", 1, "2025-03-01 00:00:00")), BY_TIME,
+            as_of=f"2025-04-{day:02d} 00:00:00", bucket="pmod(id, 2)")
+    root = folder.removeprefix("file:")
+    assert len(os.listdir(f"{root}/layouts")) == 2 and names(spark, place) == {1: "one 6", 2: "two"}
+    kept = [p for p in os.listdir(root) if p.startswith("v=")]
+    assert len(kept) == 3  # the untouched bucket's, the last and the one before
+
+
+def failing(*_, **__):
+    raise OSError("no more")
+
+
+@pytest.mark.parametrize("step", ["save_snapshot", "flip", "_take_snapshot", "_record_state", "drop_old_versions"])
+def test_a_failed_snapshot_run_never_loses_the_published_table(spark, place, monkeypatch, step):
+    from tablerelay.plans import job as jobs
+
+    run(spark, place, clients(spark, *FIRST), Incremental("snapshot"))
+    later = clients(spark, *FIRST, (4, "Ana", 2, "2025-01-06 00:00:00"))
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, step, failing)
+        with pytest.raises(OSError):
+            run(spark, place, later, Incremental("snapshot"), as_of="2025-02-02 00:00:00")
+    spark.catalog.refreshTable(place[0])
+    shown = {1, 2, 3} if step in ("flip", "_take_snapshot") else {1, 2, 3, 4}
+    assert set(names(spark, place)) == shown
+    run(spark, place, later, Incremental("snapshot"), as_of="2025-02-03 00:00:00")
+    assert set(names(spark, place)) == {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("step", ["_merge_counts", "flip", "_record_state"])
+def test_a_failed_merge_keeps_the_readers_version(spark, place, monkeypatch, step):
+    from tablerelay.plans import job as jobs
+
+    run(spark, place, clients(spark, *FIRST), BY_TIME)
+    later = clients(spark, *FIRST, (4, "Ana", 2, "2025-01-06 00:00:00"))
+    reader = spark.table(place[0])
+    for _ in range(3):
+        with monkeypatch.context() as patch:
+            patch.setattr(jobs, step, failing)
+            with pytest.raises(OSError):
+                run(spark, place, later, BY_TIME, as_of="2025-02-02 00:00:00")
+    assert step == "_record_state" or reader.count() == 3
+    folders = [p for p in os.listdir(place[1].removeprefix("file:")) if p.startswith("v=")]
+    assert step == "_record_state" or len(folders) == 1
+    run(spark, place, later, BY_TIME, as_of="2025-02-03 00:00:00")
+    assert set(names(spark, place)) == {1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("how", [Incremental("full"), Incremental("timestamp", "changed", merge="insert_only")])
+@pytest.mark.parametrize("step", ["_record_state", "append_once"])
+def test_a_repeated_append_adds_its_rows_once(spark, place, monkeypatch, how, step):
+    from tablerelay.plans import job as jobs
+
+    more = {"options": Options(append=True)} if how.mode == "full" else {}
+    run(spark, place, clients(spark, *FIRST), how, **more)
+    new = clients(spark, (7, "x", 1, "2025-03-01 00:00:00"), (None, "no key", 1, "2025-03-01 00:00:00"))
+    real = publish.append_once
+
+    def dies(*given):
+        real(*given)
+        raise OSError("after the append")
+
+    for _ in range(2):
+        with monkeypatch.context() as patch:
+            patch.setattr(jobs, step, failing if step == "_record_state" else dies)
+            with pytest.raises(OSError):
+                run(spark, place, new, how, as_of="2025-03-02 00:00:00", **more)
+    run(spark, place, new, how, as_of="2025-03-02 00:00:00", **more)
+    assert sorted(r["name"] for r in spark.table(place[0]).collect()) == sorted([*(n[1] for n in FIRST), "x", "no key"])
+    root = publish.table_location(spark, place[0]).removeprefix("file:")
+    assert len(os.listdir(f"{root}/_runs")) >= 1 and not [p for p in os.listdir(root) if p.startswith("_stage")]
+    if how.mode == "full":  # the next run of the job is another one, and adds again
+        run(spark, place, new, how, as_of="2025-03-03 00:00:00", **more)
+        assert spark.table(place[0]).count() == 7
+
+
+def test_unshown_versions_do_not_push_out_those_that_readers_use(spark, place):
+    table, folder = place
+    for version in ("a", "b"):
+        publish.full_refresh_swap(clients(spark, *FIRST), table, folder, version=version)
+    for version in ("aa", "ab", "c"):
+        clients(spark, FIRST[0]).write.parquet(publish.version_path(folder, version))
+    assert sorted(publish.drop_old_versions(spark, table, folder, keep=2)) == ["v=aa", "v=ab"]
+
+
+def test_the_state_log_stays_small_and_readers_keep_their_files(spark, place, monkeypatch):
+    from tablerelay.plans import job as jobs
+
+    monkeypatch.setattr(jobs, "STATE_FILES", 3)
+    monkeypatch.setattr(jobs.compact_states, "__defaults__", (3, 0))
+    path = f"{place[1]}/states"
+    for day in range(1, 10):
+        early = read_states(spark, path)
+        run(spark, place, clients(spark, (1, f"one {day}", 1, f"2025-03-{day:02d} 00:00:00")), BY_TIME)
+        assert early.count() == day - 1  # listed before the run, read after it
+    assert read_states(spark, path).count() == 9
+    assert len(jobs._state_files(spark, path)[0]) <= 4
+    last = state.last_success_state(read_states(spark, path)).collect()  # all runs are of one time
+    assert [(str(r.last_sync_time), r.run_number) for r in last] == [("2025-03-09 00:00:00", 9)]
+
+
+def test_a_forced_full_run_at_the_same_time_sets_the_mark_back(spark, place):
+    run(spark, place, clients(spark, *FIRST), BY_TIME)
+    run(spark, place, clients(spark, FIRST[0]), Incremental("timestamp", "changed", force_full=True))
+    run(spark, place, clients(spark, *FIRST), BY_TIME)
+    assert set(names(spark, place)) == {1, 2, 3}
+
+
+def test_few_row_groups_of_a_clustered_source_are_read(spark):
+    path = shared_folder(spark, "clustered")
+    rows = spark.range(0, 400_000, 1, 8).select(
+        (F.col("id") * 7919 % 400_000).alias("k"), F.when(F.col("id") % 11 > 0, F.col("id") * 7919 % 400_000 % 100_000).alias("t"), F.xxhash64("id").alias("x")
+    )
+    load = publish.load_clustered(rows, path, "T", row_group_bytes=1 << 16, figures={"most": F.max("t")})
+    assert (load.rows, load.figures) == (400_000, {"most": 99_999})
+    stored = publish.read_load(spark, load)
+    new = stored.where(F.col("t") > 99_000)
+    want = rows.where("t > 99000").count()
+    assert len(new.collect()) == want
+    scan = new._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() < 0.1 * load.rows
+    assert rows.where("t is null").count() == stored.where("t is null").count()
+    # Rows of one value are spread over files.
+    same = publish.load_clustered(rows.withColumn("t", F.lit(1)), shared_folder(spark, "same"), "t")
+    sizes = spark.read.parquet(same.path).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablerelay.operators import changes
 from tablerelay.queries.book import Book
 
@@ -36,6 +38,17 @@ def change_history_hot(t):
     return changes.change_history(t.feed, ["op"], "version", ["value"])
 
 
+@book.query(_HISTORY.replace("op, lag(op)", "lag(op)").replace("value AS", "op AS after_op, value AS"))
+def change_history_two_feeds(t):
+    """Two feeds one after another, the second starting from the last rows of the first."""
+    early = F.col("version") <= t.feed.agg(F.percentile_approx("version", 0.5)).first()[0]
+    first, second, values = t.feed.where(early), t.feed.where(~early), ["op", "value"]
+    last = changes.last_rows(first, ["pk"], "version", values)
+    return changes.change_history(first, ["pk"], "version", values).unionByName(
+        changes.change_history(second, ["pk"], "version", values, before=last)
+    )
+
+
 @book.query("SELECT event_type AS table_name, CAST(count(*) AS BIGINT) AS changes_count FROM events GROUP BY event_type")
 def changes_by_table(t):
     return changes.changes_by_table(t.events.withColumnRenamed("event_type", "table_name"), "table_name")

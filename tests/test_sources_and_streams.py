@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablerelay.operators.keys import latest_per_key
 from tablerelay.operators.merge import merge_upsert
-from tablerelay.plans import publish
+from tablerelay.plans import buckets, publish
 from tablerelay.session import shared_folder
 from tablerelay.sources import queries as src
 from tablerelay.sources import reports, run_log
@@ -138,3 +138,80 @@ def test_a_stream_publishes_only_its_new_batches(spark, tmp_path):
     assert sorted(map(tuple, spark.table(table).collect())) == [(1, "A", 2), (2, "B", 1), (3, "c", 1)]
     assert arrive() is None
     spark.sql(f"DROP TABLE {table}")
+
+
+EVENTS = [(k, t, f"{k} at {t}", op) for k in range(6) for t, op in ((1, "I"), (2, "U"), (3, "D" if k % 2 else "U"), (5, "U" if k in (1, 2) else "D"))]
+
+
+def publish_in(spark, tmp_path, batches, op, bucket, of=SCHEMA, order_by=("t",)):
+    """What a table holds after these batches, each of a run of its own."""
+    place = f"{tmp_path}/{uuid.uuid4().hex}"
+    folder, table = f"{place}/published", f"t_{uuid.uuid4().hex}"
+    target = spark.createDataFrame([(2, 0, "x", None), (9, 0, "y", None)], of).select("id", "t", "v")
+    if bucket:
+        buckets.replace_buckets(spark, table, folder, target, ["id"], bucket)
+    else:
+        publish.full_refresh_swap(target, table, folder)
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(list(rows), of).coalesce(1).write.parquet(f"{place}/in/part={number}")
+        stream = spark.readStream.schema(of).parquet(f"{place}/in/part=*")
+        upsert.publish_stream(spark, table, folder, stream if op else stream.drop("op"), ["id"], list(order_by), op, bucket=bucket)
+    rows = sorted(map(tuple, spark.table(table).select("id", "t", "v").collect()))
+    kept = sorted(os.listdir(f"{folder}/log"))
+    spark.sql(f"DROP TABLE {table}")
+    return rows, kept
+
+
+@pytest.mark.parametrize("bucket", [None, "id % 3"])
+@pytest.mark.parametrize("op", [None, "op"])
+def test_published_rows_do_not_depend_on_where_batches_begin(spark, tmp_path, op, bucket):
+    whole, _ = publish_in(spark, tmp_path, [EVENTS], op, bucket)
+    mixed = EVENTS[::-1]
+    parts = [mixed[:9], mixed[9:11] + mixed[:2], mixed[11:]]
+    cut, log = publish_in(spark, tmp_path, parts, op, bucket)
+    assert cut == whole and len(whole) == (3 if op else 7)
+    # Batches that an earlier run published are gone.
+    assert [n for n in log if n.startswith("batch_id")] == ["batch_id=2"]
+
+
+def test_ties_are_settled_by_content_in_any_batch(spark, tmp_path):
+    rows = [(1, 1, "a", "U"), (1, 1, "b", "U"), (1, 1, "c", "U")]
+    found = {str(publish_in(spark, tmp_path, order, None, None)[0]) for order in ([rows], [[r] for r in rows], [[r] for r in rows[::-1]])}
+    assert len(found) == 1
+
+
+def test_a_feed_that_clashes_fails_in_one_batch_and_in_two(spark, tmp_path):
+    clash = [(1, 1, "a", "I"), (1, 1, None, "D")]
+    for batches in ([clash], [clash[:1], clash[1:]]):
+        with pytest.raises(Exception, match="disagree"):
+            publish_in(spark, tmp_path, batches, "op", None)
+    same = [(1, 1, "a", "I")]
+    assert publish_in(spark, tmp_path, [same, same], "op", None)[0] == [(1, 1, "a"), (2, 0, "x"), (9, 0, "y")]
+
+
+@pytest.mark.parametrize("bucket", [None, "id % 3"])
+def test_a_stream_that_dies_before_it_shows_its_rows_is_made_good(spark, tmp_path, monkeypatch, bucket):
+    folder, table, schema = f"{tmp_path}/published", f"t_{uuid.uuid4().hex}", "id int, t int, v string"
+    first = spark.createDataFrame([(1, 0, "x"), (2, 0, "y")], schema)
+    publish.full_refresh_swap(first, table, folder) if bucket is None else buckets.replace_buckets(spark, table, folder, first, ["id"], bucket)
+    spark.createDataFrame([(1, 5, "new"), (3, 1, "c")], schema).write.parquet(f"{tmp_path}/in")
+    go = lambda: upsert.publish_stream(spark, table, folder, spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ["id"], ["t"], bucket=bucket)
+
+    def dies(*_, **__):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(upsert, "full_refresh_swap" if bucket is None else "_publish_buckets", dies)
+        with pytest.raises(OSError):
+            go()
+    assert spark.table(table).count() == 2
+    go()
+    assert sorted(map(tuple, spark.table(table).select("id", "t", "v").collect())) == [(1, 5, "new"), (2, 0, "y"), (3, 1, "c")]
+    assert go() is None
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_many_clocks_become_one(spark, tmp_path):
+    batches = [[(1, 100 - k, f"v{k}", "U")] for k in range(upsert.CLOCKS + 3)]
+    rows, _ = publish_in(spark, tmp_path, batches, None, None)
+    assert rows == [(1, 100, "v0"), (2, 0, "x"), (9, 0, "y")]

@@ -63,12 +63,17 @@ def row_key(keys: Sequence[Column], encoding: str = "safe") -> Column:
     """Key values as one text, joined by ``||``.
 
     ``safe`` puts a backslash before backslashes and bars and writes NULL as ``\\N``, so that
-    different keys never fall together. ``compat`` leaves texts alone and reads NULL ``NULL``.
+    different keys never fall together; zoned instants are in UTC to the microsecond, whatever the
+    session's zone. ``compat`` leaves texts alone and reads NULL ``NULL``.
     """
     _check_encoding(encoding)
-    texts = [k.cast("string") for k in keys]
     if encoding == "compat":
-        return F.concat_ws("||", *[F.coalesce(t, F.lit("NULL")) for t in texts])
+        return F.concat_ws("||", *[F.coalesce(k.cast("string"), F.lit("NULL")) for k in keys])
+    # The type is known when the plan is made, so one branch is left of each.
+    texts = [
+        F.when(F.typeof(k) == "timestamp", F.get_json_object(F.to_json(F.struct(k.alias("k")), _JSON), "$.k")).otherwise(k.cast("string"))
+        for k in keys
+    ]
     escaped = [F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")) for t in texts]
     return F.concat_ws("||", *[F.coalesce(t, F.lit("\\N")) for t in escaped])
 

@@ -150,6 +150,39 @@ def save_snapshot(snapshot: DataFrame, path: str) -> None:
     )
 
 
+def store_snapshot(snapshot: DataFrame, table: str, folder: str, version: str, buckets: int | None = None) -> None:
+    """Store a snapshot in buckets by key, each sorted, and show it to readers of ``table``.
+
+    ``table`` is a view of the version shown last, so the snapshot may be made from it: one change of
+    the view replaces it, and the version before it goes. Joins on the key then move the other side
+    only, if that is dealt out to as many partitions: ``buckets``, by default the session's number.
+    """
+    spark = snapshot.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{table}__{version}"
+    placed = snapshot.repartition(n, "pk_value")
+    placed.write.mode("overwrite").bucketBy(n, "pk_value").sortBy("pk_value").option("path", f"{folder.rstrip('/')}/{version}").saveAsTable(name)
+    old = stored_versions(spark, table)
+    spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {name}")
+    for before in old:
+        if before != name:
+            spark.sql(f"DROP TABLE {before}")
+
+
+def stored_versions(spark: SparkSession, table: str) -> list[str]:
+    """The tables that hold versions of a stored snapshot."""
+    base = table.rsplit(".", 1)
+    place = f" IN {base[0]}" if len(base) > 1 else ""
+    found = spark.sql(f"SHOW TABLES{place} LIKE '{base[-1]}__*'").collect()
+    return [".".join([*base[:-1], r["tableName"]]) for r in found]
+
+
+def drop_stored(spark: SparkSession, table: str) -> None:
+    spark.sql(f"DROP VIEW IF EXISTS {table}")
+    for name in stored_versions(spark, table):
+        spark.sql(f"DROP TABLE {name}")
+
+
 def get_snapshot(spark: SparkSession, path: str, job_id: str) -> DataFrame:
     """One job's snapshot; only its partition is read."""
     stored = _read(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablerelay.functions import identity
@@ -43,6 +45,23 @@ def _new(t, job="orders", when=AS_OF):
     return _take(t.priced_orders, job, when)
 
 
+@book.query("""
+    SELECT o_orderkey, strftime(TIMESTAMP '2024-11-03 04:00:00' + INTERVAL 1 MINUTE * (o_orderkey % 180), '%Y-%m-%dT%H:%M:%S.%f') || 'Z||' || o_orderkey AS pk_value
+    FROM orders""")
+def row_key_zoned(t):
+    """Keys of instants around a clock change, in the zone where the clock changes."""
+    at = F.timestamp_seconds(F.lit(1730606400) + 60 * (F.col("o_orderkey") % 180))
+    rows = t.orders.select("o_orderkey", at.alias("at"))
+    own = t.spark.conf.get("spark.sql.session.timeZone")
+    try:
+        t.spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        path = shared_folder(t.spark, "zoned-keys")
+        rows.select("o_orderkey", identity.row_key([F.col("at"), F.col("o_orderkey")]).alias("pk_value")).write.parquet(path)
+    finally:
+        t.spark.conf.set("spark.sql.session.timeZone", own)
+    return t.spark.read.parquet(path)
+
+
 @book.query(f"SELECT o_orderkey, {_HASH} AS row_hash FROM {{priced_orders}}")
 def row_hash(t):
     return t.priced_orders.select(
@@ -183,3 +202,16 @@ def snapshot_metadata(t):
 @book.query(f"SELECT * FROM ({_STORED}) s WHERE last_seen >= TIMESTAMP '2024-01-21 00:00:00'")
 def retention_snapshots(t):
     return snapshot.retention_snapshots(_both(t), AS_OF, 10)
+
+
+@book.query(f"SELECT pk_value, change_type FROM ({_DIFF}) d WHERE change_type IS NOT NULL")
+def snapshot_diff_stored(t):
+    """The difference to a snapshot that is stored in buckets by key and doesn't move."""
+    table = f"snapshot_{uuid.uuid4().hex}"
+    path = shared_folder(t.spark, "stored")
+    snapshot.store_snapshot(_old(t), table, path, "v1")
+    found = snapshot.snapshot_diff(t.spark.table(table), _new(t))
+    kept = shared_folder(t.spark, "diff")
+    found.write.parquet(kept)
+    snapshot.drop_stored(t.spark, table)
+    return t.spark.read.parquet(kept)

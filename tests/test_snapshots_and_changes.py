@@ -162,3 +162,54 @@ def test_change_history_names_both_values(spark):
     feed = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "x")], "pk int, version int, v string")
     rows = sorted(map(tuple, changes.change_history(feed, ["pk"], "version", ["v"]).collect()))
     assert rows == [(1, 1, None, "a"), (1, 2, "a", "b"), (2, 1, None, "x")]
+
+
+def test_a_stored_snapshot_does_not_move_in_the_difference(spark, tmp_path):
+    from tests.test_plans import plan
+
+    table = "stored_snapshot_test"
+    old = spark.range(1000).select("id", (F.col("id") * 2).alias("v"))
+    take = lambda df: snapshot.build_snapshot(df, "j", ["id"], "2024-01-01")
+    snapshot.store_snapshot(take(old), table, f"{tmp_path}/s", "v1")
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = old.where("id > 9").withColumn("v", F.when(F.col("id") < 20, 0).otherwise(F.col("v"))).unionByName(spark.range(2000, 2005).select("id", F.lit(1).alias("v")))
+        found = snapshot.snapshot_diff(spark.table(table), take(new))
+        assert {r.change_type: r["count"] for r in found.groupBy("change_type").count().collect()} == {"DELETE": 10, "UPDATE": 10, "INSERT": 5}
+        assert sum("Exchange hashpartitioning" in line for line in plan(found).splitlines()) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    # A snapshot made from the stored one takes its place in one change of the view.
+    snapshot.store_snapshot(snapshot.snapshot_merge_seen(spark.table(table), take(new), "2024-02-01"), table, f"{tmp_path}/s", "v2")
+    assert spark.table(table).where("change_type = 'DELETE'").count() == 10 and snapshot.stored_versions(spark, table) == [f"{table}__v2"]
+    snapshot.drop_stored(spark, table)
+    assert snapshot.stored_versions(spark, table) == []
+
+
+def test_histories_of_feeds_one_after_another_are_that_of_one_feed(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 9) or None, t, f"v{t}", rng.randint(0, 3)) for t in range(200)]
+    schema = "k int, t int, v string, w int"
+    feed = lambda some: spark.createDataFrame(some, schema)
+    whole = changes.change_history(feed(rows), ["k"], "t", ["v", "w"])
+    found, last = [], None
+    for part in (rows[:50], rows[50:60], [], rows[60:]):
+        one_feed = feed(part)
+        found += changes.change_history(one_feed, ["k"], "t", ["v", "w"], last).select(whole.columns).collect()
+        last = spark.createDataFrame(changes.last_rows(one_feed, ["k"], "t", ["v", "w"], last).collect(), schema)
+    named = lambda rows_: sorted((r for r in map(tuple, rows_) if r[0] is not None), key=str)
+    assert named(found) == named(whole.collect())
+
+
+def test_keys_of_instants_do_not_depend_on_the_zone(spark):
+    hours = spark.range(1730606400, 1730606400 + 4 * 3600, 1800).select(F.timestamp_seconds("id").alias("at"))
+    own, found = spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            found.append(sorted(r[0] for r in hours.select(row_key([F.col("at")])).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", own)
+    assert found[0] == found[1] and len(set(found[0])) == 8 and found[0][0] == "2024-11-03T04:00:00.000000Z"
+    assert one(spark, row_key([F.lit(None).cast("timestamp"), F.lit("2024-01-01").cast("timestamp_ntz")])) == "\\N||2024-01-01 00:00:00"

@@ -210,9 +210,10 @@ def deduplicated_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "tex
     pages = seen_twice(given, log_bits=log_bits)
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, log_bits, pages))
     suspects = written(given.mapInArrow(suspects_of(shared, log_bits), "doc_id long, text_hash long, digest binary"), "suspects")
-    repeated = suspects.groupBy("digest").agg(
+    # A table of its own: so the line of every document is split between tasks in the join below.
+    repeated = written(suspects.groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.max(F.col("doc_id").isNull()).alias("nameless")
-    ).filter((F.col("first_id") < F.col("last_id")) | (F.col("nameless") & F.col("first_id").isNotNull()))
+    ).filter((F.col("first_id") < F.col("last_id")) | (F.col("nameless") & F.col("first_id").isNotNull())), "repeated-lines")
     # Grouped by text as well as id, so that a group is never more than the lines of one text.
     gone = (
         suspects.join(repeated, "digest").filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first_id")))

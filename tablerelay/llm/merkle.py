@@ -255,7 +255,8 @@ def manifest(docs: DataFrame) -> DataFrame:
     their leaves, so reruns agree; identical rows are leaves of their own, side by side. A
     tree of one row is its leaf. An empty table gives no rows; other columns are not read.
     """
-    leaves = written(ranked(hashed(docs), ["doc_id", "digest"], "leaves"), "leaves")
+    # Hashed once: the bounds of the ranges take a pass of their own.
+    leaves = written(ranked(written(hashed(docs), "hashed"), ["doc_id", "digest"], "leaves"), "leaves")
     rounds = grown(leaves.select("tree", "pos", "n", "digest"), "block")
     subroots = rounds[-1].select("tree", "digest")
     named = written(ranked(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), ["name"], "trees"), "trees")

@@ -80,7 +80,7 @@ SQL["op2_source_mix"] = r"""
 WITH sized AS (
     SELECT row_number() OVER () AS row_id, doc_id, source, coalesce(text, '') AS body,
            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-           md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS h
+           md5('mix|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS h
     FROM documents
 ), named AS (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r
@@ -97,29 +97,28 @@ WITH sized AS (
     SELECT *, (SELECT arg_min(each_one, (ratio, r)) FROM shared WHERE ratio > each_one) AS level FROM shared
 ), targets AS (
     SELECT source, r, source_size, coalesce(least(most::DOUBLE, weight * level), most::DOUBLE) AS target FROM levelled
-), intervals AS (
-    SELECT source, sum(round(target)::BIGINT) OVER (ORDER BY r) AS high, round(target)::BIGINT AS words,
-           sum(round(target)::BIGINT) OVER () AS every
-    FROM targets
-), points AS (
-    SELECT source, floor((high - words)::DOUBLE / every::DOUBLE * 2147483648)::BIGINT AS low,
-           floor(high::DOUBLE / every::DOUBLE * 2147483648)::BIGINT AS high
-    FROM intervals WHERE words > 0
 ), size_of_mix AS (
-    SELECT sum(source_size)::BIGINT * 3 // 2 AS share, greatest(1, least(1024, sum(source_size)::BIGINT * 3 // 2 // 65536)) AS block FROM named
-), slots AS (
-    SELECT j, (j % 2147483648 * 1327217885 % 2147483648) AS point
-    FROM size_of_mix, unnest(range(0, ((share + block - 1) // block)::BIGINT)) AS t(j)
+    SELECT greatest(1, least(1024, sum(source_size)::BIGINT * 3 // 2 // 65536)) AS block FROM named
 ), blocks_of AS (
-    SELECT source, count(*) AS n FROM slots JOIN points ON point >= low AND point < high GROUP BY source
+    SELECT source, round(target)::BIGINT AS most, ceil(round(target) / block)::BIGINT AS n,
+           coalesce(sum(ceil(round(target) / block)::BIGINT) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low,
+           sum(ceil(round(target) / block)::BIGINT) OVER ()::BIGINT AS every
+    FROM targets, size_of_mix
+), steps AS (
+    SELECT every, (SELECT min(g) FROM range(round(every * 0.6180339887498949)::BIGINT, round(every * 0.6180339887498949)::BIGINT + 1000) t(g) WHERE gcd(g, every) = 1) AS step
+    FROM (SELECT any_value(every) AS every FROM blocks_of)
+), slots AS (
+    SELECT source, j AS slot, row_number() OVER (PARTITION BY source ORDER BY j) - 1 AS block_no
+    FROM (SELECT j, (j * step % every)::BIGINT AS point FROM steps, unnest(range(0, every)) AS t(j)) JOIN blocks_of ON point >= low AND point < low + n
 ), streamed AS (
     SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size, body, row_id ROWS UNBOUNDED PRECEDING) - size AS start FROM sized
+), taking AS (
+    SELECT doc_id, s.source, size, t.source_size, t.target, start,
+           (greatest(0, least(size, most - start)) + greatest(0, least(size, most - t.source_size - start)))::BIGINT AS taken
+    FROM streamed s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source JOIN blocks_of b ON s.source IS NOT DISTINCT FROM b.source
 )
-SELECT doc_id, size, t.source_size, t.target,
-       (greatest(0, least(size, coalesce(n, 0) * block - start))
-        + greatest(0, least(size, coalesce(n, 0) * block - t.source_size - start)))::BIGINT AS taken
-FROM streamed s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-LEFT JOIN blocks_of b ON s.source IS NOT DISTINCT FROM b.source, size_of_mix
+SELECT doc_id, size, source_size, target, taken, slot
+FROM taking t JOIN size_of_mix ON true LEFT JOIN slots s ON s.source IS NOT DISTINCT FROM t.source AND s.block_no = t.start // block AND taken > 0
 """
 
 

@@ -116,8 +116,9 @@ def test_mixed_documents_have_the_words_taken(odd_docs):
 
 
 def test_a_cut_document_is_an_unchanged_prefix(spark):
-    text = {s: "\n\t" + "".join(f"é{k}\n    w\t\t" for k in range(300)) for s in "ab"}
-    docs = spark.createDataFrame([(k, text[s], s) for k, s in enumerate("ab")], "doc_id long, text string, source string")
+    # The third source's target is one and a half times its words, so its second pass is cut.
+    text = {s: "\n\t" + "".join(f"é{k}\n    w\t\t" for k in range(n)) for s, n in (("a", 300), ("b", 300), ("c", 100))}
+    docs = spark.createDataFrame([(k, text[s], s) for k, s in enumerate("abc")], "doc_id long, text string, source string")
     mixed = mixing.mixed_documents(docs).collect()
     assert all(text[r.source].startswith(r.text) for r in mixed)
     cut = [r for r in mixed if r.text != text[r.source]]
@@ -134,3 +135,26 @@ def test_ranks_of_a_source_have_no_gaps(spark):
         assert own["block"].tolist() == list(range(len(own)))
         early = np.searchsorted(own["slot"].to_numpy(), np.arange(1, 8001))  # every stretch from the start is near its share
         assert np.abs(early - share * np.arange(1, 8001)).max() < 8
+
+
+def test_every_source_has_its_target_whatever_its_size(spark):
+    """Sources of a few words beside one of millions."""
+    rows = [(k, "w " * 20_000, "big") for k in range(400)]
+    sizes = {"s01": 1, "s02": 2, "s03": 10, "s04": 10, "s05": 300, "s06": 1000, "s07": 2000, "s08": 10_000}
+    for k, (name, n) in enumerate(sizes.items()):
+        rows += [(1000 + 10 * k, "v " * (n // 2), name), (1001 + 10 * k, "v " * (n - n // 2), name)]
+    rows += [(None, f"null {k} id", None) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(9)
+    out = mixing.mix_sizes(docs)
+    totals = docs.groupBy("source").count().count()
+    found = out.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.sum(F.when(F.col("taken") > 0, F.col("slot").isNull().cast("int"))).alias("lost")).collect()
+    assert sum(1 for r in found) >= totals - 1  # two sources have the same figures
+    for r in found:
+        times = 2 if r.source_size == 10 else 1
+        assert r.taken == times * round(r.target) and r.target > 0 and not r.lost
+    assert all(0 <= r.taken <= 2 * r.size for r in out.collect())
+    kept = mixing.mixed_documents(docs).groupBy("source").agg(F.count("*").alias("n")).collect()
+    assert len(kept) == totals
+    # The order by slots mixes: the large source's documents are spread over the whole of it.
+    slots = sorted(r.slot for r in out.filter("size = 20000 and taken > 0").collect())
+    assert len(set(slots)) == len(slots) and max(b - a for a, b in zip(slots, slots[1:])) < 3 * (slots[-1] / len(slots))

@@ -164,7 +164,7 @@ URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    return url_rules.judged(pages, URL_RULES, url_rules.mine_rules(pages.join(bad, "page_id").select("url", "bad")))
+    return url_rules.judged(pages, URL_RULES, *url_rules.blocking_rules(pages.join(bad, "page_id").select("url", "bad")))
 
 
 @query

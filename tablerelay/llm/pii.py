@@ -22,7 +22,9 @@ from tablerelay.llm.spans import let
 #: Rounds of the network, even so that both halves go through as many.
 ROUNDS = 10
 
-#: Shapes, in the order in which they claim a place; none has a group that captures.
+#: Shapes, in the order in which they claim a place; none has a group that captures. Repeated
+#: groups are possessive or have a limit, since others take stack for each round: a domain has
+#: at most 127 labels, as in the name system.
 _NOT_BEFORE, _NOT_AFTER = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 _PHONES = "|".join((
     r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![A-Za-z0-9])",
@@ -31,7 +33,7 @@ _PHONES = "|".join((
     r"(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-]?)[2-9][0-9]{6}",
 ))
 SHAPES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,}",
     "ip": rf"(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}(?![A-Za-z0-9]|\.[0-9])",
     "date": rf"{_NOT_BEFORE}(?:[0-9]{{4}}(?:-[0-9]{{1,2}}-|/[0-9]{{1,2}}/)[0-9]{{1,2}}|[0-9]{{1,2}}(?:\.[0-9]{{1,2}}\.|/[0-9]{{1,2}}/)[0-9]{{4}})(?![A-Za-z0-9&&[^Tt]]|[Tt](?![0-9]{{2}}))",
     "phone": rf"(?<![A-Za-z0-9+])(?:{_PHONES}){_NOT_AFTER}",

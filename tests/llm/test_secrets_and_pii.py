@@ -183,3 +183,15 @@ def test_the_network_permutes_every_domain(spark):
         assert {(r.l, r.r) for r in mapped} == set(pairs)
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d")).select(pii.permuted_digits(F.col("d"), "k", "test").alias("p"))
     assert digits.distinct().count() == 1000 and digits.filter("length(p) <> 3").count() == 0
+
+
+def test_no_shape_takes_the_stack_for_long_input(spark):
+    n = 100_000
+    texts = [
+        "x@" + "a." * n + "com", "x@" + "aa." * n + "com", "x" * n + "@" + "y" * n + ".com", "x@" + "-" * n, "1." * n, "1.1.1.1." * n, "1/" * n, "1-" * n,
+        "+" + "1 " * n, "+1" * n, "(1)" * n, "123-45-" * n, "4111 " * n, "1" * n, "1 " * n, "12-" * n, "2020-01-01 " * (n // 10), "@" * n, "a@b" * n, ".com" * n,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    out = {r.doc_id: r for r in pii.pseudonymised(docs, "k").collect()}
+    assert len(out) == len(texts) and all(len(r.text) == len(texts[k]) for k, r in out.items())
+    assert out[1].n_email == 1 and out[16].n_date == n // 10

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablerelay.llm.common import written
+
 #: Fixed values of the formats.
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 RECORD_URN = "urn:tablerelay:page:"
@@ -237,13 +239,22 @@ def archived_pages(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     Null html is an empty payload, null url an empty address. Of equal payloads, empty ones
     too, the smallest page_id is the response; rows that repeat its id and payload revisit it.
     A page without an id comes last of all and reads back without. An empty table gives no
-    rows. A response whose payload doesn't have the digest of its header fails the read.
+    rows. A response whose payload doesn't have the digest of its header fails the read, and
+    so does an archive that gives other records than were written: what is broken or cut off.
     """
     spark = pages.sparkSession
-    written = write_archives(pages, folder, least=least).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
-    if not written:
+    expected = write_archives(pages, folder, least=least).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    return read_back(spark, folder, expected)
+
+
+def read_back(spark: SparkSession, folder: str, expected: int) -> DataFrame:
+    """The pages of the archives in ``folder``, which must be as many records as ``expected``."""
+    if not expected:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     intact = F.when(F.col("intact") | F.col("intact").isNull(), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("broken payload in record "), F.col("record_id"))))
-    return read_archives(spark, folder).select(
+    found = written(read_archives(spark, folder).select(
         page_ids("record_id").alias("page_id"), "payload_bytes", intact.alias("payload_digest"), "record_type", page_ids("refers_to").alias("refers_to")
-    )
+    ), "warc-read")
+    if (n := found.count()) != expected:
+        raise ValueError(f"{expected} records were written to {folder}, {n} were read back")
+    return found

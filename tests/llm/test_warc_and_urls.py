@@ -175,3 +175,69 @@ def test_the_floor_is_a_count_at_every_size(spark, spam):
     assert any(r.tokens == ["casino"] and r.confidence == 1.0 for r in mined.collect()) == (spam >= 30)
     pages = spark.createDataFrame([(1, "http://casino.example.com/new")], "page_id long, url string")
     assert url_rules.judged(pages, (), mined).first().verdict == ("block" if spam >= 30 else "allow")
+
+
+def blocked_by_all_sets(labelled, pages, least=30, confidence=0.8):
+    """URLs that any set of tokens with the support and the confidence blocks: for each URL all
+    its subsets."""
+    tokens = lambda url: frozenset(re.findall(r"[^\W_]+", url.lower()))
+    sets = [(tokens(u), bad) for u, bad in labelled if u is not None and bad is not None]
+    often = {t for t, c in Counter(t for s, bad in sets if bad for t in s).items() if c >= least}
+    told, out = {}, set()
+    for url in pages:
+        some = sorted(tokens(url) & often)
+        for size in range(1, len(some) + 1):
+            for part in itertools.combinations(some, size):
+                if part not in told:
+                    having = [bad for s, bad in sets if s.issuperset(part)]
+                    told[part] = sum(having) >= least and sum(having) / len(having) >= confidence
+                if told[part]:
+                    out.add(url)
+    return out
+
+
+def test_minimal_rules_have_the_verdicts_of_all_sets(spark, labelled):
+    """Above 3,000 rows, with tokens of the same rows, copies and rules of one, two and three tokens."""
+    rng = random.Random(8)
+    rows = [tuple(r) for r in labelled.collect()]
+    rows += [("http://spam.biz/win/big/now?again", True)] * 45 + [("http://spam.biz/win/big/now?again", False)] * 5
+    rows += [(f"http://news.org/{rng.choice('abc')}/{k % 40}", rng.random() < 0.02) for k in range(2500)]
+    for k in range(400):
+        words = rng.sample(["red", "green", "blue", "pink"], 3)
+        rows.append((f"http://x.info/{'-'.join(words)}/{k}", {"red", "green", "blue"} == set(words)))
+    assert len(rows) > 4000
+    rules, names = url_rules.blocking_rules(spark.createDataFrame(rows, "url string, bad boolean"))
+    pages = sorted({u for u, _ in rows if u}) + ["http://big.example.com/", "http://q.com/blue/red/green", "http://q.com/red/green", "/again", "none"]
+    frame = spark.createDataFrame(list(enumerate(pages)) + [(-1, None)], "page_id long, url string")
+    found = {pages[r.page_id] for r in url_rules.judged(frame, (), rules, names).collect() if r.verdict == "block"}
+    assert found == blocked_by_all_sets(rows, pages)
+    assert {len(r.tokens) for r in rules.collect()} == {1, 2, 3}
+    none = url_rules.blocking_rules(spark.createDataFrame([], "url string, bad boolean"))
+    assert {r.verdict for r in url_rules.judged(frame, (), *none).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("copies", [29, 30])
+def test_copies_of_a_long_url_give_one_rule(spark, copies):
+    url = "http://" + "/".join(f"t{k}" for k in range(60)) + "/" + "x" * 50_000
+    rows = [(url, True)] * copies + [(f"http://fine.org/{k}", False) for k in range(200)]
+    rules, names = url_rules.blocking_rules(spark.createDataFrame(rows, "url string, bad boolean"))
+    assert rules.count() == (1 if copies >= 30 else 0)
+    pages = spark.createDataFrame([(1, url), (2, "http://fine.org/1"), (2, "http://fine.org/1"), (3, "a/t7/b")], "page_id long, url string")
+    block = "block" if copies >= 30 else "allow"
+    assert rows_of(url_rules.judged(pages, (), rules, names), "page_id", "verdict") == [(1, block), (2, "allow"), (2, "allow"), (3, block)]
+
+
+@pytest.mark.parametrize("damage", ["cut", "flip"])
+def test_a_damaged_archive_fails(spark, tmp_path, damage):
+    _, pages = pages_of(spark)
+    folder = f"file://{tmp_path}/warc"
+    n = len(warc.archived_pages(pages.repartition(2), folder).collect())
+    path = sorted((tmp_path / "warc").glob("*.gz"))[0]
+    data = bytearray(path.read_bytes())
+    if damage == "cut":
+        data = data[:-40]
+    else:
+        data[len(data) // 2:len(data) // 2 + 20] = bytes(20)
+    path.write_bytes(bytes(data))
+    with pytest.raises(Exception, match="were read back|broken payload"):
+        warc.read_back(spark, folder, n).collect()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablerelay.operators.history import history_filter
 from tablerelay.operators.keys import key_set, latest_of_group
+from tablerelay.operators.known import maybe_known
 from tablerelay.operators.mapping import insert_by_name
 from tablerelay.operators.merge import rows_not_in
 from tablerelay.session import before, ntz
@@ -21,6 +22,7 @@ def consolidate_history(
     synced_at: str | dt.datetime,
     days: int | None = 7,
     max_rows: int | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """The central history with the feed's runs that it lacks.
 
@@ -28,8 +30,28 @@ def consolidate_history(
     machines; ``configs`` gives config_id and config_display_name; of an id that repeats
     the greatest name counts. Copies of a run within the feed count once, and a feed that was sent before adds nothing.
     A run without an id is rejected. Columns the feed lacks are NULL. ``max_rows`` keeps
-    the newest runs of the feed only.
+    the newest runs of the feed only. With ``known``, the stored filters of the ids that
+    ``central`` has (:mod:`tablerelay.operators.known`), only runs they may hold are looked up there.
     """
+    fresh = new_runs(central, feed, synced_at, days, max_rows, known)
+    names_of = configs.groupBy("config_id").agg(F.max("config_display_name").alias("config_display_name"))
+    named = fresh.join(names_of, "config_id", "left")
+    stamped = named.withColumn("synced_at", ntz(synced_at))
+    for field in central.schema.fields:
+        if field.name not in stamped.columns:
+            stamped = stamped.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return insert_by_name(central, stamped.select(*central.columns))
+
+
+def new_runs(
+    central: DataFrame,
+    feed: DataFrame,
+    synced_at: str | dt.datetime,
+    days: int | None = 7,
+    max_rows: int | None = None,
+    known: DataFrame | None = None,
+) -> DataFrame:
+    """The feed's runs, one of each id, that the central history lacks."""
     key = ["execution_id"]
     rows = feed.dropna(subset=key)
     if days is not None:
@@ -38,14 +60,11 @@ def consolidate_history(
     rows = latest_of_group(rows, key, ["start_time"])
     if max_rows is not None:
         rows = history_filter(rows, limit=max_rows)
-    fresh = rows_not_in(central, rows, key, names)
-    names_of = configs.groupBy("config_id").agg(F.max("config_display_name").alias("config_display_name"))
-    named = fresh.join(names_of, "config_id", "left")
-    stamped = named.withColumn("synced_at", ntz(synced_at))
-    for field in central.schema.fields:
-        if field.name not in stamped.columns:
-            stamped = stamped.withColumn(field.name, F.lit(None).cast(field.dataType))
-    return insert_by_name(central, stamped.select(*central.columns))
+    if known is None:
+        return rows_not_in(central, rows, key, names)
+    maybe = maybe_known(names, "execution_id", known)
+    asked = rows.join(maybe, key, "left_semi")
+    return rows.join(maybe, key, "left_anti").unionByName(rows_not_in(central, asked, key, maybe))
 
 
 def heartbeat_upsert(servers: DataFrame, beats: DataFrame) -> DataFrame:

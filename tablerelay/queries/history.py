@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablerelay.operators import central, history
+from tablerelay.operators import central, daily, history, known
 from tablerelay.queries.book import Book
 from tablerelay.queries.fixtures import AS_OF
+from tablerelay.session import shared_folder
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
@@ -35,6 +36,24 @@ def history_stats_by_config(t):
     return _rounded(history.history_stats_by_config(t.history, AS_OF, days=20))
 
 
+def _run_days(t):
+    """Days as two loads leave them: the second brings late rows, which make their days anew."""
+    path, late = shared_folder(t.spark, "run-days"), F.col("execution_id") % 5 == 0
+    daily.save_days(daily.run_days(t.history.where(~late)), path)
+    daily.refresh_days(t.history, t.history.where(late), path, "start_time", daily.run_days)
+    return daily.read_days(t.spark, path)
+
+
+@book.query(f"SELECT {_STATS} {_RECENT}")
+def history_stats_from_days(t):
+    return _rounded(daily.stats_from_days(_run_days(t), AS_OF, 20))
+
+
+@book.query(f"SELECT config_id, {_STATS} {_RECENT} GROUP BY config_id")
+def history_stats_by_config_from_days(t):
+    return _rounded(daily.stats_from_days(_run_days(t), AS_OF, 20, by_config=True))
+
+
 @book.query("""
     SELECT * FROM {history} WHERE status = 'Failed' AND start_time >= TIMESTAMP '2024-01-05 00:00:00'
       AND start_time <= TIMESTAMP '2024-01-25 00:00:00' ORDER BY start_time DESC, execution_id DESC LIMIT 50""")
@@ -143,6 +162,17 @@ def consolidate_history(t):
     return central.consolidate_history(t.central_history, t.history_feed, t.configs, AS_OF, days=14)
 
 
+@book.query(SQL["consolidate_history"])
+def consolidate_history_filtered(t):
+    """Only runs that a stored filter of the central ids may hold are looked up there."""
+    path = shared_folder(t.spark, "known")
+    for day, part in (("2024-01-15", "crc32(CAST(execution_id AS STRING)) % 2 = 0"), ("2024-01-16", "crc32(CAST(execution_id AS STRING)) % 2 = 1")):
+        known.add_known(t.central_history.where(part), "execution_id", path, day)
+    return central.consolidate_history(
+        t.central_history, t.history_feed, t.configs, AS_OF, days=14, known=known.read_known(t.spark, path)
+    )
+
+
 @book.query(SQL["consolidate_history"])
 def consolidate_history_repeated_configs(t):
     """Each configuration is listed twice, once under a lesser name."""

@@ -145,19 +145,19 @@ def run_job_bucketed(t):
     WITH before AS ({_FIRST}), fresh AS ({_NEW}),
     merged AS (SELECT f.* FROM before f ANTI JOIN fresh n ON f.o_orderkey = n.o_orderkey UNION ALL SELECT * FROM fresh)
     SELECT m.b AS bucket, m.row_count, m.total_price, coalesce(n.touched, FALSE) AS rewritten
-    FROM (SELECT o_orderkey % 256 AS b, CAST(count(*) AS BIGINT) AS row_count, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total_price FROM merged GROUP BY 1) m
-    LEFT JOIN (SELECT DISTINCT o_orderkey % 256 AS b, TRUE AS touched FROM fresh) n ON n.b = m.b""")
+    FROM (SELECT o_orderkey % 32 AS b, CAST(count(*) AS BIGINT) AS row_count, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total_price FROM merged GROUP BY 1) m
+    LEFT JOIN (SELECT DISTINCT o_orderkey % 32 AS b, TRUE AS touched FROM fresh) n ON n.b = m.b""")
 def run_job_bucket_locations(t):
     """Each bucket's rows, and whether the second run gave it a folder of its own."""
     table, folder = _table(), shared_folder(t.spark, "job")
     early = t.stale_orders.where(F.col("o_orderdate") < ntz("2000-01-01"))
     for source, clock in ((early, "2024-01-30 00:00:00"), (t.orders, AS_OF)):
-        spec = JobSpec("orders", source, table, folder, ["o_orderkey"], None, Incremental("timestamp", "o_orderdate"), bucket="o_orderkey % 256")
+        spec = JobSpec("orders", source, table, folder, ["o_orderkey"], None, Incremental("timestamp", "o_orderdate"), bucket="o_orderkey % 32")
         run_job(t.spark, spec, f"{folder}/states", clock)
     first = publish.table_location(t.spark, table).rsplit("/", 1)[-1]
     rows = t.spark.read.parquet(*t.spark.table(table).inputFiles())
     t.spark.sql(f"DROP TABLE {table}")
-    return rows.groupBy((F.col("o_orderkey") % 256).alias("bucket")).agg(
+    return rows.groupBy((F.col("o_orderkey") % 32).alias("bucket")).agg(
         F.count(F.lit(1)).alias("row_count"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total_price"),
         (~F.max(F.contains(F.col("_metadata.file_path"), F.lit(first)))).alias("rewritten"),
     ).withColumn("total_price", F.col("total_price").cast("decimal(38,2)"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablerelay.operators import tasks
+from tablerelay.operators import daily, tasks
 from tablerelay.queries.book import Book
 from tablerelay.queries.fixtures import AS_OF
+from tablerelay.session import shared_folder
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
@@ -114,6 +115,14 @@ def daily_success_rates(t):
     return tasks.daily_success_rate(t.tasks).withColumn("success_rate", F.round("success_rate", 6))
 
 
+@book.query(f"SELECT CAST(requested_at AS DATE) AS request_day, {_DAY} FROM {{tasks}} GROUP BY 1")
+def daily_success_rates_from_days(t):
+    """The same from stored days of request."""
+    path = shared_folder(t.spark, "request-days")
+    daily.save_days(daily.task_days(t.tasks, "requested_at"), path)
+    return daily.success_from_days(daily.read_days(t.spark, path)).withColumn("success_rate", F.round("success_rate", 6))
+
+
 @book.query("SELECT * FROM {tasks} WHERE status = 'Pending' ORDER BY priority DESC, requested_at, task_id LIMIT 10")
 def pending_queue(t):
     return tasks.pending_queue(t.tasks)

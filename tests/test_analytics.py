@@ -231,3 +231,39 @@ def test_notifications_need_a_recipient(spark):
         (1, '["a","b"]', "Success", 2), (3, '["c"]', "Failed", 1)]
     assert rows[0].sent_at is not None and rows[1].sent_at is None
     assert rows[1].subject == "❌ Error en sincronización: p"
+
+
+def test_days_add_up_to_the_statistics_of_their_rows(spark, tmp_path):
+    from tablerelay.operators import daily, health, history
+
+    rows = [(k, k % 3, "ab"[k % 2], f"2024-01-{1 + k % 28:02d} 0{k % 10}:00:00", None if k % 7 == 0 else k * 10, ["Completed", "Failed", "Running"][k % 3], None if k % 5 == 0 else k) for k in range(300)]
+    rows += [(999, 1, "a", None, 5, "Completed", 5)]
+    tasks = spark.createDataFrame(rows, "task_id int, project_id int, task_type string, at string, duration_ms int, status string, rows_processed bigint").withColumn("completed_at", F.col("at").cast("timestamp_ntz"))
+    path = f"{tmp_path}/days"
+    daily.save_days(daily.task_days(tasks.where("task_id % 4 <> 1")), path)
+    daily.refresh_days(tasks, tasks.where("task_id % 4 = 1"), path, "completed_at", daily.task_days)
+    daily.refresh_days(tasks, tasks.where("task_id = 3"), path, "completed_at", daily.task_days)
+    for as_of, span in (("2024-01-31 00:00:00", 30), ("2024-01-20 00:00:00", 10), ("2025-01-01 00:00:00", 5)):
+        found, want = daily.baseline_from_days(daily.read_days(spark, path), as_of, span), health.run_baseline(tasks, as_of, span)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select(*found.columns).collect()))
+    runs = tasks.select(F.col("project_id").alias("config_id"), F.col("completed_at").alias("start_time"), "duration_ms", F.when(F.col("status") == "Completed", "Success").otherwise(F.col("status")).alias("status"),
+                        F.col("rows_processed").alias("rows_read"), F.lit(1).alias("rows_inserted"), F.lit(None).cast("int").alias("rows_updated"), F.col("rows_processed").alias("rows_deleted"))
+    days = daily.run_days(runs)
+    assert daily.stats_from_days(days, "2024-01-31 00:00:00", 20).collect() == history.history_stats(runs, "2024-01-31 00:00:00", 20).collect()
+    assert daily.stats_from_days(days.limit(0), "2024-01-31 00:00:00").collect() == history.history_stats(runs.limit(0), "2024-01-31 00:00:00").collect()
+    by = lambda df: sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    assert by(daily.stats_from_days(days, "2024-01-31 00:00:00", 20, True)) == by(history.history_stats_by_config(runs, "2024-01-31 00:00:00", 20))
+
+
+def test_filters_of_known_ids_deny_no_known_id_and_most_others(spark, tmp_path):
+    from tablerelay.operators import known
+
+    ids = spark.range(20_000).select(F.concat(F.lit("run-"), F.col("id").cast("string")).alias("execution_id"))
+    path = f"{tmp_path}/known"
+    for day, part in (("2024-01-01", "crc32(execution_id) % 2 = 0"), ("2024-01-02", "crc32(execution_id) % 2 = 1"), ("2024-01-02", "crc32(execution_id) % 2 = 1")):
+        known.add_known(ids.where(part), "execution_id", path, day, 18)
+    stored = known.read_known(spark, path)
+    rows = spark.range(15_000, 40_000).select(F.concat(F.lit("run-"), F.col("id").cast("string")).alias("execution_id")).unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS execution_id"))
+    maybe = {r.execution_id for r in known.maybe_known(rows, "execution_id", stored, 18).collect()}
+    assert {f"run-{k}" for k in range(15_000, 20_000)} <= maybe and len(maybe) < 5_000 + 0.02 * 20_000
+    assert known.maybe_known(rows, "execution_id", stored.limit(0), 18).count() == 0

@@ -149,3 +149,45 @@ def test_the_transform_is_a_rotation():
     y = neighbours.turned(x, 3)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert np.allclose(y @ y.T, unit @ unit.T)
+
+
+def plain_prediction(text, dictionaries):
+    """The method with a fresh compressor for every piece of text and every dictionary."""
+    import re
+
+    import zstandard
+
+    def size(content, piece):
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(
+            6, source_size=2048, dict_size=len(content), format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+            write_content_size=False, write_checksum=False, write_dict_id=False,
+        )
+        data.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=data, compression_params=how).compress(piece))
+
+    words = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip()
+    if not any(c.isalpha() for c in words) or not dictionaries:
+        return "und", 0.0, True
+    pieces = [words[k:k + 2048].encode() for k in range(0, len(words), 2048)]
+    sums = {lang: sum(size(d, p) for p in pieces) for lang, d in dictionaries.items()}
+
+    def best(of):
+        order = sorted(of, key=lambda lang: of[lang])
+        return order[0], (of[order[1]] - of[order[0]]) / of[order[1]] if len(order) > 1 else 1.0
+
+    lang, score = best(sums)
+    if score < 0.002:
+        for name, d in dictionaries.items():
+            for k in range(8):
+                part = d[k * len(d) // 8:(k + 1) * len(d) // 8] or b" "
+                sums[name] += sum(size(part, p) for p in pieces)
+        lang, score = best(sums)
+    return lang, score, score < 0.002
+
+
+def test_predictions_equal_plain_compression(prose, odd_docs):
+    model = language_id.learn(prose.filter(~language_id.held_out(F.col("doc_id"))))
+    docs = prose.unionByName(odd_docs.select("doc_id", "text", "lang"))
+    for r in language_id.identified(docs, model).collect():
+        assert (r.lang_pred, r.score, r.rejected) == plain_prediction(r.text, model), r.text and r.text[:80]

@@ -195,3 +195,26 @@ def test_no_shape_takes_the_stack_for_long_input(spark):
     out = {r.doc_id: r for r in pii.pseudonymised(docs, "k").collect()}
     assert len(out) == len(texts) and all(len(r.text) == len(texts[k]) for k, r in out.items())
     assert out[1].n_email == 1 and out[16].n_date == n // 10
+
+
+def test_pseudonyms_equal_those_of_plain_python(spark):
+    from tests.llm import plain_pii
+
+    rng = random.Random(11)
+    made = []
+    for _ in range(400):
+        made.append(" ".join(rng.choice([
+            f"{rng.randint(0, 10**16 - 1):016}", "-".join(f"{rng.randint(0, 9999):04}" for _ in range(4)), f"{rng.randint(1890, 2110)}-{rng.randint(0, 13)}-{rng.randint(0, 32)}",
+            f"{rng.randint(1, 31)}/{rng.randint(1, 31)}/{rng.randint(1900, 2099)}", f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}.{rng.randint(1900, 2099)}", f"29.02.{rng.randint(1900, 2099)}",
+            f"{rng.randint(0, 999):03}-{rng.randint(0, 99):02}-{rng.randint(0, 9999):04}", ".".join(str(rng.randint(0, 280)) for _ in range(4)),
+            f"({rng.randint(0, 999):03}) {rng.randint(0, 999):03}-{rng.randint(0, 9999):04}", f"+{rng.randint(1, 99)} {rng.randint(10**6, 10**11)}", "word", str(rng.randint(0, 10**6)),
+            "".join(rng.choice("abcXYZ019._%+-") for _ in range(rng.randint(1, 30))).strip("._%+-") + "@Mail" + ".example" * rng.randint(0, 2) + ".com",
+        ]) for _ in range(rng.randint(1, 6))))
+    texts = [*PRIVATE, *(x for x, _, _ in BESIDE), *DATED, *CALLED, *made]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    hits = 0
+    for r in pii.pseudonymised(docs, "k").collect():
+        text, counts = plain_pii.pseudonymised(texts[r.doc_id], "k")
+        assert (r.text, {k: r[f"n_{k}"] for k in counts}) == (text, counts), texts[r.doc_id]
+        hits += sum(counts.values())
+    assert hits > 500

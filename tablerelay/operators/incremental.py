@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerelay.operators.keys import find_column, quoted
-from tablerelay.session import ntz
+from tablerelay.session import ntz, shared_folder
 
 
 def _after(column: Column, mark: Column, inclusive: bool) -> Column:
@@ -49,13 +49,38 @@ def oldest_rows(df: DataFrame, column: str, n: int, untracked: bool) -> DataFram
     a value come along only with ``untracked``.
     """
     name = quoted(find_column(df.columns, column))
-    last = df.where(F.col(name).isNotNull()).select(F.col(name).alias("_last")).orderBy("_last").limit(n).agg(F.max("_last")).first()[0]
+    last = _value_of_rank(df.where(F.col(name).isNotNull()).select(F.col(name).alias("_value")), n)
     if last is None:
         return df if untracked else df.where(F.col(name).isNotNull())
     within = F.col(name) <= F.lit(bytearray(last) if isinstance(last, (bytes, bytearray)) else last)
     return df.where(within | F.col(name).isNull() if untracked else within)
 
 
+def _value_of_rank(values: DataFrame, n: int) -> object:
+    """The ``n``-th least of ``_value``, or the greatest of fewer; None of none.
+
+    Values are counted and cut into ranges; only the one that holds the rank is ordered in a
+    task. A row per range reaches the driver.
+    """
+    spark, path = values.sparkSession, shared_folder(values.sparkSession, "ranks")
+    counted = values.groupBy("_value").agg(F.count(F.lit(1)).alias("_rows"))
+    # Bounds come from a sample, so the ranges are written once.
+    counted.repartitionByRange("_value").withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged, before, held = spark.read.schema(T.StructType([*counted.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(path), 0, None
+    for part in ranged.groupBy("_range").agg(F.sum("_rows").alias("rows")).orderBy("_range").collect():
+        held, rest = part["_range"], n - before
+        before += part["rows"]
+        if before >= n:
+            break
+    if held is None:
+        return None
+    within = ranged.where(F.col("_range") == held)
+    if before < n:
+        return within.agg(F.max("_value")).first()[0]
+    upto = F.sum("_rows").over(Window.partitionBy("_range").orderBy("_value"))
+    return within.withColumn("_upto", upto).where(F.col("_upto") >= rest).agg(F.min("_value")).first()[0]
+
+
 def incremental_rowversion(
     df: DataFrame, column: str, since: bytes | None, inclusive: bool = False
 ) -> DataFrame:

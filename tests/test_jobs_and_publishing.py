@@ -575,3 +575,13 @@ def test_few_row_groups_of_a_clustered_source_are_read(spark):
     same = publish.load_clustered(rows.withColumn("t", F.lit(1)), shared_folder(spark, "same"), "t")
     sizes = spark.read.parquet(same.path).groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 999, 1000, 1001, 2500, 3999, 5000])
+def test_the_oldest_rows_are_those_up_to_a_rank(spark, n):
+    rows = spark.range(0, 4000, 1, 6).select((F.col("id") * 7 % 1300).alias("t"), "id").unionByName(spark.range(3).select(F.lit(None).cast("bigint").alias("t"), "id"))
+    values = sorted(k * 7 % 1300 for k in range(4000))
+    last = values[min(n, 4000) - 1]
+    assert incremental.oldest_rows(rows, "T", n, untracked=False).count() == sum(v <= last for v in values)
+    assert incremental.oldest_rows(rows, "t", n, untracked=True).count() == sum(v <= last for v in values) + 3
+    assert incremental.oldest_rows(rows.where("t IS NULL"), "t", n, untracked=False).count() == 0

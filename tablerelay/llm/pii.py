@@ -62,7 +62,7 @@ NUMBERED, OTHERS = 80_000, 60_000
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
 
 
-def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str, tweak: Column, back: bool = False) -> Column:
+def feistel(left: Column, right: Column, left_size: Column, right_size: Column, key: str | Column, tweak: Column, back: bool = False) -> Column:
     """(left, right) permuted over ``left_size`` times ``right_size`` values."""
 
     def mixed(number: Column, round_: Column, size: Column) -> Column:
@@ -316,6 +316,9 @@ def pseudonymised(docs: DataFrame, key: str, *, text: str = "text", back: bool =
     Null texts stay null and empty ones empty, with counts of zero; texts without a value are
     unchanged. Rows that repeat stay; existing columns named like a count are replaced.
     """
+    # The key comes as a value of a table of one row, so that it stands in no plan or event log.
+    held = docs.sparkSession.createDataFrame([(key,)], "key string").scalar()
+    given, key = docs.withColumn("_pseudonym_key", held), F.col("_pseudonym_key")
     whole = F.col(quoted(text))
     parts = F.struct(F.split(whole, ANY, -1).alias("gap"), F.transform(F.regexp_extract_all(whole, F.lit(f"({ANY})"), F.lit(1)), lambda v: pseudonym(v, key, back)).alias("hit"))
     joined = lambda p: F.array_join(F.flatten(F.zip_with(p["gap"], p["hit"], lambda gap, hit: F.array(gap, F.coalesce(hit["text"], F.lit(""))))), "")
@@ -323,5 +326,5 @@ def pseudonymised(docs: DataFrame, key: str, *, text: str = "text", back: bool =
     made = let(parts, lambda p: F.struct(joined(p).alias("text"), *(count(p, k).alias(k) for k in KINDS)))
     none = F.struct(whole.alias("text"), *(F.lit(0).cast("long").alias(k) for k in KINDS))
     worth = whole.rlike("[0-9@]") & whole.rlike(ANY)
-    out = docs.withColumn("_made", F.when(worth, made).otherwise(none))
-    return out.withColumns({text: F.col("_made.text"), **{f"n_{k}": F.col(f"_made.{k}") for k in KINDS}}).drop("_made")
+    out = given.withColumn("_made", F.when(worth, made).otherwise(none))
+    return out.withColumns({text: F.col("_made.text"), **{f"n_{k}": F.col(f"_made.{k}") for k in KINDS}}).drop("_made", "_pseudonym_key")

@@ -218,3 +218,11 @@ def test_pseudonyms_equal_those_of_plain_python(spark):
         assert (r.text, {k: r[f"n_{k}"] for k in counts}) == (text, counts), texts[r.doc_id]
         hits += sum(counts.values())
     assert hits > 500
+
+
+def test_the_key_stands_in_no_plan(spark):
+    docs = spark.createDataFrame([(1, PRIVATE[1]), (2, None)], "doc_id long, text string")
+    out = pii.pseudonymised(docs, "a-very-secret-key")
+    assert "a-very-secret-key" not in out._jdf.queryExecution().toString()
+    assert out.columns == ["doc_id", "text", *(f"n_{k}" for k in pii.KINDS)] and out.filter("n_card > 0").count() == 1
+    assert "a-very-secret-key" not in out._jdf.queryExecution().toString()

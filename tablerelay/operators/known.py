@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablerelay.operators.keys import quoted
-from tablerelay.session import ntz
 
 #: Bits of a filter, as a power of two, and of an id: ten bits an id for 13 million ids.
 LOG_BITS, HASHES = 27, 7

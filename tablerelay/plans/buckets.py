@@ -15,15 +15,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from urllib.parse import unquote
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerelay.operators.keys import any_null, columns_of, find_keys, key_set, quoted, split_null_keys, without_keys
 from tablerelay.operators.mapping import insert_by_name
-from tablerelay.operators.merge import merge_insert_only, merge_upsert
+from tablerelay.operators.merge import merge_insert_only
 from tablerelay.plans.guards import count_parity_guard
 from tablerelay.plans.publish import remove_folder, table_location, version_path, write_bucketed
 
@@ -88,8 +90,6 @@ def read_layout(spark: SparkSession, folder: str, number: int | None = None) ->
 
 
 def _write_layout(spark: SparkSession, folder: str, layout: Layout) -> None:
-    from decimal import Decimal
-
     rows = [(name, b.location, b.row_count, b.key_count, Decimal(b.key_sum), b.key_xor) for name, b in layout.buckets.items()]
     spark.createDataFrame(rows, LAYOUT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(_layout_path(folder, layout.number))
 
@@ -232,21 +232,34 @@ def replace_buckets(spark: SparkSession, table: str, folder: str, rows: DataFram
     return path
 
 
-Merge = Callable[[DataFrame, DataFrame, Sequence[str]], tuple[DataFrame, Observation]]
+#: Gives the merged rows, and how many of the old ones the batch did not replace, told after the write.
+Merge = Callable[[DataFrame, DataFrame, Sequence[str]], tuple[DataFrame, Callable[[], int]]]
+
 
+def _counted(rows: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+    """``rows``, counted while they are read, and their number once they have been.
 
-def _counted(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    Where Spark finds at run time that nothing of them is needed, it leaves out the count with
+    the rows; then they are counted on their own.
+    """
     seen = Observation()
-    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+    def number() -> int:
+        try:
+            return seen.get["rows"]
+        except (Py4JError, KeyError):
+            return rows.count()
+
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), number
 
 
-def upsert(old: DataFrame, batch: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Observation]:
+def upsert(old: DataFrame, batch: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[], int]]:
     """Old rows that stay, counted, and the batch."""
     kept, seen = _counted(without_keys(old, key_set(batch, names), names))
     return insert_by_name(kept, batch), seen
 
 
-def insert_only(old: DataFrame, batch: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Observation]:
+def insert_only(old: DataFrame, batch: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[], int]]:
     kept, seen = _counted(old)
     return merge_insert_only(kept, batch, names, "unique"), seen
 
@@ -254,7 +267,7 @@ def insert_only(old: DataFrame, batch: DataFrame, names: Sequence[str]) -> tuple
 def full_by_comparison(present: DataFrame) -> Merge:
     """Upsert, then only what has its key among those ``present`` in the source."""
 
-    def merge(old: DataFrame, batch: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Observation]:
+    def merge(old: DataFrame, batch: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[], int]]:
         kept, seen = _counted(without_keys(old, key_set(batch, names), names))
         left = split_null_keys(kept, names)[0].join(present, list(names), "left_semi")
         return insert_by_name(left, split_null_keys(batch, names)[0].join(present, list(names), "left_semi")), seen
@@ -265,7 +278,7 @@ def full_by_comparison(present: DataFrame) -> Merge:
 def full_by_flag(gone: DataFrame) -> Merge:
     """Upsert, then all but the keys flagged as ``gone``."""
 
-    def merge(old: DataFrame, batch: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Observation]:
+    def merge(old: DataFrame, batch: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[], int]]:
         kept, seen = _counted(without_keys(old, key_set(batch, names), names))
         return insert_by_name(without_keys(kept, gone, names), without_keys(batch, gone, names)), seen
 
@@ -317,6 +330,11 @@ def merge_buckets(
         load = write_bucketed(rows, path, bucket)
         found = _measured(spark, path, schema, names, bucket)
         count_parity_guard(load.rows, sum(b.row_count for b in found.values()))
+        before = sum(layout.buckets[n].row_count for n in touched if n in layout.buckets)
+        if merge is insert_only:
+            changes = {"INSERT": load.rows - before, "UPDATE": 0, "DELETE": 0}
+        else:
+            changes = actions(before, load.rows, seen(), batch.count())
         kept = {n: b for n, b in layout.buckets.items() if n not in touched}
         after = Layout(layout.number + 1, {**kept, **found})
         _write_layout(spark, folder, after)
@@ -326,13 +344,11 @@ def merge_buckets(
         if not committed:
             remove_folder(spark, path)
         raise
-    before = sum(layout.buckets[n].row_count for n in touched if n in layout.buckets)
-    return _actions(merge, before, load.rows, seen.get["rows"], batch.count())
+    return changes
 
 
-def _actions(merge: Merge, before: int, after: int, kept: int, batch: int) -> dict[str, int]:
-    if merge is insert_only:
-        return {"INSERT": after - before, "UPDATE": 0, "DELETE": 0}
+def actions(before: int, after: int, kept: int, batch: int) -> dict[str, int]:
+    """What a merge did, from rows before and after it, those it did not replace and the batch's."""
     updated = before - kept
     return {"INSERT": batch - updated, "UPDATE": updated, "DELETE": before + batch - updated - after}
 

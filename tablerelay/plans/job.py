@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -22,14 +23,7 @@ from tablerelay.operators.incremental import (
 )
 from tablerelay.operators.keys import columns_of, find_column, find_keys, key_set, latest_per_key, quoted
 from tablerelay.operators.mapping import align_to_target, auto_map, map_columns
-from tablerelay.operators.merge import (
-    check_duplicates,
-    is_flagged,
-    merge_action_counts,
-    merge_full,
-    merge_upsert,
-    rows_to_insert,
-)
+from tablerelay.operators.merge import check_duplicates, is_flagged, rows_to_insert
 from tablerelay.operators.snapshot import (
     build_snapshot,
     save_snapshot,
@@ -216,21 +210,18 @@ def _flagged_keys(job: JobSpec) -> DataFrame:
     return (rows if job.mappings is None else map_columns(rows, job.mappings)).select(*job.keys)
 
 
-def _merged(job: JobSpec, target: DataFrame, batch: DataFrame) -> DataFrame:
-    """The target after the batch, whose keys were checked before if they must not repeat."""
+def _merge_of(job: JobSpec, target: DataFrame, keys: Sequence[str]) -> buckets.Merge:
+    """How a batch, whose keys were checked before if they must not repeat, meets the whole target."""
     how = job.incremental
     if how.merge == "upsert":
-        return merge_upsert(target, batch, job.keys, "unique")
+        return buckets.upsert
+    if how.deletes.mode == "soft":
+        return buckets.full_by_flag(key_set(_flagged_keys(job), keys, repeated=True))
     whole = job.source if job.mappings is None else map_columns(job.source, job.mappings)
-    return merge_full(
-        target,
-        batch,
-        job.keys,
-        deleted_keys=_flagged_keys(job) if how.deletes.mode == "soft" else None,
-        full_source=align_to_target(whole, target.schema),
-        allow_empty=how.deletes.allow_empty,
-        on_duplicate="unique",
-    )
+    present = key_set(align_to_target(whole, target.schema), keys)
+    if not how.deletes.allow_empty and present.isEmpty():
+        raise ValueError("the source is empty, so every target row would be deleted")
+    return buckets.full_by_comparison(present)
 
 
 def snapshot_folder(job: JobSpec) -> str:
@@ -256,15 +247,10 @@ def _take_snapshot(
     return {r["change_type"]: r["count"] for r in counted.collect()}
 
 
-def _merge_counts(job: JobSpec, target: DataFrame, batch: DataFrame, after: int) -> dict[str, int]:
-    """Rows inserted, updated and deleted by a merge that left ``after`` rows."""
-    before = target.count()
-    inserted = after - before
-    if job.incremental.merge == "upsert":
-        return {"INSERT": inserted, "UPDATE": batch.count() - inserted, "DELETE": 0}
-    actions = merge_action_counts(target, batch, job.keys)
-    counts = {"INSERT": 0, "UPDATE": 0, **{r["action"]: r["row_count"] for r in actions.collect()}}
-    return {**counts, "DELETE": before + counts["INSERT"] - after}
+def _merge_counts(target: DataFrame, batch: DataFrame, kept: int, after: int) -> dict[str, int]:
+    """Rows inserted, updated and deleted by a merge that replaced all but ``kept`` rows and left
+    ``after``; the target's number comes from its files' footers."""
+    return buckets.actions(target.count(), after, kept, batch.count())
 
 
 def _merge_buckets(spark: SparkSession, job: JobSpec, batch: DataFrame) -> dict[str, int]:
@@ -338,9 +324,11 @@ def _publish_merge(
         return location, {"INSERT": added, "UPDATE": 0, "DELETE": 0}
     path = version_path(job.folder)
     try:
-        merged = _write(job, _merged(job, target, aligned), path)
+        names = find_keys(target, job.keys)
+        rows, kept = _merge_of(job, target, names)(target, aligned, names)
+        merged = _write(job, rows, path)
         read_load(spark, merged)
-        changes = _merge_counts(job, target, aligned, merged.rows)
+        changes = _merge_counts(target, aligned, kept(), merged.rows)
         flip(spark, job.target, path)
     finally:
         remove_unpublished(spark, job.target, path)

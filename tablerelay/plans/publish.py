@@ -236,7 +236,8 @@ def load_direct(df: DataFrame, table: str, folder: str, append: bool = False) ->
 
 
 def write_bucketed(df: DataFrame, path: str, bucket: str) -> Load:
-    """Write a table in folders by the SQL expression ``bucket``, for :func:`merge_touched`.
+    """Write a table in folders by the SQL expression ``bucket``, for :func:`merge_touched` and
+    :mod:`tablerelay.plans.buckets`.
 
     Rows are rebalanced by bucket first, so a small bucket becomes one file, not one per
     task, and a large one is shared out among tasks.
@@ -248,20 +249,6 @@ def write_bucketed(df: DataFrame, path: str, bucket: str) -> Load:
     return Load(path, seen.get["rows"], {})
 
 
-def show_bucketed(spark: SparkSession, table: str, path: str) -> None:
-    """Show a bucketed folder, with all the buckets it has by now, to readers of ``table``.
-
-    The catalog keeps a location per bucket, so a table that moves to another folder is
-    made anew, which readers can notice; buckets replaced in place it finds by itself.
-    """
-    current = table_location(spark, table)
-    if current is None or current.rstrip("/").rsplit("/", 1)[-1] != path.rstrip("/").rsplit("/", 1)[-1]:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{path}'")
-    spark.catalog.recoverPartitions(table)
-    spark.catalog.refreshTable(table)
-
-
 def merge_touched(
     spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], bucket: str,
     merge: Callable[..., DataFrame] = merge_upsert, **how: Any,
@@ -271,8 +258,9 @@ def merge_touched(
     ``bucket`` is an expression over the key columns alone, so a key never changes its
     bucket. Which buckets those are is a join that prunes the scan's folders, however many.
     The merged buckets are written beside the table first; each then replaces its old
-    folder. Buckets are replaced one after another, which readers can notice. Use a full
-    swap where they must not. Returns the number of rows of the replaced buckets.
+    folder. Buckets are replaced one after another, which readers can notice: for folders
+    without a catalog. Tables have :func:`tablerelay.plans.buckets.merge_buckets`.
+    Returns the number of rows of the replaced buckets.
     """
     names = find_keys(batch, keys)
     # Resolving the expression over the keys alone fails if it uses another column.

@@ -585,3 +585,15 @@ def test_the_oldest_rows_are_those_up_to_a_rank(spark, n):
     assert incremental.oldest_rows(rows, "T", n, untracked=False).count() == sum(v <= last for v in values)
     assert incremental.oldest_rows(rows, "t", n, untracked=True).count() == sum(v <= last for v in values) + 3
     assert incremental.oldest_rows(rows.where("t IS NULL"), "t", n, untracked=False).count() == 0
+
+
+def test_buckets_that_lose_all_their_rows_and_no_other(spark, place):
+    rows = [(i, f"n{i}", 1, "2025-01-01 00:00:00") for i in range(12)]
+    run(spark, place, clients(spark, *rows), FULL, bucket="pmod(id, 4)")
+    result = run(spark, place, clients(spark, *[r for r in rows if r[0] % 4 != 1]), FULL, bucket="pmod(id, 4)")
+    assert result.changes == {"INSERT": 0, "UPDATE": 0, "DELETE": 3} and set(bucket_files(spark, place[0])) == {"0", "2", "3"}
+    how = Incremental("timestamp", "changed", merge="full", deletes=DeleteDetection("comparison", allow_empty=True))
+    result = run(spark, place, clients(spark, *rows).limit(0), how, bucket="pmod(id, 4)")
+    assert result.changes == {"INSERT": 0, "UPDATE": 0, "DELETE": 9} and spark.table(place[0]).count() == 0
+    result = run(spark, place, clients(spark, *[(i, n, b, "2025-02-01 00:00:00") for i, n, b, _ in rows]), FULL, bucket="pmod(id, 4)")
+    assert result.changes == {"INSERT": 12, "UPDATE": 0, "DELETE": 0} and spark.table(place[0]).count() == 12

@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2024-01-31 00:00:00"
 
+# How the status of a task is shown, as SQL.
+STATUS_LABEL = """CASE status WHEN 'Completed' THEN '✓ Completado' WHEN 'Failed' THEN '✗ Fallido' WHEN 'Running' THEN '▶ En Ejecución'
+    WHEN 'Pending' THEN '⏳ Pendiente' WHEN 'Cancelled' THEN '⊗ Cancelado' ELSE status END"""
+
 FIXTURES = {
     # An outdated copy of orders: the newest orders have not arrived yet (rows that only
     # the copy knows stand in their place), and pending orders have another price. The

@@ -6,22 +6,19 @@ from pyspark.sql import functions as F
 
 from tablerelay.functions import identity, labels, recipients, timing
 from tablerelay.queries.book import Book
-from tablerelay.queries.fixtures import AS_OF
+from tablerelay.queries.fixtures import AS_OF, STATUS_LABEL
 from tablerelay.session import ntz
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
 
-_LABEL = """CASE status WHEN 'Completed' THEN '✓ Completado' WHEN 'Failed' THEN '✗ Fallido' WHEN 'Running' THEN '▶ En Ejecución'
-    WHEN 'Pending' THEN '⏳ Pendiente' WHEN 'Cancelled' THEN '⊗ Cancelado' ELSE status END"""
-
 
 @book.query("SELECT execution_id, CAST((duration_ms + 5) // 10 * CAST(0.01 AS DECIMAL(3, 2)) AS DECIMAL(10, 2)) AS duration_seconds FROM {history}")
 def duration_seconds(t):
     return t.history.select("execution_id", timing.duration_seconds(F.col("duration_ms")).alias("duration_seconds"))
 
 
-@book.query(f"SELECT task_id, {_LABEL} AS status_display FROM {{unchecked_tasks}}")
+@book.query(f"SELECT task_id, {STATUS_LABEL} AS status_display FROM {{unchecked_tasks}}")
 def status_display(t):
     return t.unchecked_tasks.select("task_id", labels.status_display(F.col("status")).alias("status_display"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablerelay.operators import daily, tasks
 from tablerelay.queries.book import Book
-from tablerelay.queries.fixtures import AS_OF
+from tablerelay.queries.fixtures import AS_OF, STATUS_LABEL
 from tablerelay.session import shared_folder
 
 book = Book()
@@ -15,8 +15,6 @@ QUERIES, SQL = book.queries, book.sql
 _NOW = f"TIMESTAMP '{AS_OF}'"
 _WAITED = f"CAST(date_diff('minute', requested_at, {_NOW}) AS BIGINT)"
 _COUNTS = ", ".join(f"CAST(count_if(status = '{s}') AS BIGINT) AS {s.lower()}_tasks" for s in tasks.STATUSES)
-_LABEL = """CASE status WHEN 'Completed' THEN '✓ Completado' WHEN 'Failed' THEN '✗ Fallido' WHEN 'Running' THEN '▶ En Ejecución'
-    WHEN 'Pending' THEN '⏳ Pendiente' WHEN 'Cancelled' THEN '⊗ Cancelado' ELSE status END"""
 
 
 @book.query("SELECT * FROM {tasks} WHERE project_id = 3")
@@ -43,7 +41,7 @@ def tasks_projects_ci(t):
 
 
 @book.query(f"""
-    SELECT t.*, p.project_name, CAST((duration_ms + 5) // 10 * CAST(0.01 AS DECIMAL(3, 2)) AS DECIMAL(10, 2)) AS duration_seconds, {_LABEL} AS status_display
+    SELECT t.*, p.project_name, CAST((duration_ms + 5) // 10 * CAST(0.01 AS DECIMAL(3, 2)) AS DECIMAL(10, 2)) AS duration_seconds, {STATUS_LABEL} AS status_display
     FROM {{tasks}} t JOIN {{projects}} p ON p.project_id = t.project_id WHERE requested_at >= TIMESTAMP '2024-01-30 00:00:00'""")
 def recent_tasks(t):
     return tasks.recent_tasks(t.tasks, t.projects, AS_OF)

@@ -60,6 +60,16 @@ def append_load(t):
     return _published(t, table)
 
 
+@book.query("SELECT * FROM {stale_orders} UNION ALL SELECT * FROM orders")
+def append_retried(t):
+    """A run that appended a part and died; tried again, it adds the whole once."""
+    table, folder = _table(), shared_folder(t.spark, "append")
+    publish.full_refresh_swap(t.stale_orders, table, folder)
+    publish.append_once(t.spark, table, t.orders.where("o_orderkey % 2 = 0"), "run-1")
+    publish.append_once(t.spark, table, t.orders, "run-1")
+    return _published(t, table)
+
+
 @book.query("SELECT * FROM lineitem")
 def load_partitioned(t):
     path = shared_folder(t.spark, "load")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import math
 import time
 import uuid
 from collections.abc import Sequence
@@ -77,13 +78,15 @@ class Marks:
 
 #: What runs record: the state, and a number that settles runs at one time.
 RECORDED = f"{STATE_SCHEMA}, run_number bigint"
-#: Files of the state log above which they become one, and seconds for which readers that
+#: Files of the state log above which they become one table, and seconds for which readers that
 #: began earlier may still need those that did.
 STATE_FILES, STATE_GRACE = 32, 3600
+#: Bytes of the log for each task that makes such a table, so that no task holds more as logs grow.
+STATE_BYTES = 8_000_000
 
 
 def _state_files(spark: SparkSession, path: str) -> tuple[list, list]:
-    """The files of a state log that count, and the notes of files that a larger one replaced."""
+    """The files and tables of a state log that count, and the notes of those that a larger table replaced."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(conf)
@@ -110,10 +113,11 @@ def read_states(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_states(spark: SparkSession, path: str, most: int = STATE_FILES, grace: int = STATE_GRACE) -> bool:
-    """Make the files of a state log one, if there are more than ``most``.
+    """Make the files of a state log one table, if there are more than ``most``.
 
-    A note then says which files the one replaces; they are deleted once the note is older than
-    ``grace`` seconds. A run that dies before the note leaves states twice, which changes nothing.
+    The table is a folder in the log that counts as one of its files; equal states meet in one
+    of its tasks. A note then says which files it replaces; they are deleted once the note is older
+    than ``grace`` seconds. A run that dies before the note leaves states twice, which changes nothing.
     """
     old, notes = _state_files(spark, path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -122,12 +126,13 @@ def compact_states(spark: SparkSession, path: str, most: int = STATE_FILES, grac
     for note in notes:
         if note.getModificationTime() <= (time.time() - grace) * 1000:
             for name in _lines(spark, files, note.getPath()):
-                files.delete(path_of(path, name), False)
+                files.delete(path_of(path, name), True)
             files.delete(note.getPath(), False)
     if len(old) <= most:
         return False
-    rows = spark.read.schema(RECORDED).parquet(*[str(p) for p in old]).distinct()
-    rows.coalesce(1).write.mode("append").parquet(path)
+    parts = max(1, math.ceil(sum(files.getContentSummary(p).getLength() for p in old) / STATE_BYTES))
+    rows = spark.read.schema(RECORDED).parquet(*[str(p) for p in old])
+    rows.repartition(parts, *rows.columns).distinct().write.parquet(f"{path.rstrip('/')}/compact-{uuid.uuid4().hex}.parquet")
     out = files.create(path_of(path, f"_replaced-{uuid.uuid4().hex}"), True)
     out.write(bytearray("\n".join(p.getName() for p in old), "utf-8"))
     out.close()

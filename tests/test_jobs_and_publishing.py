@@ -550,6 +550,45 @@ def test_the_state_log_stays_small_and_readers_keep_their_files(spark, place, mo
     assert [(str(r.last_sync_time), r.run_number) for r in last] == [("2025-03-09 00:00:00", 9)]
 
 
+def test_a_large_state_log_becomes_one_table_of_many_tasks(spark, tmp_path, monkeypatch):
+    from tablerelay.plans import job as jobs
+
+    monkeypatch.setattr(jobs, "STATE_BYTES", 60_000, raising=False)
+    path, tables = str(tmp_path / "day=1" / "states"), []
+    runs = spark.range(20_000).select(
+        F.concat(F.lit("job"), F.col("id") % 7).alias("job_identifier"), F.lit(True).alias("success"),
+        F.lit("2025-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at"), F.col("id").alias("run_number"))
+    unnamed = runs.limit(1).withColumn("job_identifier", F.lit(None).cast("string")).withColumn("run_number", F.lit(None).cast("bigint"))
+    runs.unionByName(unnamed).repartition(5).write.parquet(path)
+    for seen in (1, 2):  # the second time a table is among the files, and a state stands twice
+        for file in range(4 * (seen - 1)):
+            runs.where(F.col("run_number") == file).coalesce(1).write.mode("append").parquet(path)
+        assert jobs.compact_states(spark, path, 4, 0)
+        assert not jobs.compact_states(spark, path, 4, 0)  # takes away what was replaced, and is not made again
+        [table], notes = jobs._state_files(spark, path)
+        tables.append(table.getName())
+        held = read_states(spark, path).groupBy(F.input_file_name()).count().collect()
+        assert len(held) > 1 and max(r["count"] for r in held) < 15_000 and not notes
+        assert sorted(p.name for p in (tmp_path / "day=1" / "states").glob("[!_.]*")) == [table.getName()]
+        states = read_states(spark, path)
+        assert states.count() == 20_001 == states.distinct().count()
+        last = {r.job_identifier: r.run_number for r in state.last_success_state(states).collect()}
+        assert last == {None: None} | {f"job{(20_000 - n) % 7}": 20_000 - n for n in range(1, 8)}
+    assert tables[0] != tables[1]
+
+
+def test_a_table_of_states_that_was_not_finished_loses_nothing(spark, tmp_path):
+    from tablerelay.plans import job as jobs
+
+    path, runs = str(tmp_path / "states"), spark.range(10).select(F.lit("j").alias("job_identifier"), F.col("id").alias("run_number"))
+    runs.repartition(3).write.parquet(path)
+    runs.limit(4).write.parquet(f"{path}/compact-part.parquet")
+    (tmp_path / "states" / "compact-begun.parquet" / "_temporary").mkdir(parents=True)
+    assert read_states(spark, path).distinct().count() == 10
+    assert jobs.compact_states(spark, path, 4, 0)
+    assert [r.run_number for r in read_states(spark, path).orderBy("run_number").collect()] == list(range(10))
+
+
 def test_a_forced_full_run_at_the_same_time_sets_the_mark_back(spark, place):
     run(spark, place, clients(spark, *FIRST), BY_TIME)
     run(spark, place, clients(spark, FIRST[0]), Incremental("timestamp", "changed", force_full=True))
